@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.frames import Frame
 from ..operators.recursion import Chain, recur, recur_varying
-from ..operators.running import running
+from ..operators.running import running, two_state
+from ..sources.store import settled
 from .averages import ema, linreg, sma, wma
 from .rolling import c, mean, ratio, rolling_sum
 from .volatility import vwma_col
@@ -49,7 +50,7 @@ def avs_line(numbered: DataFrame, out: str, price: str, fast: int, slow: int, st
     """``sign=1``: support under the lows; ``sign=-1``: resistance over the highs."""
     have = numbered.columns
     f = avs_base(Frame.of_numbered(numbered, back=max(fast, slow)), fast, slow, stand_div)
-    rows = _segment_mean(f, price)
+    rows = settled(_segment_mean(f, price))
     dev = c("dev") if max_deviation is None else F.greatest(F.lit(-max_deviation), F.least(F.lit(max_deviation), c("dev")))
     rows = rows.withColumn("_adjusted", c(price) - sign * c("_priceV") + sign * dev)
     f = Frame.of_numbered(rows.select(*have, "_adjusted"), back=slow)
@@ -109,18 +110,10 @@ def ott(f: Frame, n: int = 2, percent: float = 1.4, mode: str = "VAR") -> Frame:
         f, warm = ema(f, "ma", "_zl", n, first=n // 2, warm=n // 2), n // 2
     else:
         f, warm = sma(f, "ma", "close", n), n
+    f = f.settle()
     band = c("ma") * percent / 100.0
     f = running(f, warm, long_stop=("max", c("ma") - band), short_stop=("min", c("ma") + band))
-    to_up = F.coalesce(c("ma") > f.lag(c("short_stop")), F.lit(False))
-    to_dn = F.coalesce(c("ma") < f.lag(c("long_stop")), F.lit(False))
-    f = f.add(_up=to_up, _dn=to_dn)
-    # both at once flips the state: the direction is the last one-sided signal, flipped once per flip since
-    f = running(f, warm + 1, _flips=("sum", (c("_up") & c("_dn")).cast("long")))
-    one_sided = F.when(c("_up") != c("_dn"), F.struct(F.when(c("_up"), 1).otherwise(-1).alias("d"), c("_flips").alias("n")))
-    f = running(f, warm + 1, _set=("last", one_sided))
-    base = F.coalesce(c("_set.d"), F.lit(1))
-    odd = (c("_flips") - F.coalesce(c("_set.n"), F.lit(0))) % 2 == 1
-    f = f.add(dir=F.when(odd, -base).otherwise(base))
+    f = two_state(f, "dir", c("ma") > f.lag(c("short_stop")), c("ma") < f.lag(c("long_stop")), 1, warm + 1)
     stop = F.when(c("dir") == 1, c("long_stop")).otherwise(c("short_stop"))
     return f.add(ott=F.when(c("ma") > stop, stop * (200 + percent) / 200).otherwise(stop * (200 - percent) / 200))
 

@@ -128,7 +128,7 @@ def streak(f: Frame, out: str, x: str = "close", warm: int = 1) -> Frame:
 
 def crsi(f: Frame, n: int = 3, streak_n: int = 2, rank_n: int = 100, scalar: float = 100.0) -> Frame:
     f = rsi_of(f, "_r1", "close", n, scalar)
-    f = streak(f, "streak")
+    f = streak(f, "streak").settle()
     f = rsi_of(f, "_r2", "streak", streak_n, scalar, warm=2)
     f = f.add(_a=values(f, "close", rank_n))
     rank = F.size(F.filter("_a", lambda v: v < c("close"))) / (rank_n - 1) * 100.0
@@ -174,7 +174,7 @@ def macd(f: Frame, fast: int = 12, slow: int = 26, signal: int = 9) -> Frame:
 def macd_as(f: Frame, fast: int = 12, slow: int = 26, signal: int = 9) -> Frame:
     """The variant that runs the signal over the histogram."""
     f = macd_of(f, "close", fast, slow, signal)
-    f = f.add(macd=c("hist"))
+    f = f.add(macd=c("hist")).settle()
     f = signal_ema(f, "signal", "macd", signal, slow + signal - 2, slow + signal - 2, 0)
     return f.add(hist=c("macd") - c("signal"))
 
@@ -205,7 +205,7 @@ def stc(f: Frame, n: int = 10, fast: int = 12, slow: int = 26, factor: int = 3)
     f = f.add(_k=stoch_of(f, "macd", n))
     f = signal_ema(f, "stoch", "_k", factor, at, at + factor - 1, n - 1)
     at2 = at + factor - 1 + n - 1
-    f = f.add(_k2=stoch_of(f, "stoch", n))
+    f = f.settle().add(_k2=stoch_of(f, "stoch", n))
     return signal_ema(f, "stc", "_k2", factor, at2, at2 + factor - 1, 2 * (n - 1))
 
 
@@ -252,7 +252,7 @@ def tsi(f: Frame, long: int = 25, short: int = 13, signal: int = 13) -> Frame:
     f = f.add(_m1=head_fill(f, "_m1", at), _a1=head_fill(f, "_a1", at))
     f = recur(f, [ema_chain(["_m2"], c("_m1"), long), ema_chain(["_a2"], c("_a1"), long)], 1)
     first = at + long - 1
-    f = f.add(tsi=F.when(c("idx") >= first, ratio(100.0 * c("_m2"), c("_a2"))))
+    f = f.settle().add(tsi=F.when(c("idx") >= first, ratio(100.0 * c("_m2"), c("_a2"))))
     return signal_ema(f, "signal", "tsi", signal, first, long + short + signal - 2, 1)
 
 
@@ -278,6 +278,7 @@ def rsi_clouds(f: Frame, n: int = 14, fast: int = 12, slow: int = 26, signal: in
     f = f.add(_avg=ohlc4())
     f = rsi_of(f, "rsi", "_avg", n)
     at = n - 1
+    f = f.settle()
     f = recur(f, [ema_chain(["_f"], c("rsi"), fast, at), ema_chain(["_s"], c("rsi"), slow, at)], 1)
     f = f.add(macd=c("_f") - c("_s"))
     f = ema(f, "signal", "macd", signal, first=at + slow - 1, warm=1)

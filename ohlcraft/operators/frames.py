@@ -107,6 +107,12 @@ class Frame:
         win = self.rows(n, lag)
         return F.when(F.count(x).over(win) == n, agg.over(win))
 
+    def settle(self) -> "Frame":
+        """Cut the lineage here (see :func:`ohlcraft.sources.store.settled`)."""
+        from ..sources.store import settled
+
+        return replace(self, df=settled(self.df))
+
     # -- leaving the frame -------------------------------------------------
     @property
     def is_core(self) -> Column:

@@ -54,3 +54,40 @@ def running(frame: Frame, warm: int = 0, **specs: tuple[str, Column]) -> Frame:
         {o: _KINDS[kind][1](F.col(f"_c_{o}"), F.col(f"_r_{o}")) for o, (kind, _) in specs.items()}
     ).drop(*[f"_{p}_{o}" for o in specs for p in "rc"])
     return replace(frame, df=df)
+
+
+def two_state(frame: Frame, out: str, up: Column, down: Column, start: int = 1, warm: int = 0) -> Frame:
+    """A state of +1 or -1: ``up`` alone sets +1, ``down`` alone sets -1, both flip it.
+
+    Inside a chunk the state is the last one-sided signal flipped once per flip since;
+    a chunk without one passes on the state it was given, flipped as often as it says.
+    """
+    idx, chunk = F.col("idx"), F.col("chunk")
+    origin = F.when(chunk > 0, chunk * frame.size - frame.back + warm).otherwise(F.lit(0))
+    live = idx >= origin
+    yes = {k: live & F.coalesce(v, F.lit(False)) for k, v in (("_fu", up), ("_fd", down))}
+    frame = frame.add(**yes)
+    here = frame.w.rowsBetween(Window.unboundedPreceding, 0)
+    frame = frame.add(_fn=F.sum((F.col("_fu") & F.col("_fd")).cast("long")).over(here))
+    side = F.when(F.col("_fu") != F.col("_fd"), F.struct(F.when(F.col("_fu"), 1).otherwise(-1).alias("d"), F.col("_fn").alias("n")))
+    frame = frame.add(_fs=F.last(side, ignorenulls=True).over(here))
+
+    def flipped(d: Column, n: Column) -> Column:
+        return F.when(n % 2 == 1, -d).otherwise(d)
+
+    frame = frame.add(_fc=flipped(F.col("_fs.d"), F.col("_fn") - F.col("_fs.n")))
+    ends = frame.df.filter(idx == (chunk + 1) * frame.size - frame.back + warm - 1).select(
+        frame.key, (chunk + 1).alias("chunk"), "_fc", "_fn"
+    )
+    before = Window.partitionBy(frame.key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    total = ends.withColumn("_ft", F.sum("_fn").over(before))
+    const = F.when(F.col("_fc").isNotNull(), F.struct(F.col("_fc").alias("d"), F.col("_ft").alias("n")))
+    entry = total.withColumn("_fe", F.last(const, ignorenulls=True).over(before)).select(
+        frame.key,
+        "chunk",
+        flipped(F.coalesce(F.col("_fe.d"), F.lit(start)), F.col("_ft") - F.coalesce(F.col("_fe.n"), F.lit(0))).alias("_fe"),
+    )
+    df = frame.df.join(entry, [frame.key, "chunk"], "left")
+    given = flipped(F.coalesce(F.col("_fe"), F.lit(start)), F.col("_fn"))
+    df = df.withColumn(out, F.coalesce(F.col("_fc"), given)).drop("_fu", "_fd", "_fn", "_fs", "_fc", "_fe")
+    return replace(frame, df=df)

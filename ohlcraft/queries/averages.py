@@ -12,7 +12,7 @@ from ..functions import weights as W
 from ..operators.fold import fold
 from ..operators import kernels as K
 from ..sources import tables as T
-from .base import ORD, Sql, avg, brands_sql, dot_sql, full, indicator, lag, mn, mx, register, rounded, sm, sr, win
+from .base import ORD, Sql, avg, dot_sql, framed, full, indicator, lag, mn, mx, register, rounded, sm, sr, win
 
 
 def _simple(name, fn, n, sql, **kw):
@@ -100,9 +100,16 @@ def _folded(name, kernel, sql, bars=T.bars):
     register(name, run, sql)
 
 
-# unit prices per brand: the fourth power in this average needs a series without jumps
-_folded("mcgd", K.mcginley(10), Sql(brands_sql()).loop(
-    "y", "n.c", "CASE WHEN p.y = 0 THEN n.c WHEN n.c = 0 THEN p.y ELSE p.y + (n.c - p.y) / (10 * pow(n.c / p.y, 4)) END").out("y"), T.brands)
+def _smooth_bars(spark, sf_dir):
+    """The fourth power in this average needs a series without jumps: a long mean of the closes."""
+    f = framed(spark, sf_dir, 200)
+    f = f.add(close=F.avg("close").over(f.rows(200)))
+    return f.core("symbol", (F.col("idx") - 100).alias("idx"), "close").filter("idx >= 0")
+
+
+_folded("mcgd", K.mcginley(10), Sql().add(m=f"avg(c) OVER {win(200)}").step(
+    "SELECT symbol, idx - 100 AS idx, m AS c FROM b1 WHERE idx >= 100").loop(
+    "y", "n.c", "CASE WHEN p.y = 0 THEN n.c WHEN n.c = 0 THEN p.y ELSE p.y + (n.c - p.y) / (10 * pow(n.c / p.y, 4)) END").out("y"), _smooth_bars)
 
 
 def _ssf_sql() -> str:

@@ -16,6 +16,7 @@ def build(app: str = "ohlcraft", master: str | None = None, partitions: int = 8)
             .config("spark.driver.memory", os.environ.get("OHLCRAFT_DRIVER_MEMORY", "8g"))
             .config("spark.sql.shuffle.partitions", str(partitions))
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
         )
     spark = (
         builder.config("spark.sql.session.timeZone", "UTC")

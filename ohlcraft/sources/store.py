@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +48,15 @@ def stored(
         writer = build().write.mode("overwrite")
         (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
     return spark.read.parquet(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Used between the stages of long recursions: each stage reads its input twice, so
+    without a cut the work would double with every stage. The files outlive executors.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ohlcraft/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
