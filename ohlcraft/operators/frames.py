@@ -23,13 +23,14 @@ DAY_MS = 86_400_000
 WEEK_MS = 7 * DAY_MS
 
 
-def number_bars(bars: DataFrame, bar_ms: int, key: str = KEY, ts: str = "ts") -> DataFrame:
+def number_bars(bars: DataFrame, bar_ms: int, key: str = KEY, ts: str = "ts", ties: tuple[str, ...] = ()) -> DataFrame:
     """Add ``idx``: the 0-based ordinal of each bar inside its symbol.
 
     Bars are unique per ``(symbol, ts)`` on a ``bar_ms`` grid, so a slot of ``1024``
     bar lengths holds at most 1024 rows. Slots are counted, the counts are summed up
     in slot order (one row per slot, not per bar) and the ordinal is the slot's
-    offset plus the rank inside the slot.
+    offset plus the rank inside the slot. Rows that share a stamp (trades) need ``ties``
+    for a total order and a ``bar_ms`` that keeps a slot small.
     """
     slot = F.floor(F.col(ts) / F.lit(bar_ms * SIZE)).cast("long")
     slotted = bars.withColumn("_slot", slot)
@@ -39,7 +40,7 @@ def number_bars(bars: DataFrame, bar_ms: int, key: str = KEY, ts: str = "ts") ->
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(key, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     )
-    rank = F.row_number().over(Window.partitionBy(key, "_slot").orderBy(ts))
+    rank = F.row_number().over(Window.partitionBy(key, "_slot").orderBy(ts, *ties))
     return (
         slotted.join(offsets, [key, "_slot"])
         .withColumn("idx", (F.col("_off") + rank - 1).cast("long"))
