@@ -11,8 +11,6 @@ from ..operators.running import running
 from .averages import ema, hl2, hlc3, linreg, ma, ohlc4, wma
 from .rolling import c, dot, mean, ratio, rolling_max, rolling_min, rolling_sum, values
 
-ZERO = F.lit
-
 
 def head_fill(f: Frame, x: str, first: int) -> Column:
     """The series with its missing head replaced by its first valid value."""

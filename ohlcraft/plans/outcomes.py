@@ -13,8 +13,14 @@ from ..operators.frames import Frame
 from ..operators.intervals import bars_between
 
 c = F.col
-LONG = F.col("is_long")
-SIGN = F.when(LONG, 1.0).otherwise(-1.0)
+
+
+def is_long() -> Column:
+    return F.col("is_long")
+
+
+def sign() -> Column:
+    return F.when(F.col("is_long"), 1.0).otherwise(-1.0)
 
 
 def touches(events: DataFrame, bars: DataFrame, ids: list[str], first: Column, last: Column, horizon: int) -> DataFrame:
@@ -23,8 +29,8 @@ def touches(events: DataFrame, bars: DataFrame, ids: list[str], first: Column, l
     Adds ``hit_idx``, ``hit`` ('sl'/'tp'/NULL), and the last bar seen with its close.
     """
     pairs = bars_between(events, bars, first, last, max(64, horizon), ["high", "low", "close"])
-    at_stop = F.when(LONG, c("b_low") <= c("stop")).otherwise(c("b_high") >= c("stop"))
-    at_target = F.when(LONG, c("b_high") >= c("target")).otherwise(c("b_low") <= c("target"))
+    at_stop = F.when(is_long(), c("b_low") <= c("stop")).otherwise(c("b_high") >= c("stop"))
+    at_target = F.when(is_long(), c("b_high") >= c("target")).otherwise(c("b_low") <= c("target"))
     hit = F.when(at_stop, F.struct(c("b_idx"), F.lit(0).alias("kind"))).when(at_target, F.struct(c("b_idx"), F.lit(1).alias("kind")))
     seen = pairs.groupBy(*ids).agg(
         F.min(hit).alias("_h"), F.max("b_idx").alias("last_idx"), F.max_by("b_close", "b_idx").alias("last_close"),
@@ -40,9 +46,9 @@ def r_exit(events: DataFrame, bars: DataFrame, ids: list[str], target_r: Column
     Needs ``close`` and ``risk`` on the events. Adds ``gross``, ``fee``, ``net``, ``exit_idx``, ``reason``.
     """
     goal = F.lit(target_r) if isinstance(target_r, (int, float)) else target_r
-    ev = events.withColumns({"stop": c("close") - SIGN * c("risk"), "target": c("close") + SIGN * goal * c("risk"), "_goal": goal})
+    ev = events.withColumns({"stop": c("close") - sign() * c("risk"), "target": c("close") + sign() * goal * c("risk"), "_goal": goal})
     out = touches(ev, bars, ids, c("idx") + 1, c("idx") + horizon, horizon)
-    timed = SIGN * (F.coalesce("last_close", "close") - c("close")) / c("risk")
+    timed = sign() * (F.coalesce("last_close", "close") - c("close")) / c("risk")
     gross = F.when(c("hit") == "sl", -1.0).when(c("hit") == "tp", c("_goal").cast("double")).otherwise(timed)
     return out.withColumns({
         "gross": gross, "fee": 2 * fee * c("close") / c("risk"),
@@ -60,16 +66,16 @@ def barrier_outcome(events: DataFrame, bars: DataFrame, ids: list[str], hold: in
     cost = (2 * commission + slippage) * c("fill") / c("risk_unit")
     timed = c("hit").isNull() & (c("last_idx") == c("fill_idx") + hold)
     price = (
-        F.when(c("hit") == "sl", c("stop") * (1 - SIGN * slippage))
+        F.when(c("hit") == "sl", c("stop") * (1 - sign() * slippage))
         .when(c("hit") == "tp", c("target"))
-        .when(timed, c("last_close") * (1 - SIGN * slippage))
+        .when(timed, c("last_close") * (1 - sign() * slippage))
     )
     ok = c("risk_unit") > 0
     return out.withColumns({
         "exit_price": F.when(ok, price),
         "exit_idx": F.when(ok, F.coalesce("hit_idx", F.when(timed, c("last_idx")))),
         "exit_reason": F.when(ok, F.coalesce("hit", F.when(timed, F.lit("time")))),
-    }).withColumn("r_net", SIGN * (c("exit_price") - c("fill")) / F.nullif("risk_unit", F.lit(0.0)) - F.when(ok, cost)).drop(
+    }).withColumn("r_net", sign() * (c("exit_price") - c("fill")) / F.nullif("risk_unit", F.lit(0.0)) - F.when(ok, cost)).drop(
         "hit_idx", "hit", "last_idx", "last_close")
 
 
@@ -91,14 +97,14 @@ def maker_outcome(events: DataFrame, bars: DataFrame, ids: list[str], hold: int
     k = c("risk_unit")
     cost = (commission * (1 + maker_frac) + slip) * c("fill") / k
     entry = 2 * slip * c("fill") / k
-    beyond = SIGN * (c("fill") - c("stop")) < 0
-    px = c("last_close") * (1 - SIGN * slip)
+    beyond = sign() * (c("fill") - c("stop")) < 0
+    px = c("last_close") * (1 - sign() * slip)
     timed = c("last_idx") == c("fill_idx") + hold - 1
     value = (
         F.when(beyond, -cost - entry - slip * F.abs("fill") / k)
-        .when(c("hit") == "sl", SIGN * (c("stop") * (1 - SIGN * slip) - c("fill")) / k - cost - entry - slip * F.abs("stop") / k - gap * c("atr") / k)
-        .when(c("hit") == "tp", SIGN * (c("target") - c("fill")) / k - cost - entry)
-        .when(timed, SIGN * (px - c("fill")) / k - cost - entry - slip * F.abs(px) / k)
+        .when(c("hit") == "sl", sign() * (c("stop") * (1 - sign() * slip) - c("fill")) / k - cost - entry - slip * F.abs("stop") / k - gap * c("atr") / k)
+        .when(c("hit") == "tp", sign() * (c("target") - c("fill")) / k - cost - entry)
+        .when(timed, sign() * (px - c("fill")) / k - cost - entry - slip * F.abs(px) / k)
     )
     return out.withColumn("r_pess", F.when(k > 0, value)).drop("hit_idx", "hit", "last_idx", "last_close")
 
@@ -120,9 +126,9 @@ def reverse_exit(events: DataFrame, bars: DataFrame, horizon: int = 500, fee: fl
     last = bars.groupBy("symbol").agg(F.max("idx").alias("_last"))
     ev = ev.join(last, "symbol").withColumn("_out", F.when(c("_n").isNull(), c("_last")).otherwise(F.least("_n", c("idx") + horizon)))
     ev = ev.withColumn("_out", F.least("_out", "_last")).withColumns({
-        "stop": c("close") - SIGN * c("risk"), "target": F.lit(None).cast("double")})
+        "stop": c("close") - sign() * c("risk"), "target": F.lit(None).cast("double")})
     hits = touches(ev, bars, ids, c("idx") + 1, c("_out"), horizon)
-    gross = F.when(c("hit") == "sl", -1.0).otherwise(SIGN * (F.coalesce("last_close", "close") - c("close")) / c("risk"))
+    gross = F.when(c("hit") == "sl", -1.0).otherwise(sign() * (F.coalesce("last_close", "close") - c("close")) / c("risk"))
     return hits.withColumns({
         "gross": gross, "net": gross - 2 * fee * c("close") / c("risk"), "exit_idx": F.coalesce("hit_idx", "_out"),
         "reason": F.when(c("hit") == "sl", "sl").otherwise("reverse"),
@@ -137,17 +143,17 @@ def trailing_exit(events: DataFrame, bars: DataFrame, horizon: int, trail: Colum
     from pyspark.sql import Window
 
     ids = ["symbol", "idx"]
-    ev = events.withColumns({"_trail": trail, "_stop0": c("close") - SIGN * c("risk")})
+    ev = events.withColumns({"_trail": trail, "_stop0": c("close") - sign() * c("risk")})
     pairs = bars_between(ev, bars, c("idx") + 1, c("idx") + horizon, max(64, horizon), ["high", "low", "close"])
     before = Window.partitionBy(*ids).orderBy("b_idx").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.when(LONG, F.max("b_high").over(before) - c("_trail")).otherwise(F.min("b_low").over(before) + c("_trail"))
-    pairs = pairs.withColumn("_s", F.when(LONG, F.greatest("_stop0", best)).otherwise(F.least("_stop0", best)))
-    out_at = F.when(LONG, c("b_low") <= c("_s")).otherwise(c("b_high") >= c("_s"))
+    best = F.when(is_long(), F.max("b_high").over(before) - c("_trail")).otherwise(F.min("b_low").over(before) + c("_trail"))
+    pairs = pairs.withColumn("_s", F.when(is_long(), F.greatest("_stop0", best)).otherwise(F.least("_stop0", best)))
+    out_at = F.when(is_long(), c("b_low") <= c("_s")).otherwise(c("b_high") >= c("_s"))
     seen = pairs.groupBy(*ids).agg(
         F.min(F.when(out_at, F.struct("b_idx", "_s"))).alias("_x"), F.max("b_idx").alias("_li"), F.max_by("b_close", "b_idx").alias("_lc"))
     out = ev.join(seen, ids, "left")
     price = F.coalesce("_x._s", "_lc", "close")
-    gross = SIGN * (price - c("close")) / c("risk")
+    gross = sign() * (price - c("close")) / c("risk")
     return out.withColumns({
         "exit_idx": F.coalesce("_x.b_idx", "_li", "idx"), "exit_price": price, "gross": gross,
         "net": gross - 2 * fee * c("close") / c("risk"), "reason": F.when(c("_x").isNotNull(), "trail").otherwise("time"),
@@ -157,11 +163,11 @@ def trailing_exit(events: DataFrame, bars: DataFrame, horizon: int, trail: Colum
 def excursions(events: DataFrame, bars: DataFrame, ids: list[str], hold: int) -> DataFrame:
     """Best and worst move from ``fill_idx`` on, up to the bar before the stop is hit, in ATR and R."""
     pairs = bars_between(events, bars, c("fill_idx"), c("fill_idx") + hold - 1, max(64, hold), ["high", "low"])
-    stopped = F.when(LONG, c("b_low") <= c("stop")).otherwise(c("b_high") >= c("stop"))
+    stopped = F.when(is_long(), c("b_low") <= c("stop")).otherwise(c("b_high") >= c("stop"))
     cut = pairs.groupBy(*ids).agg(F.min(F.when(stopped, c("b_idx"))).alias("_cut"))
     live = pairs.join(cut, ids).filter(c("_cut").isNull() | (c("b_idx") < c("_cut")))
-    up = F.when(LONG, c("b_high") - c("fill")).otherwise(c("fill") - c("b_low"))
-    dn = F.when(LONG, c("fill") - c("b_low")).otherwise(c("b_high") - c("fill"))
+    up = F.when(is_long(), c("b_high") - c("fill")).otherwise(c("fill") - c("b_low"))
+    dn = F.when(is_long(), c("fill") - c("b_low")).otherwise(c("b_high") - c("fill"))
     best = live.groupBy(*ids).agg(F.greatest(F.max(up), F.lit(0.0)).alias("_f"), F.greatest(F.max(dn), F.lit(0.0)).alias("_a"))
     risk = F.abs(c("fill") - c("stop"))
     ok = (risk > 0) & (c("atr") > 0)
@@ -190,8 +196,8 @@ def mfe_mae(signals: DataFrame, bars: DataFrame, side: str = "long", horizon: in
         start = c("entry_idx") + 1
     if incomplete == "drop":
         ev = ev.filter(start + horizon - 1 <= c("_last"))
-    sign = 1.0 if side == "long" else -1.0
-    ev = ev.withColumn("stop", c("entry_price") - sign * sl_atr * c("atr"))
+    way = 1.0 if side == "long" else -1.0
+    ev = ev.withColumn("stop", c("entry_price") - way * sl_atr * c("atr"))
     ids = ["symbol", "idx"]
     pairs = bars_between(ev, bars, start, start + horizon - 1, max(64, horizon), ["high", "low"])
     touched = c("b_low") <= c("stop") if side == "long" else c("b_high") >= c("stop")
@@ -217,7 +223,7 @@ def limit_fill(events: DataFrame, bars: DataFrame, ids: list[str], level: Column
     ev = events.withColumn("_lv", level)
     pairs = bars_between(ev, bars, c("idx") + 1, c("idx") + wait, 64, ["high", "low", "atr"])
     buf = buf_atr * F.coalesce("b_atr", F.lit(0.0))
-    hit = F.when(LONG, c("b_low") <= c("_lv") - buf).otherwise(c("b_high") >= c("_lv") + buf)
+    hit = F.when(is_long(), c("b_low") <= c("_lv") - buf).otherwise(c("b_high") >= c("_lv") + buf)
     fills = pairs.filter(hit).groupBy(*ids).agg(F.min("b_idx").alias("fill_idx"))
     return ev.drop("_lv").join(fills, ids, "left")
 
@@ -264,24 +270,24 @@ def stop_levels(rows: DataFrame, rules: list[str], targets: list[float], min_ris
         elif kind == "zone":
             base, dist = c("zone"), k
         elif kind == "anchor":
-            base = F.when(LONG, _anchor(rest[0], True)).otherwise(_anchor(rest[0], False))
+            base = F.when(is_long(), _anchor(rest[0], True)).otherwise(_anchor(rest[0], False))
             dist = k
         else:
             raise ValueError(f"unknown stop rule {rule!r}")
-        per_rule.append(F.struct(F.lit(rule).alias("rule"), (base - SIGN * dist * c("atr")).alias("stop")))
+        per_rule.append(F.struct(F.lit(rule).alias("rule"), (base - sign() * dist * c("atr")).alias("stop")))
     grid = rows.withColumn("_r", F.explode(F.array(*per_rule))).withColumn("target_r", F.explode(F.array(*[F.lit(t) for t in targets])))
     risk = F.abs(c("close") - c("_r.stop"))
     ok = (risk > 0) & (risk >= min_risk_atr * c("atr"))
     return grid.withColumns({
         "rule": c("_r.rule"), "stop": F.when(ok, c("_r.stop")),
-        "target": F.when(ok, c("close") + SIGN * c("target_r") * risk)}).drop("_r")
+        "target": F.when(ok, c("close") + sign() * c("target_r") * risk)}).drop("_r")
 
 
 _SIDES = {"avsl": ("a_avsl", None), "avsr": (None, "a_avsr"), "hilo": ("a_hilo_l", "a_hilo_s"), "st": ("a_st", "a_st"), "bb": ("a_bb_l", "a_bb_u")}
 
 
-def _anchor(name: str, is_long: bool) -> Column:
-    found = _SIDES.get(name, (None, None))[0 if is_long else 1]
+def _anchor(name: str, up: bool) -> Column:
+    found = _SIDES.get(name, (None, None))[0 if up else 1]
     return c(found) if found else F.lit(None).cast("double")
 
 
@@ -296,6 +302,6 @@ def gap_through_stop(exits: DataFrame, bars: DataFrame) -> DataFrame:
     """Stop exits whose bar opened beyond the stop."""
     opens = bars.select("symbol", c("idx").alias("exit_idx"), c("open").alias("_o"))
     hit = exits.filter(c("reason") == "sl").join(opens, ["symbol", "exit_idx"])
-    beyond = F.when(LONG, c("_o") < c("stop")).otherwise(c("_o") > c("stop"))
+    beyond = F.when(is_long(), c("_o") < c("stop")).otherwise(c("_o") > c("stop"))
     return hit.groupBy("symbol").agg(F.count(F.lit(1)).alias("stops"), F.count_if(beyond).alias("gapped"),
                                      F.max(F.when(beyond, F.abs(c("_o") - c("stop")) / c("risk"))).alias("worst_r"))

@@ -368,8 +368,8 @@ def book_turnover(spark, d):
     return rounded(X.turnover(X.top_bottom_book(_panel(spark, d), 5, 4)), ["day"], ["turnover"])
 
 
-@query("book_similarity", _BOOK + f""", m AS (SELECT DISTINCT day, symbol FROM q WHERE w > 0), n AS (SELECT day, count(*) AS n FROM m GROUP BY 1), k AS (SELECT a.day, count(*) AS k FROM m a JOIN m z ON z.day = a.day - 1 AND z.symbol = a.symbol GROUP BY 1)
-SELECT n.day, {sr('coalesce(k, 0) / (n.n + p.n - coalesce(k, 0))::DOUBLE')} AS jaccard FROM n JOIN n p ON p.day = n.day - 1 LEFT JOIN k ON k.day = n.day""")
+@query("book_similarity", _BOOK + f""", m AS (SELECT DISTINCT day, symbol FROM q WHERE w > 0), n AS (SELECT day, count(*) AS n FROM m GROUP BY 1), kk AS (SELECT a.day, count(*) AS k FROM m a JOIN m z ON z.day = a.day - 1 AND z.symbol = a.symbol GROUP BY 1)
+SELECT n.day, {sr('coalesce(k, 0) / (n.n + p.n - coalesce(k, 0))::DOUBLE')} AS jaccard FROM n JOIN n p ON p.day = n.day - 1 LEFT JOIN kk ON kk.day = n.day""")
 def book_similarity(spark, d):
     return rounded(X.set_similarity(X.top_bottom_book(_panel(spark, d), 5, 4).filter("w > 0")), ["day"], ["jaccard"])
 
@@ -417,7 +417,7 @@ def value_counts(spark, d):
     return T.table(spark, d, "events").groupBy("event_type", (c("user_id") % 3).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("funnel_counts", "SELECT event_type, count(*) AS seen, count_if(value > 10) AS priced, count_if(value > 10 AND user_id > 20) AS known, count_if(value > 10 AND user_id > 20 AND value < 100) AS kept FROM events GROUP BY 1")
+@query("funnel_counts", "SELECT event_type, count(*) AS seen, count_if(value > 10)::BIGINT AS priced, count_if(value > 10 AND user_id > 20)::BIGINT AS known, count_if(value > 10 AND user_id > 20 AND value < 100)::BIGINT AS kept FROM events GROUP BY 1")
 def funnel_counts(spark, d):
     a, b, z = c("value") > 10, c("user_id") > 20, c("value") < 100
     return T.table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("seen"), F.count_if(a).alias("priced"), F.count_if(a & b).alias("known"), F.count_if(a & b & z).alias("kept"))
@@ -456,10 +456,10 @@ def pair_correlations(spark, d):
  (SELECT l_suppkey, min(l_shipdate) AS a, max(l_shipdate) AS z FROM lineitem GROUP BY 1) s ON s.a <= d AND d <= s.z GROUP BY 1""")
 def point_in_time_universe(spark, d):
     li = T.table(spark, d, "lineitem")
-    months = li.select(F.date_trunc("month", "l_shipdate").alias("d")).distinct()
+    months = li.select(F.date_trunc("month", c("l_shipdate").cast("timestamp")).cast("timestamp").alias("d")).distinct()
     life = li.groupBy("l_suppkey").agg(F.date_trunc("month", F.min("l_shipdate")).alias("m0"), F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("z"))
     # each listing is expanded to its own months, then matched on the month
-    alive = life.select("a", "z", F.explode(F.expr("sequence(cast(m0 as date), cast(z as date), interval 1 month)")).cast("timestamp").alias("d"))
+    alive = life.select("a", "z", F.explode(F.expr("sequence(cast(m0 as date), cast(z as date), interval 1 month)")).alias("d")).withColumn("d", c("d").cast("timestamp"))
     hit = alive.join(months, "d").filter((c("a") <= c("d")) & (c("d") <= c("z")))
     return hit.groupBy((F.unix_millis("d") / DAY_MS).cast("long").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
