@@ -25,6 +25,7 @@ Arrays = dict[str, np.ndarray]
 Kernel = Callable[[Arrays, list[float] | None], tuple[Arrays, list[float]]]
 
 TOLERANCE = 1e-12
+SIZE = 4096
 
 
 def fold(
@@ -33,7 +34,7 @@ def fold(
     inputs: list[str],
     outputs: dict[str, str],
     warmup: int = 512,
-    size: int = 4096,
+    size: int | None = None,
     key: str = KEY,
     keep: list[str] | None = None,
 ) -> DataFrame:
@@ -41,7 +42,7 @@ def fold(
 
     ``outputs`` maps output names to SQL types; ``keep`` lists input columns to return.
     """
-    keep = list(keep or [])
+    keep, size = list(keep or []), size or SIZE
     cols = list(dict.fromkeys(["idx", *inputs, *keep]))
     frame = Frame.of_numbered(numbered.select(key, *cols), back=warmup, size=size, key=key)
     key_type = numbered.schema[key].dataType.simpleString()

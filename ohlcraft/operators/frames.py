@@ -48,6 +48,23 @@ def number_bars(bars: DataFrame, bar_ms: int, key: str = KEY, ts: str = "ts", ti
     )
 
 
+def ordinals(df: DataFrame, keys: list[str], order: list[str], out: str = "idx") -> DataFrame:
+    """0-based rank inside ``keys`` by any sortable columns, without sorting a key in one task.
+
+    Rows are range-partitioned on keys and order together, so a large key or a heavy tie spreads
+    over many partitions; ranks are the rank in the partition plus the rows of the key in the
+    partitions before it. The partition number is written out first, so that both uses agree.
+    """
+    from ..sources.store import settled
+
+    tagged = settled(df.repartitionByRange(*keys, *order).withColumn("_pid", F.spark_partition_id()))
+    counts = tagged.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_pid").orderBy(*order))
+    return tagged.join(offsets, [*keys, "_pid"]).withColumn(out, (F.col("_off") + rank - 1).cast("long")).drop("_pid", "_off")
+
+
 @dataclass(frozen=True)
 class Frame:
     """Bars laid out as overlapping chunks, plus the reach of the overlap."""
@@ -64,7 +81,7 @@ class Frame:
         bar_ms: int,
         back: int,
         ahead: int = 0,
-        size: int = SIZE,
+        size: int | None = None,
         key: str = KEY,
     ) -> "Frame":
         """Number the bars and copy each one into every chunk that can see it."""
@@ -73,8 +90,9 @@ class Frame:
 
     @staticmethod
     def of_numbered(
-        numbered: DataFrame, back: int, ahead: int = 0, size: int = SIZE, key: str = KEY
+        numbered: DataFrame, back: int, ahead: int = 0, size: int | None = None, key: str = KEY
     ) -> "Frame":
+        size = size or SIZE
         first = F.greatest(F.floor((F.col("idx") - ahead) / size), F.lit(0))
         last = F.floor((F.col("idx") + back) / size)
         df = numbered.withColumn("chunk", F.explode(F.sequence(first.cast("long"), last.cast("long"))))

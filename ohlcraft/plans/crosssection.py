@@ -6,27 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import ratio
-from ..operators.frames import Frame
+from ..operators.frames import Frame, ordinals
 
 c = F.col
 
 
-def exact_rank(df: DataFrame, by: str, tie: list[str], out: str = "rank", buckets: int = 64) -> DataFrame:
-    """0-based global rank without sorting everything in one task.
-
-    Approximate quantiles cut the values into ranges; ranges are counted, and a row's rank is the
-    number of rows in lower ranges plus its rank inside its own range. Equal values stay in one
-    range, and are split further by a hash so that a heavy tie cannot fill one task.
-    """
-    edges = df.agg(F.percentile_approx(by, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000).alias("_e"))
-    cut = df.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter(F.coalesce("_e", F.array().cast("array<double>")), lambda e: e < c(by)))).drop("_e")
-    # many rows can share one value: inside a range order by value, then by the ordered tie columns
-    sub = F.struct(c(by), *[c(t) for t in tie])
-    counts = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inner = F.row_number().over(Window.partitionBy("_b").orderBy(sub))
-    return cut.join(F.broadcast(offs), "_b").withColumn(out, c("_o") + inner - 1).drop("_b", "_o")
+def exact_rank(df: DataFrame, by: str, tie: list[str], out: str = "rank") -> DataFrame:
+    """0-based global rank; equal values are ordered by the tie columns."""
+    return ordinals(df, [], [by, *tie], out)
 
 
 def rank_normalize(df: DataFrame, by: str, tie: list[str], out: str = "score01") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.averages import rma
@@ -14,7 +14,7 @@ from ..functions.volatility import adx as adx_ind
 from ..functions.volatility import atr as atr_ind
 from ..operators import kernels as K
 from ..operators.fold import fold
-from ..operators.frames import Frame, number_bars
+from ..operators.frames import Frame, number_bars, ordinals
 from ..operators.intervals import bars_between, chunk_summary, first_crossing
 from ..sources.store import settled
 
@@ -261,7 +261,7 @@ def _flow_shift(pairs: DataFrame, piv: DataFrame, cfg: BlockConfig) -> DataFrame
 def cluster_blocks(blocks: DataFrame, tolerance: float, max_gap_ms: int | None) -> DataFrame:
     """Merge blocks of one type that follow each other in price within the tolerance."""
     keyed = blocks.withColumns({"_k": F.concat_ws("|", "symbol", "block_type"), "_mid": (c("zone_low") + c("zone_high")) / 2, "start": c("start_ts")})
-    rows = number_bars_by_value(keyed, "_k", "_mid", ("start", "idx")).withColumns({"zlo": c("zone_low"), "zhi": c("zone_high")})
+    rows = ordinals(keyed.withColumnRenamed("idx", "_i"), ["_k"], ["_mid", "start", "_i"]).withColumns({"zlo": c("zone_low"), "zhi": c("zone_high")})
     done = fold(rows, K.chain_clusters(tolerance, max_gap_ms), ["zlo", "zhi", "start"], {"cluster": "long"}, key="_k",
                 keep=["symbol", "block_type", "start", "break_idx", "retest_idx", "zone_low", "zone_high", "strength"])
     return done.groupBy("symbol", "block_type", "cluster").agg(
@@ -269,18 +269,6 @@ def cluster_blocks(blocks: DataFrame, tolerance: float, max_gap_ms: int | None)
         F.min("zone_low").alias("zone_low"), F.max("zone_high").alias("zone_high"), F.max("strength").alias("strength"), F.count(F.lit(1)).alias("n_blocks"))
 
 
-def number_bars_by_value(df: DataFrame, key: str, value: str, ties: tuple[str, ...]) -> DataFrame:
-    """Ordinal by a real value: ranges of the value are counted and offset like time slots."""
-    width = df.agg(F.greatest((F.max(value) - F.min(value)) / 256, F.lit(1e-12)).alias("_w"), F.min(value).alias("_m"))
-    slotted = df.drop("idx").crossJoin(F.broadcast(width)) if "idx" not in ties else df.withColumnRenamed("idx", "_idx").crossJoin(F.broadcast(width))
-    slotted = slotted.withColumn("_slot", F.floor((c(value) - c("_m")) / c("_w")))
-    before = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offs = slotted.groupBy(key, "_slot").agg(F.count(F.lit(1)).alias("_n")).select(key, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    order = [value, *["_idx" if t == "idx" else t for t in ties]]
-    rank = F.row_number().over(Window.partitionBy(key, "_slot").orderBy(*order))
-    return slotted.join(offs, [key, "_slot"]).withColumn("idx", (c("_o") + rank - 1).cast("long")).drop("_slot", "_o", "_w", "_m", "_idx")
-
-
 def order_blocks(numbered: DataFrame, cfg: BlockConfig) -> DataFrame:
     """Bars to confirmed (and optionally merged) order blocks."""
     rows = settled(precompute(numbered, cfg))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.frames import SIZE, Frame
+from ..operators.frames import Frame
 from ..sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,17 +186,22 @@ class Sql:
 SHORT = {"open": "o", "high": "h", "low": "l", "close": "c", "volume": "v"}
 
 
-def framed(spark: SparkSession, sf_dir: str, back: int, ahead: int = 0, size: int = SIZE) -> Frame:
+def framed(spark: SparkSession, sf_dir: str, back: int, ahead: int = 0, size: int | None = None) -> Frame:
     return Frame.of_numbered(T.bars(spark, sf_dir), back, ahead, size)
 
 
+# name -> (back, ahead, build, output columns), for the chunk and prefix tests
+INDICATORS: dict[str, tuple] = {}
+
+
 def indicator(name: str, back: int, build, outs: list[str], sql: str | None, ahead: int = 0, digits: int = 6,
-              size: int = SIZE) -> None:
+              size: int | None = None) -> None:
     """Register an indicator over the hourly event bars."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(build(framed(spark, sf_dir, back, ahead, size)).core(), ["symbol", "idx"], outs, digits)
 
+    INDICATORS[name] = (back, ahead, build, outs)
     register(name, run, sql)
 
 

@@ -11,7 +11,7 @@ from ..functions import volatility as V
 from ..operators import kernels as K
 from ..operators.asof import asof
 from ..operators.fold import fold
-from ..operators.frames import DAY_MS, HOUR_MS, WEEK_MS, Frame, number_bars
+from ..operators.frames import DAY_MS, HOUR_MS, WEEK_MS, Frame, number_bars, ordinals
 from ..operators.resample import common_buckets, resample
 from ..plans import archive as AR
 from ..plans import crosssection as X
@@ -167,7 +167,7 @@ def panel(spark, d):
     keep = ["symbol", "idx", "ts", "is_long", "side", "family", "regime", "overlap", "close", "atr", "z", "slope", "zone", "zone_low", "zone_high",
             "a_avsl", "a_avsr", "a_hilo_l", "a_hilo_s", "a_st", "a_bb_l", "a_bb_u"]
     return stored(spark, "outcome_panel", d, lambda: PN.outcome_panel(
-        cands(spark, d).select(*keep), rows(spark, d), ["atr:2", "zone:0.5", "zone:1.0", "anchor:avsl:0.5", "anchor:bb:0.5"], PN.TARGETS, hold=24))
+        cands(spark, d).select(*keep), rows(spark, d), ["atr:2", "zone:0.5", "zone:1.0", "anchor:avsl:0.5", "anchor:bb:0.5"], PN.TARGETS, hold=24, min_risk_atr=0.4))
 
 
 _PN = f"WITH {_AL} {_BN}, al2 AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3 UNION ALL SELECT * FROM e4 UNION ALL SELECT * FROM e5), " + """
@@ -177,7 +177,7 @@ ex AS (SELECT cn.*, 'market' AS execution, cn.idx + 1 AS fill_idx, z.o * (1 + sg
  UNION ALL SELECT * FROM (SELECT cn.*, q.k AS execution, (SELECT min(z.idx) FROM rw z WHERE z.symbol = cn.symbol AND z.idx BETWEEN cn.idx + 1 AND cn.idx + 5 AND CASE WHEN is_long THEN z.l <= CASE WHEN q.k = 'limit:edge' THEN cn.zone ELSE (zone_low + zone_high) / 2 END - 0.1 * z.atr ELSE z.h >= CASE WHEN q.k = 'limit:edge' THEN cn.zone ELSE (zone_low + zone_high) / 2 END + 0.1 * z.atr END) AS fill_idx,
   CASE WHEN q.k = 'limit:edge' THEN cn.zone ELSE (zone_low + zone_high) / 2 END AS fill FROM cn JOIN rw nx ON nx.symbol = cn.symbol AND nx.idx = cn.idx + 1, (SELECT unnest(['limit:edge', 'limit:mid']) AS k) q)),
 rl AS MATERIALIZED (SELECT ex.*, rule, goal, CASE WHEN rule = 'atr:2' THEN close - sg * 2 * atr ELSE zone - sg * atr * CASE WHEN rule = 'zone:0.5' THEN 0.5 ELSE 1 END END AS stop FROM ex, (SELECT unnest(['atr:2', 'zone:0.5', 'zone:1.0']) AS rule) r, (SELECT unnest([2.0, 3.0])::DOUBLE AS goal) t),
-gd AS MATERIALIZED (SELECT *, fill + sg * goal * abs(fill - stop) AS target FROM (SELECT *, CASE WHEN abs(close - stop) > 0 THEN stop END AS s2 FROM rl) WHERE fill_idx IS NOT NULL AND s2 IS NOT NULL AND sg * (fill - stop) >= 0 AND abs(fill - stop) >= 0.5 * atr),
+gd AS MATERIALIZED (SELECT *, fill + sg * goal * abs(fill - stop) AS target FROM (SELECT *, CASE WHEN abs(close - stop) > 0 THEN stop END AS s2 FROM rl) WHERE fill_idx IS NOT NULL AND s2 IS NOT NULL AND sg * (fill - stop) >= 0 AND abs(fill - stop) >= 0.4 * atr),
 wk AS (SELECT g.symbol, g.idx, g.is_long, execution, rule, goal, min(CASE WHEN (is_long AND z.l <= stop) OR (NOT is_long AND z.h >= stop) THEN z.idx * 2 WHEN (is_long AND z.h >= target) OR (NOT is_long AND z.l <= target) THEN z.idx * 2 + 1 END) AS code, max(z.idx) AS lj, arg_max(z.c, z.idx) AS lc
  FROM gd g JOIN rw z ON z.symbol = g.symbol AND z.idx BETWEEN fill_idx AND fill_idx + 24 GROUP BY ALL),
 oc AS MATERIALIZED (SELECT g.*, CASE WHEN code IS NOT NULL THEN code // 2 WHEN lj = fill_idx + 24 THEN lj END AS exit_idx, CASE WHEN code % 2 = 0 THEN 'sl' WHEN code % 2 = 1 THEN 'tp' WHEN lj = fill_idx + 24 THEN 'time' END AS exit_reason,
@@ -261,11 +261,9 @@ def placebo_zones(spark, d):
 @query("label_permutation", f"""WITH {B}, a AS (SELECT symbol, idx, c FROM b), p AS (SELECT symbol, c, row_number() OVER (PARTITION BY symbol ORDER BY {hash_sql('13', 'idx')}, idx) - 1 AS idx FROM b) SELECT a.symbol, {sr('corr(a.c, p.c)', 5)} AS rho FROM a JOIN p USING (symbol, idx) GROUP BY 1""")
 def label_permutation(spark, d):
     """Labels dealt out again in the order of a hash."""
-    from ..plans.structure import number_bars_by_value
-
     a = T.bars(spark, d).select("symbol", "idx", "close")
     h = a.withColumn("_h", P.hashed(F.lit(13), c("idx")).cast("double")).withColumnRenamed("idx", "_i")
-    p = number_bars_by_value(h, "symbol", "_h", ("_i",)).select("symbol", "idx", c("close").alias("other"))
+    p = ordinals(h, ["symbol"], ["_h", "_i"]).select("symbol", "idx", c("close").alias("other"))
     return a.join(p, ["symbol", "idx"]).groupBy("symbol").agg(r6(F.corr("close", "other"), 5).alias("rho"))
 
 
@@ -370,20 +368,12 @@ def rolling_factor_share(spark, d):
 
 @query("spearman_streams", f"WITH {B}, r AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY c) + (count(*) OVER (PARTITION BY symbol, c) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol ORDER BY h - l) + (count(*) OVER (PARTITION BY symbol, h - l) - 1) / 2.0 AS z FROM b) SELECT symbol, {sr('corr(a, z)', 5)} AS rho FROM r GROUP BY 1")
 def spearman_streams(spark, d):
-    """Pearson on average ranks; ranks come from counts per distinct value, so no symbol is sorted in one task."""
-    from pyspark.sql import Window
-
-    b = T.bars(spark, d).select("symbol", "idx", c("close").alias("a"), (c("high") - c("low")).alias("z"))
+    """Pearson on average ranks: ordinals from range partitions, averaged over equal values."""
+    b = T.bars(spark, d).select("symbol", c("idx").alias("_i"), c("close").alias("a"), (c("high") - c("low")).alias("z"))
     out = b
     for x in ("a", "z"):
-        n = b.groupBy("symbol", x).agg(F.count(F.lit(1)).alias("_k"))
-        w = n.groupBy("symbol").agg(F.max(x).alias("_hi"), F.min(x).alias("_lo"))
-        n = n.join(w, "symbol").withColumn("_s", F.floor(256 * (c(x) - c("_lo")) / F.greatest(c("_hi") - c("_lo"), F.lit(1e-12))))
-        pre = Window.partitionBy("symbol").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-        offs = n.groupBy("symbol", "_s").agg(F.sum("_k").alias("_t")).select("symbol", "_s", F.coalesce(F.sum("_t").over(pre), F.lit(0)).alias("_o"))
-        inner = Window.partitionBy("symbol", "_s").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-        n = n.join(offs, ["symbol", "_s"]).select("symbol", x, (c("_o") + F.coalesce(F.sum("_k").over(inner), F.lit(0)) + (c("_k") + 1) / 2).alias(f"r{x}"))
-        out = out.join(n, ["symbol", x])
+        ranks = ordinals(b.select("symbol", "_i", x), ["symbol"], [x, "_i"], "_r")
+        out = out.join(ranks.groupBy("symbol", x).agg((F.avg("_r") + 1).alias(f"r{x}")), ["symbol", x])
     return out.groupBy("symbol").agg(r6(F.corr("ra", "rz"), 5).alias("rho"))
 
 

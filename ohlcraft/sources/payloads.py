@@ -83,7 +83,7 @@ def epoch_to_ms(df: DataFrame, ts: str = "ts", by: list[str] | None = None) -> D
     """Seconds become milliseconds when the largest stamp of the source says so."""
     by = by or []
     top = df.groupBy(*by).agg(F.max(ts).alias("_top"))
-    joined = df.join(F.broadcast(top), by) if by else df.crossJoin(F.broadcast(top))
+    joined = df.join(top, by) if by else df.crossJoin(F.broadcast(top))
     return joined.withColumn(ts, F.when(F.col("_top") < 10**11, F.col(ts) * 1000).otherwise(F.col(ts))).drop("_top")
 
 
