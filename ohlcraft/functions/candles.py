@@ -27,47 +27,55 @@ class Bars:
     def __init__(self, frame: Frame, strict: bool = False, symmetric: bool = False, min_body: float | None = None,
                  max_shadow: float | None = None):
         names = {"o": "open", "h": "high", "l": "low", "c": "close"}
+        self._made: dict = {}
         self.strict, self.symmetric, self.limits = strict, symmetric, (min_body, max_shadow)
         self.frame = frame.add(**{f"_{s}{k}": frame.lag(col(n), k) for k in range(DEPTH) for s, n in names.items()})
 
+    def _once(self, name: str, k: int, make: Callable[[], Column]) -> Column:
+        """Patterns share their building blocks, so each is made once."""
+        key = (name, k)
+        if key not in self._made:
+            self._made[key] = make()
+        return self._made[key]
+
     def o(self, k):
-        return col(f"_o{k}")
+        return self._once("o", k, lambda: col(f"_o{k}"))
 
     def h(self, k):
-        return col(f"_h{k}")
+        return self._once("h", k, lambda: col(f"_h{k}"))
 
     def l(self, k):
-        return col(f"_l{k}")
+        return self._once("l", k, lambda: col(f"_l{k}"))
 
     def c(self, k):
-        return col(f"_c{k}")
+        return self._once("c", k, lambda: col(f"_c{k}"))
 
     def white(self, *ks):
-        return both(*[self.c(k) > self.o(k) for k in ks])
+        return both(*[self._once("white", k, lambda k=k: self.c(k) > self.o(k)) for k in ks])
 
     def black(self, *ks):
-        return both(*[self.c(k) < self.o(k) for k in ks])
+        return both(*[self._once("black", k, lambda k=k: self.c(k) < self.o(k)) for k in ks])
 
     def body(self, k):
-        return F.abs(self.c(k) - self.o(k))
+        return self._once("body", k, lambda: F.abs(self.c(k) - self.o(k)))
 
     def rng(self, k):
-        return self.h(k) - self.l(k)
+        return self._once("rng", k, lambda: self.h(k) - self.l(k))
 
     def top(self, k):
-        return F.greatest(self.o(k), self.c(k))
+        return self._once("top", k, lambda: F.greatest(self.o(k), self.c(k)))
 
     def bot(self, k):
-        return F.least(self.o(k), self.c(k))
+        return self._once("bot", k, lambda: F.least(self.o(k), self.c(k)))
 
     def up(self, k):
-        return self.h(k) - self.top(k)
+        return self._once("up", k, lambda: self.h(k) - self.top(k))
 
     def lo(self, k):
-        return self.bot(k) - self.l(k)
+        return self._once("lo", k, lambda: self.bot(k) - self.l(k))
 
     def mid(self, k):
-        return (self.o(k) + self.c(k)) / 2
+        return self._once("mid", k, lambda: (self.o(k) + self.c(k)) / 2)
 
     def big(self, k, share):
         return (self.rng(k) > 0) & (self.body(k) >= share * self.rng(k))

@@ -412,3 +412,20 @@ def _brake(limit: float, pause: int):
 def drawdown_brake(stream: DataFrame, limit: float, pause: int, book: str = BOOK) -> DataFrame:
     """Stop trading for ``pause`` bars after a fall of ``limit`` from the peak."""
     return fold(stream, _brake(limit, pause), ["idx", "r"], {"active": "boolean", "r_used": "double"}, key=book, keep=["r"])
+
+
+def correlation_clusters(panel: DataFrame, limit: float = 0.8, by: str = "idx", asset: str = "symbol", x: str = "r", cap: int = 2) -> DataFrame:
+    """Assets joined by correlations above ``limit``, labelled by the smallest member, with the cap per cluster.
+
+    The smallest label spreads along edges until nothing changes; the edge list is at most assets².
+    """
+    edges = settled(correlation_matrix(panel, by, asset, x).filter((c("rho") > limit) | (c("a") == c("b"))).select("a", "b"))
+    labels = edges.groupBy("a").agg(F.min("b").alias("label"))
+    while True:
+        nxt = settled(edges.join(labels.select(c("a").alias("b"), c("label").alias("_l")), "b").groupBy("a").agg(F.min("_l").alias("label")))
+        changed = nxt.join(labels.select("a", c("label").alias("_o")), "a").filter("label != _o")
+        labels = nxt
+        if changed.isEmpty():
+            break
+    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    return labels.join(size, "label").select(c("a").alias("asset"), c("label").alias("cluster"), "members", F.least("members", F.lit(cap)).alias("cap"))

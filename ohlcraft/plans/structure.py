@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.averages import rma
@@ -485,3 +485,127 @@ def map_to_base(blocks: DataFrame, htf: DataFrame, base: DataFrame, htf_ms: int,
         m = at.select("symbol", c("idx").alias(name), c("base_idx").alias(f"base_{name}"))
         out = out.join(m, ["symbol", name], "left")
     return out
+
+
+def peaks(numbered: DataFrame, x: str = "high", prominence: float = 0.01, distance: int = 5, plateau: int = 0, wlen: int | None = None,
+          valley: bool = False) -> DataFrame:
+    """Local maxima (minima for ``valley``) kept by height, then by prominence. Looks ahead.
+
+    A plateau counts once, at its middle. Higher peaks suppress lower ones closer than ``distance``:
+    a peak is decided once every higher neighbour is, so rounds repeat until all are.
+    """
+    from ..operators.running import running
+
+    sign = -1.0 if valley else 1.0
+    b = numbered.select("symbol", "idx", (sign * c(x)).alias("x"))
+    f = Frame.of_numbered(b, 2, 2)
+    f = f.add(_new=F.when(F.coalesce(c("x") != f.lag(c("x")), F.lit(True)), c("idx")), _pv=f.lag(c("x")))
+    runs = running(f, 1, run=("last", c("_new"))).core("symbol", "idx", "x", "run", "_pv")
+    g = runs.groupBy("symbol", "run").agg(F.max("idx").alias("z"), F.max("x").alias("x"), F.max_by("_pv", F.when(c("idx") == c("run"), c("idx"))).alias("left"))
+    nxt = b.select("symbol", (c("idx") - 1).alias("z"), c("x").alias("right"))
+    g = g.join(nxt, ["symbol", "z"]).filter((c("x") > c("left")) & (c("x") > c("right")) & (c("z") - c("run") + 1 >= plateau))
+    cur = settled(g.select("symbol", F.floor((c("run") + c("z")) / 2).alias("idx"), "x"))
+    kept = None
+    while distance > 1:
+        near = Frame.of_numbered(cur, distance, distance)
+        span = near.w.rangeBetween(-(distance - 1), distance - 1)
+        top = F.max(F.struct(c("x"), (-c("idx")).alias("k"))).over(span)
+        now = settled(near.add(_top=top).core("symbol", "idx", "x", (-c("_top.k") == c("idx")).alias("best")))
+        best = now.filter("best").drop("best")
+        kept = best if kept is None else settled(kept.unionByName(best))
+        shadow = best.select("symbol", F.explode(F.sequence(c("idx") - (distance - 1), c("idx") + (distance - 1))).alias("idx")).distinct()
+        cur = settled(now.filter(~c("best")).drop("best").join(shadow, ["symbol", "idx"], "left_anti"))
+        if cur.isEmpty():
+            break
+    found = kept if kept is not None else cur
+    if prominence <= 0:
+        return found.select("symbol", "idx", (sign * c("x")).alias("price"))
+    # prominent on a side: the price falls far enough before it rises above the peak
+    flipped = b.select("symbol", (-c("idx")).alias("idx"), "x")
+    out = found
+    for name, bars, at in (("r", b, c("idx")), ("l", _shifted(flipped, numbered), c("_m"))):
+        ev = out if name == "r" else _mirror(out, numbered)
+        ev = settled(first_crossing(ev, bars, ["symbol", "idx"], at, "x", c("x") - prominence, F.lit(True), f"{name}d", ZONE_CHUNK, inclusive=True))
+        ev = settled(first_crossing(ev, bars, ["symbol", "idx"], at, "x", c("x"), F.lit(False), f"{name}u", ZONE_CHUNK))
+        ok = c(f"{name}d").isNotNull() & (c(f"{name}u").isNull() | (c(f"{name}d") < c(f"{name}u")))
+        if wlen:
+            ok = ok & (c(f"{name}d") - at <= wlen // 2)
+        out = ev.filter(ok).select("symbol", "idx", "x")
+    return out.select("symbol", "idx", (sign * c("x")).alias("price"))
+
+
+def _last_idx(numbered: DataFrame) -> DataFrame:
+    return numbered.groupBy("symbol").agg(F.max("idx").alias("_l"))
+
+
+def _shifted(flipped: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Bars counted from the end of each symbol."""
+    return flipped.join(_last_idx(numbered), "symbol").select("symbol", (c("idx") + c("_l")).alias("idx"), "x")
+
+
+def _mirror(events: DataFrame, numbered: DataFrame) -> DataFrame:
+    return events.join(_last_idx(numbered), "symbol").withColumn("_m", c("_l") - c("idx")).drop("_l")
+
+
+def first_zone_at(points: DataFrame, zones: DataFrame, prices: list[str], cells: int = 4096) -> DataFrame:
+    """Smallest ``block_id`` among zones ended by the bar that contain one of its prices.
+
+    The price axis of a symbol is cut into cells. A zone that covers a whole cell counts for every price
+    in it, so an as-of join on time finds the smallest id so far; only the two cells at a zone's edges
+    compare prices.
+    """
+    from ..operators.asof import asof
+
+    span = zones.groupBy("symbol").agg(F.min("zone_low").alias("_a"), F.max("zone_high").alias("_b")).withColumn(
+        "_w", F.greatest((c("_b") - c("_a")) / cells, F.lit(1e-12)))
+    cell = lambda v: F.floor((v - c("_a")) / c("_w"))
+    z = zones.join(span, "symbol").withColumns({"_c0": cell(c("zone_low")), "_c1": cell(c("zone_high"))})
+    key = lambda: F.concat_ws("|", "symbol", c("_cell").cast("string")).alias("_key")
+    inner = z.filter(c("_c1") - c("_c0") >= 2).withColumn("_cell", F.explode(F.sequence(c("_c0") + 1, c("_c1") - 1)))
+    by = Window.partitionBy("_key").orderBy("end_idx", "block_id").rowsBetween(Window.unboundedPreceding, 0)
+    steps = inner.groupBy(key(), "end_idx").agg(F.min("block_id").alias("block_id")).withColumn("best", F.min("block_id").over(by))
+    p = points.join(span, "symbol").withColumn("_px", F.explode(F.array(*[c(x) for x in prices]))).withColumn("_cell", cell(c("_px")))
+    p = p.select("symbol", "idx", "_px", "_cell", key())
+    full = asof(p, steps, "idx", "end_idx", ["best"], 1024, key="_key").select("symbol", "idx", c("best").alias("block_id"))
+    edge = z.withColumn("_cell", F.explode(F.array_distinct(F.array("_c0", "_c1")))).select("symbol", "_cell", "zone_low", "zone_high", "end_idx", "block_id")
+    part = p.join(edge, ["symbol", "_cell"]).filter((c("_px") >= c("zone_low")) & (c("_px") <= c("zone_high")) & (c("end_idx") <= c("idx")))
+    both = full.filter(c("block_id").isNotNull()).unionByName(part.select("symbol", "idx", "block_id"))
+    return both.groupBy("symbol", "idx").agg(F.min("block_id").alias("block_id"))
+
+
+LEVELS = 24  # up to 2**24 zones per symbol
+
+
+def nearest_zones(points: DataFrame, zones: DataFrame, known: str, price: str = "close", span: float = 10.0) -> DataFrame:
+    """Distance from the price to the nearest zone below and above among those known by the bar; zero inside one.
+
+    Zones never expire, so a bar must not meet each of them. In order of becoming known they form
+    blocks of 1, 2, 4, … zones; the zones known at a bar are at most one block per size. In a block the
+    answer is an as-of join on price: the last upper edge below, the first lower edge above, and from
+    the ranks of both whether a zone holds the price. ``span`` is a price step that holds few edges.
+    """
+    from ..operators.asof import asof
+
+    z = settled(ordinals(zones.select("symbol", known, "zone_low", "zone_high"), ["symbol"], [known, "zone_low", "zone_high"], "zn"))
+    total = z.groupBy("symbol").agg(F.count(F.lit(1)).alias("_m"))
+    if not total.filter(c("_m") >= 2**LEVELS).isEmpty():
+        raise ValueError("too many zones in one symbol")
+    at = z.groupBy("symbol", known).agg((F.max("zn") + 1).alias("n"))
+    p = asof(points.select("symbol", "idx", c(price).alias("px")), at, "idx", known, ["n"], 1024).filter(c("n").isNotNull())
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    key = F.concat_ws("|", "symbol", c("lv").cast("string"), c("blk").cast("string"))
+    at_level = lambda x: F.expr(f"shiftright({x}, lv)")
+    zc = z.withColumn("lv", level).withColumn("blk", at_level("zn")).withColumn("_key", key)
+    pc = p.withColumn("lv", level).filter(at_level("n") % 2 == 1).withColumn("blk", at_level("n") - 1).withColumn("_key", key).select("_key", "symbol", "idx", "px")
+    lows = ordinals(zc.select("_key", "zone_low", "zn"), ["_key"], ["zone_low", "zn"], "k")
+    highs = ordinals(zc.select("_key", "zone_high", "zn"), ["_key"], ["zone_high", "zn"], "k")
+    first_low = lows.groupBy("_key", "zone_low").agg(F.min("k").alias("n_low"))
+    last_high = highs.groupBy("_key", "zone_high").agg((F.max("k") + 1).alias("n_high"))
+    size = zc.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"))
+    j = asof(pc, first_low.withColumn("lo", c("zone_low")), "px", "zone_low", ["lo", "n_low"], span, key="_key", forward=True)
+    j = asof(j, last_high.withColumn("hi", c("zone_high")), "px", "zone_high", ["hi", "n_high"], span, key="_key").join(size, "_key")
+    # zones that start under the price minus those that end at or under it
+    j = j.withColumn("_in", F.coalesce("n_low", "_size") - F.coalesce("n_high", F.lit(0)) > 0)
+    g = j.groupBy("symbol", "idx").agg(F.min(c("px") - c("hi")).alias("_b"), F.min(c("lo") - c("px")).alias("_a"), F.max("_in").alias("_i"))
+    g = g.select("symbol", "idx", F.when(c("_i"), 0.0).otherwise(c("_b")).alias("below"), F.when(c("_i"), 0.0).otherwise(c("_a")).alias("above"))
+    return points.select("symbol", "idx").join(g, ["symbol", "idx"], "left")

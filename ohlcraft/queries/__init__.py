@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLES, QUERIES
 
-MODULES = ["averages", "momentum", "volatility", "candles", "core", "trading", "structure", "research"]
+MODULES = ["averages", "momentum", "volatility", "candles", "core", "trading", "structure", "research", "more"]
 
 
 def load() -> tuple[dict, dict]:

@@ -37,6 +37,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def stored(
     spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], partitions: list[str] | None = None
 ) -> DataFrame:
@@ -47,7 +50,10 @@ def stored(
     if not _exists(spark, path):
         writer = build().write.mode("overwrite")
         (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
-    return spark.read.parquet(path)
+        _SCHEMAS.pop(path, None)
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def settled(df: DataFrame) -> DataFrame:
