@@ -33,10 +33,11 @@ def atr(f: Frame, out: str = "atr", n: int = 14, mode: str = "rma", drift: int =
 
 
 def research_atr(f: Frame, out: str = "atr", n: int = 14) -> Frame:
-    """Mean true range over what exists: the first bar counts its own range."""
+    """Mean true range over what exists: the first bar counts its own range; never zero."""
     prev = F.coalesce(f.lag(c("close")), c("close"))
     f = f.add(_tr=F.greatest(c("high") - c("low"), F.abs(c("high") - prev), F.abs(c("low") - prev)))
-    return f.add(**{out: expanding_mean(f, "_tr", n)})
+    f = f.add(_mtr=expanding_mean(f, "_tr", n))
+    return f.add(**{out: F.when(c("_mtr") <= 0, 1e-6).otherwise(c("_mtr"))})
 
 
 def aberration(f: Frame, n: int = 5, atr_n: int = 15) -> Frame:

@@ -44,11 +44,8 @@ def on_grid(trades: DataFrame, bars: DataFrame, bar_ms: int) -> tuple[DataFrame,
     return t.drop("_g0", "_g1"), n
 
 
-def metrics(trades: DataFrame, books: DataFrame, lags: int = 50, block: int = 100, reps: int = 200, per_year: float = 24 * 365) -> DataFrame:
+def metrics(trades: DataFrame, stream: DataFrame, lags: int = 50, block: int = 100, reps: int = 200, per_year: float = 24 * 365) -> DataFrame:
     """One row per book: trades, EV, robust Sharpe, drawdown, interval, concurrency, positive assets."""
-    from ..sources.store import settled
-
-    stream = settled(P.accrual(trades, books))
     st = P.trade_stats(trades, [P.BOOK]).select(P.BOOK, c("n").alias("n_trades"), "ev", "t_stat", "profit_factor")
     pos = trades.groupBy(P.BOOK, "symbol").agg(F.avg("net").alias("_m")).groupBy(P.BOOK).agg(F.count_if(c("_m") > 0).alias("pos_assets"))
     out = st.join(pos, P.BOOK)
@@ -58,16 +55,16 @@ def metrics(trades: DataFrame, books: DataFrame, lags: int = 50, block: int = 10
     return out
 
 
-def segments(trades: DataFrame, n: DataFrame, share: float = 2 / 3) -> tuple[DataFrame, DataFrame]:
-    """Split a book into PRIMARY and F3 by entry bar; each segment becomes its own book starting at bar 0."""
-    t = trades.crossJoin(F.broadcast(n.withColumn("_cut", F.floor(c("n") * share))))
-    late = c("e0") >= c("_cut")
-    end = F.when(late, c("n")).otherwise(c("_cut")) - 1
-    out = t.withColumns({P.BOOK: F.when(late, "F3").otherwise("PRIMARY"), "_off": F.when(late, c("_cut")).otherwise(0), "_end": end})
-    # the part of a PRIMARY trade beyond the cut belongs to neither segment
-    out = out.withColumns({"hold": F.greatest(c("e1") - c("e0"), F.lit(1))})
-    out = out.withColumns({"e0": c("e0") - c("_off"), "e1": F.least("e1", "_end") - c("_off")})
-    cut = F.floor(c("n") * share)
-    books = n.select(F.explode(F.array(F.struct(F.lit("PRIMARY").alias("b"), cut.alias("m")), F.struct(F.lit("F3").alias("b"), (c("n") - cut).alias("m")))).alias("s")).select(
-        c("s.b").alias(P.BOOK), c("s.m").alias("n"))
-    return out.drop("_cut", "_off", "_end", "n"), books
+def segments(trades: DataFrame, stream: DataFrame, n: DataFrame, share: float = 2 / 3) -> tuple[DataFrame, DataFrame]:
+    """PRIMARY and F3 as books: trades by their entry bar, the stream by its bars.
+
+    A trade that is open across the cut keeps accruing in the second segment.
+    """
+    cut = n.select(F.floor(c("n") * share).alias("_cut"))
+
+    def name(at: str):
+        return F.when(c(at) >= c("_cut"), "F3").otherwise("PRIMARY")
+
+    t = trades.crossJoin(F.broadcast(cut)).withColumn(P.BOOK, name("e0")).drop("_cut")
+    s = stream.crossJoin(F.broadcast(cut)).withColumn(P.BOOK, name("idx"))
+    return t, s.withColumn("idx", F.when(c("idx") >= c("_cut"), c("idx") - c("_cut")).otherwise(c("idx"))).drop("_cut")

@@ -21,7 +21,7 @@ from ..plans import structure as S
 from ..sources import payloads as PL
 from ..sources import tables as T
 from ..sources.store import shared_dir, stored
-from .base import ORD, Sql, avg, bars_sql, brands_sql, full, lag, query, r6, rounded, sr, win
+from .base import ORACLES, ORD, Sql, avg, bars_sql, brands_sql, full, lag, query, r6, rounded, sr, win
 from .research import _FE, _RET, returns
 from .structure import _ROWS, _SW, blocks, rows
 from .trading import BOOK, EV, SIG, STREAM, TR, book, sig, stream, trades
@@ -55,21 +55,22 @@ def features_at_events(spark, d):
 
 
 # -- peaks: checked against a quadratic restatement of the definition ---------
-_PK = f"""WITH RECURSIVE {B}, x AS MATERIALIZED (SELECT symbol, idx, h AS x, {lag('h')} AS p, lead(h) OVER {ORD} AS n FROM b), k AS MATERIALIZED (SELECT symbol, idx, x FROM x WHERE x > p AND x > n),
+def peaks_sql(x: str, price: str, prominence: float, distance: int) -> str:
+    return f"""WITH RECURSIVE {B}, x AS MATERIALIZED (SELECT symbol, idx, {x} AS x, {lag(x)} AS p, lead({x}) OVER {ORD} AS n FROM b), k AS MATERIALIZED (SELECT symbol, idx, x FROM x WHERE x > p AND x > n),
 o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY x DESC, idx) AS r FROM k),
-w AS (SELECT symbol, 0::BIGINT AS r, []::BIGINT[] AS kept FROM o WHERE r = 1 UNION ALL SELECT w.symbol, w.r + 1, CASE WHEN len(list_filter(w.kept, lambda q: abs(q - o.idx) < 5)) = 0 THEN list_append(w.kept, o.idx) ELSE w.kept END FROM w JOIN o ON o.symbol = w.symbol AND o.r = w.r + 1),
+w AS (SELECT symbol, 0::BIGINT AS r, []::BIGINT[] AS kept FROM o WHERE r = 1 UNION ALL SELECT w.symbol, w.r + 1, CASE WHEN len(list_filter(w.kept, lambda q: abs(q - o.idx) < {distance})) = 0 THEN list_append(w.kept, o.idx) ELSE w.kept END FROM w JOIN o ON o.symbol = w.symbol AND o.r = w.r + 1),
 f AS (SELECT symbol, unnest(arg_max(kept, r)) AS idx FROM w GROUP BY symbol), g AS (SELECT f.symbol, f.idx, x.x FROM f JOIN x USING (symbol, idx)),
-sd AS (SELECT g.*, (SELECT max(z.idx) FROM x z WHERE z.symbol = g.symbol AND z.idx < g.idx AND z.x <= g.x - 5) AS ld, (SELECT max(z.idx) FROM x z WHERE z.symbol = g.symbol AND z.idx < g.idx AND z.x > g.x) AS lu,
- (SELECT min(z.idx) FROM x z WHERE z.symbol = g.symbol AND z.idx > g.idx AND z.x <= g.x - 5) AS rd, (SELECT min(z.idx) FROM x z WHERE z.symbol = g.symbol AND z.idx > g.idx AND z.x > g.x) AS ru FROM g)
-SELECT symbol, idx, x AS price FROM sd WHERE ld IS NOT NULL AND (lu IS NULL OR ld > lu) AND rd IS NOT NULL AND (ru IS NULL OR rd < ru)"""
+sd AS (SELECT g.*, (SELECT max(z.idx) FROM x z WHERE z.symbol = g.symbol AND z.idx < g.idx AND z.x <= g.x - {prominence}) AS ld, (SELECT max(z.idx) FROM x z WHERE z.symbol = g.symbol AND z.idx < g.idx AND z.x > g.x) AS lu,
+ (SELECT min(z.idx) FROM x z WHERE z.symbol = g.symbol AND z.idx > g.idx AND z.x <= g.x - {prominence}) AS rd, (SELECT min(z.idx) FROM x z WHERE z.symbol = g.symbol AND z.idx > g.idx AND z.x > g.x) AS ru FROM g)
+SELECT symbol, idx, {price} AS price FROM sd WHERE ld IS NOT NULL AND (lu IS NULL OR ld > lu) AND rd IS NOT NULL AND (ru IS NULL OR rd < ru)"""
 
 
-@query("peak_finder", _PK)
+@query("peak_finder", peaks_sql("h", "x", 5, 5))
 def peak_finder(spark, d):
     return S.peaks(T.bars(spark, d), "high", 5.0, 5)
 
 
-@query("valley_finder")
+@query("valley_finder", peaks_sql("-l", "-x", 1, 8))
 def valley_finder(spark, d):
     return S.peaks(T.bars(spark, d), "low", 1.0, 8, valley=True)
 
@@ -165,7 +166,8 @@ def episode_overlaps(spark, d):
     return P.overlaps(a, z).select("peak_idx", "start_idx", "end_idx", r6("depth").alias("depth"))
 
 
-@query("cross_section_bootstrap")
+# the row sums of the matrix are the stream, so the twin is that of the stream
+@query("cross_section_bootstrap", ORACLES["block_bootstrap"])
 def cross_section_bootstrap(spark, d):
     """Interval of the mean over bars of the row sums of the asset matrix."""
     x = P.accrual_direct(book(spark, d), ["symbol"]).groupBy("idx").agg(F.sum("r").alias("r"))

@@ -26,9 +26,9 @@ from ..sources import tables as T
 from ..sources.store import shared_dir, stored
 from ..streaming import bars as ST
 from .base import ORD, USERS_SQL, Sql, avg, bars_sql, brands_sql, div, full, indicator, lag, query, r6, register, rounded, sr, win
-from .structure import _AL, _BN, _SW, blocks, rows
+from .structure import _AL, _BN, _SW, _Z as _ZIGZAG, blocks, rows
 from .trading import BOOK, EV, SIG, TR, book, fills, hash_sql, sig, stream, trades
-from .volatility import supertrend_sql, tr_sql
+from .volatility import _ADX
 
 c = F.col
 B = f"b AS MATERIALIZED ({bars_sql()})"
@@ -65,7 +65,9 @@ _Z2 = Sql().add(z=div(f"c - {avg('c', 20)}", full("stddev_pop(c)", "c", 20))).ad
 query("momentum_position", _Z2.loop("pos", "0",
       "CASE WHEN n.z IS NULL OR n.pz IS NULL THEN p.pos WHEN p.pos = 1 AND n.z >= 0.2 THEN 1 WHEN p.pos = -1 AND n.z <= -0.2 THEN -1 WHEN n.pz <= 1 AND n.z > 1 THEN 1 WHEN n.pz >= -1 AND n.z < -1 THEN -1 ELSE 0 END").text(
       "SELECT symbol, idx, pos::BIGINT AS pos FROM $"))(lambda spark, d: fold(_z_rows(spark, d), K.momentum_position(1.0, 0.2), ["z"], {"pos": "long"}))
-query("hybrid_position")(lambda spark, d: fold(_z_rows(spark, d, True), K.hybrid_position(15.0, 20.0, 1.5), ["z", "adx"], {"pos": "long"}))
+_H = _ADX.add(z=div(f"c - {avg('c', 20)}", full("stddev_pop(c)", "c", 20)))
+query("hybrid_position", _H.loop("hp", "0", "CASE WHEN n.z IS NULL OR n.adx IS NULL THEN p.hp WHEN n.adx < 15 THEN CASE WHEN n.z <= -1.5 THEN 1 WHEN n.z >= 1.5 THEN -1 WHEN abs(n.z) <= 0.5 THEN 0 ELSE p.hp END "
+      "WHEN n.adx > 20 THEN CASE WHEN p.hp = 0 AND n.z > 1 THEN 1 WHEN p.hp = 0 AND n.z < -1 THEN -1 WHEN p.hp * n.z < 0 THEN 0 ELSE p.hp END ELSE p.hp END").text("SELECT symbol, idx, hp::BIGINT AS pos FROM $"))(lambda spark, d: fold(_z_rows(spark, d, True), K.hybrid_position(15.0, 20.0, 1.5), ["z", "adx"], {"pos": "long"}))
 
 
 # -- splits ------------------------------------------------------------------
@@ -119,7 +121,7 @@ def features(spark, d):
     return stored(spark, "panel_rows", d, build)
 
 
-_FE = Sql().add(p=f"coalesce({lag('c')}, c)").add(tr="greatest(h - l, abs(h - p), abs(l - p))").add(atr=f"avg(tr) OVER {win(14)}", a50=avg("c", 50)).add(
+_FE = Sql().add(p=f"coalesce({lag('c')}, c)").add(tr="greatest(h - l, abs(h - p), abs(l - p))").add(atr=f"CASE WHEN avg(tr) OVER {win(14)} <= 0 THEN 1e-6 ELSE avg(tr) OVER {win(14)} END", a50=avg("c", 50)).add(
     z="CASE WHEN atr > 0 THEN (c - a50) / atr END", slope=f"CASE WHEN atr > 0 AND a50 IS NOT NULL THEN (a50 - {lag('a50', 10)}) / atr END")
 
 
@@ -133,7 +135,7 @@ def impulse_features(spark, d):
     return rounded(PN.impulse_features(Frame.of_numbered(T.bars(spark, d), 22), 6, 20).core(), ["symbol", "idx"], ["move", "vol_z"])
 
 
-@query("percentile_features", Sql().add(p=f"coalesce({lag('c')}, c)").add(tr="greatest(h - l, abs(h - p), abs(l - p))").add(atr=f"avg(tr) OVER {win(14)}").add(ap="atr / c", bw=f"4 * {full('stddev_pop(c)', 'c', 20)} / {avg('c', 20)}").add(
+@query("percentile_features", Sql().add(p=f"coalesce({lag('c')}, c)").add(tr="greatest(h - l, abs(h - p), abs(l - p))").add(atr=f"CASE WHEN avg(tr) OVER {win(14)} <= 0 THEN 1e-6 ELSE avg(tr) OVER {win(14)} END").add(ap="atr / c", bw=f"4 * {full('stddev_pop(c)', 'c', 20)} / {avg('c', 20)}").add(
     w1=f"list(ap) OVER {win(100)}", w2=f"list(bw) FILTER (WHERE bw IS NOT NULL) OVER {win(100)}").add(vol_pct="len(list_filter(w1, lambda x: x <= ap)) / len(w1)::DOUBLE", bbw_pct="CASE WHEN bw IS NOT NULL THEN len(list_filter(w2, lambda x: x <= bw)) / len(w2)::DOUBLE END").out("vol_pct", "bbw_pct", digits=4))
 def percentile_features(spark, d):
     f = Frame.of_numbered(rows(spark, d), 122)
@@ -535,20 +537,20 @@ def stream_ema(spark, d):
     return _run_stream(spark, out, out).select("symbol", "idx", F.when(c("idx") >= 13, r6("y")).alias("y"))
 
 
-@query("stream_zigzag")
+@query("stream_zigzag", f"WITH RECURSIVE {_ZIGZAG} SELECT symbol, confirm_idx AS idx, idx AS pivot_idx, price AS pivot_price, kind::BIGINT AS pivot_kind FROM pv")
 def stream_zigzag(spark, d):
     out = ST.stateful(_bar_stream(spark, d), K.zigzag(80.0), ["idx", "high", "low"], {"pivot_idx": "long", "pivot_price": "double", "pivot_kind": "long"})
     return _run_stream(spark, out, out).filter("pivot_kind != 0")
 
 
-@query("stream_resolved_trades")
+@query("stream_resolved_trades", f"WITH {B} SELECT s.symbol, s.idx AS sig_idx, count(*) AS bars, {sr('max(b.h - s.c)')} AS best, {sr('max(s.c - b.l)')} AS worst FROM b s JOIN b ON b.symbol = s.symbol AND b.ts > s.ts AND b.ts <= s.ts + 21600000 WHERE s.c > s.o * 2 GROUP BY 1, 2")
 def stream_resolved_trades(spark, d):
     """Signals joined to the bars of their next six hours as both arrive."""
     s = _bar_stream(spark, d).withColumn("at", F.timestamp_millis("ts"))
     sigs = s.filter("close > open * 2").select("symbol", "at", c("idx").alias("sig_idx"), c("close").alias("entry"))
     j = ST.resolve(sigs, s.select("symbol", "at", "idx", "high", "low"), 6 * HOUR_MS, "1 hour").select("s.symbol", "sig_idx", "entry", "idx", "high", "low")
     out = _run_stream(spark, j, j)
-    return out.groupBy("symbol", "sig_idx").agg(F.count(F.lit(1)).alias("bars"), F.max(c("high") - c("entry")).alias("best"), F.max(c("entry") - c("low")).alias("worst"))
+    return out.groupBy("symbol", "sig_idx").agg(F.count(F.lit(1)).alias("bars"), r6(F.max(c("high") - c("entry"))).alias("best"), r6(F.max(c("entry") - c("low"))).alias("worst"))
 
 
 # -- archive -----------------------------------------------------------------

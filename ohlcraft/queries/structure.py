@@ -102,7 +102,7 @@ def blocks(spark, d):
     return stored(spark, "swing_blocks", d, lambda: S.swing_blocks(rows(spark, d)))
 
 
-_ROWS = f"""b AS MATERIALIZED ({bars_sql()}), x0 AS (SELECT *, coalesce({lag('c')}, c) AS pc FROM b), x1 AS (SELECT *, greatest(h - l, abs(h - pc), abs(l - pc)) AS tr FROM x0), rw AS MATERIALIZED (SELECT *, avg(tr) OVER {win(14)} AS atr, max(idx) OVER (PARTITION BY symbol) AS li,
+_ROWS = f"""b AS MATERIALIZED ({bars_sql()}), x0 AS (SELECT *, coalesce({lag('c')}, c) AS pc FROM b), x1 AS (SELECT *, greatest(h - l, abs(h - pc), abs(l - pc)) AS tr FROM x0), rw AS MATERIALIZED (SELECT *, CASE WHEN avg(tr) OVER {win(14)} <= 0 THEN 1e-6 ELSE avg(tr) OVER {win(14)} END AS atr, max(idx) OVER (PARTITION BY symbol) AS li,
  max(h) OVER {win(5, 1)} AS ph, min(l) OVER {win(5, 1)} AS pl, max(h) OVER nx AS nh, min(l) OVER nx AS nl, avg(c) OVER {win(51)} AS m51 FROM x1 WINDOW nx AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))"""
 _SW = _ROWS + """, sg AS (SELECT a.symbol, a.idx, min(z.c) AS dmin, max(z.c) AS dmax, arg_min(z.idx, (z.c, z.idx)) AS imin, arg_min(z.idx, (-z.c, z.idx)) AS imax FROM rw a JOIN rw z ON z.symbol = a.symbol AND z.idx BETWEEN a.idx AND a.idx + 5 GROUP BY 1, 2),
 k0 AS (SELECT rw.symbol, rw.idx, rw.ts, rw.c, rw.atr, m51, li, 'supply' AS block_type, least(o, c) AS zone_low, h AS zone_high, dmin AS dd, imin AS confirm_idx FROM rw JOIN sg USING (symbol, idx) WHERE h >= ph AND h >= nh AND rw.idx >= 5 AND rw.idx + 10 <= li

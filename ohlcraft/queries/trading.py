@@ -13,7 +13,7 @@ from ..plans import portfolio as P
 from ..plans import rulebook as RB
 from ..plans import signals as G
 from ..sources import tables as T
-from ..sources.store import stored
+from ..sources.store import settled, stored
 from .base import ORD, Sql, avg, bars_sql, full, indicator, lag, query, r6, rounded, sr, win
 from .volatility import tr_sql
 
@@ -212,7 +212,7 @@ def direction_labels(spark, d):
     return f.core("symbol", "idx", r6("fwd_ret").alias("fwd_ret"), "label")
 
 
-@query("atr_levels", Sql().add(p=f"coalesce({lag('c')}, c)").add(tr="greatest(h - l, abs(h - p), abs(l - p))").add(a=f"avg(tr) OVER {win(14)}").add(pa=f"coalesce({lag('a')}, a)").add(
+@query("atr_levels", Sql().add(p=f"coalesce({lag('c')}, c)").add(tr="greatest(h - l, abs(h - p), abs(l - p))").add(a=f"CASE WHEN avg(tr) OVER {win(14)} <= 0 THEN 1e-6 ELSE avg(tr) OVER {win(14)} END").add(pa=f"coalesce({lag('a')}, a)").add(
     tp="c + 2 * pa", sl="greatest(c - 1.5 * pa, 1e-6)").out("tp", "sl", digits=5))
 def atr_levels(spark, d):
     f = research_atr(Frame.of_numbered(T.bars(spark, d), 16), "atr")
@@ -429,7 +429,9 @@ for _replace in (False, True):
         lambda spark, d, rep=_replace: P.admit_slots(_queue(spark, d), 2, rep).select("idx", "entry", "exit", "taken", "replaces"))
 
 
-@query("drawdown_brake")
+@query("drawdown_brake", "WITH RECURSIVE " + STREAM + f""", k AS (SELECT -1::BIGINT AS idx, 0.0::DOUBLE AS eq, 0.0::DOUBLE AS peak, -1::BIGINT AS til, true AS active, 0.0::DOUBLE AS used
+ UNION ALL SELECT idx, eq2, CASE WHEN hit THEN eq2 ELSE pk2 END, CASE WHEN hit THEN idx + 1 + 48 ELSE til END, on1, g FROM (SELECT *, on1 AND pk2 - eq2 >= 3 AS hit FROM (SELECT *, greatest(peak, eq2) AS pk2 FROM (SELECT n.idx, p.til, p.peak, n.idx >= p.til AS on1, CASE WHEN n.idx >= p.til THEN n.r ELSE 0 END AS g, p.eq + CASE WHEN n.idx >= p.til THEN n.r ELSE 0 END AS eq2 FROM k p JOIN st n ON n.idx = p.idx + 1))))
+SELECT idx, active, {sr('used')} AS r_used FROM k WHERE idx >= 0""")
 def drawdown_brake(spark, d):
     return P.drawdown_brake(stream(spark, d), 3.0, 48).select("idx", "active", r6("r_used").alias("r_used"))
 
@@ -451,11 +453,20 @@ def gate_battery(spark, d):
 @query("rule_pipeline")
 def rule_pipeline(spark, d):
     """Signals to verdict for both segments; the interval uses hashed draws."""
-    t, books = RB.segments(book(spark, d).drop("book"), grid_size(spark, d).select("n"))
-    m = RB.metrics(t, books)
+    t, st = RB.segments(book(spark, d), stream(spark, d), grid_size(spark, d).select("n"))
+    m = RB.metrics(t, settled(st))
     return P.gates(m, {"sharpe_nw": (">=", 1.0), "dd": ("<=", 0.25), "ev": (">=", 0.1), "pos_assets": (">=", 3), "ci_lo": (">=", 0.0)})
 
 
+@query("segment_metrics", "WITH " + STREAM + f""", ct AS (SELECT floor(max(n) * 2 / 3)::BIGINT AS cut FROM bk), sg AS (SELECT CASE WHEN idx >= cut THEN 'F3' ELSE 'PRIMARY' END AS book, idx, r FROM st, ct), q AS (SELECT *, sum(ln(1 + 0.01 * r)) OVER (PARTITION BY book ORDER BY idx) AS s FROM sg),
+p AS (SELECT *, max(s) OVER (PARTITION BY book ORDER BY idx) AS ps FROM q), dd AS (SELECT book, max(1 - exp(s - ps)) AS dd FROM p GROUP BY 1), tr2 AS (SELECT CASE WHEN e0 >= cut THEN 'F3' ELSE 'PRIMARY' END AS book, net FROM bk, ct)
+SELECT book, count(*) AS n_trades, {sr('avg(net)')} AS ev, {sr('any_value(dd)')} AS dd FROM tr2 JOIN dd USING (book) GROUP BY 1""")
+def segment_metrics(spark, d):
+    t, st = RB.segments(book(spark, d), stream(spark, d), grid_size(spark, d).select("n"))
+    m = P.trade_stats(t, ["book"]).join(P.drawdown(settled(st)), "book")
+    return m.select("book", c("n").alias("n_trades"), r6("ev").alias("ev"), r6("dd").alias("dd"))
+
+
 @query("exposure_hedge", "WITH " + STREAM + f""", e AS (SELECT i.idx, sum(sg) AS expo FROM (SELECT unnest(range(0, (SELECT max(n) FROM bk))) AS idx) i JOIN bk ON i.idx BETWEEN e0 AND e1 GROUP BY 1), g0 AS (SELECT min(ts) AS g0 FROM s),
 f AS (SELECT (ts - g0) // 3600000 AS idx, ln(c / lag(c) OVER (ORDER BY ts)) AS f FROM s, g0 WHERE symbol = 'click'), a AS (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS alpha)
 SELECT alpha, {sr('sum(r - alpha * 0.01 * coalesce(expo, 0) * coalesce(f, 0))')} AS total FROM st LEFT JOIN e USING (idx) LEFT JOIN f USING (idx), a GROUP BY alpha""")

@@ -60,7 +60,7 @@ indicator("atr_sma_percent", 20, lambda f: V.atr(f, mode="sma", percent=True), [
     a=avg("tr", 14)).add(atr="100 * a / c").out("atr"))
 indicator("atr_ema", 20, lambda f: V.atr(f, mode="ema"), ["atr"], tr_sql().ema("atr", "tr", 14, 1).out("atr"))
 indicator("research_atr", 20, V.research_atr, ["atr"], Sql().add(p=f"coalesce({lag('c')}, c)").add(tr=TR).add(
-    atr=f"avg(tr) OVER {win(14)}").out("atr"))
+    a0=f"avg(tr) OVER {win(14)}").add(atr="CASE WHEN a0 <= 0 THEN 1e-6 ELSE a0 END").out("atr"))
 indicator("aberration", 20, V.aberration, ["zg", "sg", "xg", "atr"], tr_sql().rma("atr", "tr", 15, 1).add(tp="(h + l + c) / 3").add(
     zg=avg("tp", 5)).add(sg="zg + atr", xg="zg - atr").out("zg", "sg", "xg", "atr"))
 indicator("accbands", 20, V.accbands, ["lower", "mid", "upper"], Sql().add(w="4 * (h - l) / (h + l)").add(
