@@ -95,7 +95,9 @@ class Frame:
         size = size or SIZE
         first = F.greatest(F.floor((F.col("idx") - ahead) / size), F.lit(0))
         last = F.floor((F.col("idx") + back) / size)
-        df = numbered.withColumn("chunk", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+        # the join of a recursion implies this filter on one of its sides: stating it on both lets them share a shuffle
+        df = numbered.filter(F.col(key).isNotNull())
+        df = df.withColumn("chunk", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
         return Frame(df, back, ahead, size, key)
 
     # -- window specs -----------------------------------------------------

@@ -100,7 +100,12 @@ def recur(frame: Frame, chains: list[Chain], warm: int = 0) -> Frame:
             if level >= len(c.outs):
                 continue
             x, start = F.col(f"_qx{i}_{level}"), c.starts()[level]
-            seed = frame.full(F.avg(x), x, c.length) if c.length else x
+            if c.length:
+                # only one row needs the mean, so a running sum of its inputs is enough
+                part = F.when((idx > start - c.length) & (idx <= start), x)
+                seed = F.when(F.count(part).over(run) == c.length, F.sum(part).over(run) / c.length)
+            else:
+                seed = x
             zero[f"_qb{i}_{level}"] = (
                 F.when(rel < 0, 0.0).when(idx < start, 0.0).when(idx == start, seed).otherwise(c.gain * x)
             )
