@@ -46,39 +46,23 @@ def _encode_block(values: np.ndarray) -> np.ndarray:
     n = len(values)
     padded = np.zeros(n + _PAD, np.uint64)
     padded[:n] = values
-    width = _widths(padded[:n])
-    # for each position, the selector that packs the most values into a word that starts there
+    # widest of the next 1, 2, 3, ... values at each position, each from two shorter windows
+    widest = {1: np.concatenate([_widths(padded[:n]), np.zeros(_PAD, np.int8)])}
+    for c in (2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 120, 240):
+        half = max(k for k in widest if k <= c)
+        rest = min(k for k in widest if k >= c - half)
+        a, b = widest[half], widest[rest][c - rest :]
+        widest[c] = np.maximum(a[: len(b)], b[: len(a)])
+    # the selector that packs the most values into a word that starts at a position
     selector = np.full(n, ESCAPE, np.int8)
-    place = np.arange(n, dtype=np.int32)
-    # a run of c values holds an aligned group of c / 2 rounded down to a power of two, so groups tell whether to look
-    groups, calm = width[: len(width) // 32 * 32], {}
-    for k in (1, 2, 4, 8, 16, 32):
-        calm[k] = int(groups.min()) if len(groups) else 0
-        groups = groups.reshape(-1, 2).max(axis=1) if k < 32 else groups
-    widest = int(width.max())
     for s in range(15, -1, -1):
-        w, c = int(WIDTH[s]), int(COUNT[s])
-        if s == ESCAPE or calm[min(32, 1 << ((c + 1) // 2).bit_length() - 1)] > w:
-            continue
-        if w >= widest:
-            selector[:] = s
-            continue
-        wide = np.flatnonzero(width > w).astype(np.int32)
-        run = np.diff(wide, prepend=np.int32(-1)) - 1  # of fitting values before each that doesn't fit
-        if len(wide) < 32:
-            for end, r in zip(wide[run >= c].tolist(), run[run >= c].tolist(), strict=True):
-                selector[end - r : end - c + 1] = s
-        else:
-            fits = np.repeat(wide, run + 1)
-            fits -= np.arange(len(fits), dtype=np.int32)
-            selector[: len(fits)][fits >= c] = s
-        if n - int(wide[-1]) - 1 > 0:  # the rest of the block, padded
-            selector[int(wide[-1]) + 1 :] = s
-    step = (place + COUNT[selector]).tolist()
+        if s != ESCAPE:
+            np.copyto(selector, np.int8(s), where=widest[int(COUNT[s])][:n] <= int(WIDTH[s]))
+    kinds, counts = selector.tobytes(), COUNT.tolist()
     starts, i = [], 0
     while i < n:
         starts.append(i)
-        i = step[i]
+        i += counts[kinds[i]]
     start = np.array(starts, np.int64)
     kind = selector[start]
     at = np.arange(len(start)) + np.concatenate([[0], np.cumsum(kind == ESCAPE)[:-1]])
