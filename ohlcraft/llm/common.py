@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,43 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
     return df.mapInArrow(run, schema)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables that hold all rows of each of their keys, from batches in key order. Holds one unfinished key."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = [tuple(batch[k][i].as_py() for k in keys) for i in (0, batch.num_rows - 1)]
+        if ends[1] == (ends[0] if last is None else last) == ends[0]:
+            held.append(batch)
+        else:
+            same = np.ones(batch.num_rows, bool)
+            for k, v in zip(keys, ends[1], strict=True):
+                same &= batch[k].to_numpy(zero_copy_only=False) == v
+            at = int(np.argmax(same))
+            yield pa.Table.from_batches([*held, batch.slice(0, at)]).combine_chunks()
+            held = [batch.slice(at)]
+        last = ends[1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def runs_of(table: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
+    """Start and end of each key's rows."""
+    key = np.stack([table[k].to_numpy() for k in keys], axis=1)
+    cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True]).tolist() if len(key) else [0]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def smallest_linked(link: np.ndarray) -> np.ndarray:
+    """The first row that each row reaches over a symmetric link matrix."""
+    label = np.arange(len(link))
+    while True:
+        new = np.minimum(label, np.where(link, label[None, :], len(link)).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, pii, sharding, token_counts, token_files, toxicity, vectors
+from . import decontamination, minhash, mixing, pii, sharding, token_counts, token_files, toxicity, vectors
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_cap_filters")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_weighted_minhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(table(spark, sf_dir, "documents"))

@@ -29,7 +29,7 @@ BITS = 18
 BUCKETS = 1 << BITS
 SAMPLE = 24_000
 #: N-grams that tell the classes apart best take part in the regression.
-FEATURES = 4096
+FEATURES = 1024
 SMOOTHING = 1.0
 PENALTY = 1e-4
 ROUNDS = 150

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, staged
+from .common import map_rows, runs_of, smallest_linked, staged, whole_runs
 from .graph import components
 
 COSINE = 0.95
@@ -108,17 +108,6 @@ def with_filters(reps: DataFrame, n: int) -> DataFrame:
 
 
 
-def _labels(link: np.ndarray) -> np.ndarray:
-    """Smallest row reachable from each row over a symmetric link matrix."""
-    label = np.arange(len(link))
-    while True:
-        new = np.where(link, label[None, :], len(link)).min(axis=1)
-        new = np.minimum(label, new)[np.minimum(label, new)]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def compare(rep: np.ndarray, copies: np.ndarray, unit: np.ndarray, side: np.ndarray, seen: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each row that this piece counts, and the smallest rep that links reach from it.
 
@@ -130,7 +119,7 @@ def compare(rep: np.ndarray, copies: np.ndarray, unit: np.ndarray, side: np.ndar
     if side.min() != side.max():
         link &= side[:, None] != side[None, :]
     fresh = link & ~(seen @ seen.T > 0) if seen.shape[1] else link
-    return fresh @ copies, rep[_labels(link)]
+    return fresh @ copies, rep[smallest_linked(link)]
 
 
 def link_pieces(rows: DataFrame, cosine: float) -> DataFrame:
@@ -143,11 +132,10 @@ def link_pieces(rows: DataFrame, cosine: float) -> DataFrame:
     def solve(t: pa.Table) -> pa.Table:
         """All pieces of a sorted table."""
         key = np.stack([t[k].to_numpy() for k in keys], axis=1)
-        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True])
         rep, copies, side = (t[k].to_numpy() for k in ("rep", "copies", "side"))
         vectors, filters = t["v"].combine_chunks(), t["filters"].combine_chunks()
         parts: list[tuple] = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for a, b in runs_of(t, keys):
             if b - a < 2 or key[a, 1] != key[a, 2] and side[a:b].min() == side[a:b].max():
                 continue
             v = vectors.slice(a, b - a).flatten().to_numpy().astype(float).reshape(b - a, -1)
@@ -166,17 +154,8 @@ def link_pieces(rows: DataFrame, cosine: float) -> DataFrame:
         return pa.table([pa.array(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()) for i in range(3)], names=names)
 
     def run(batches):
-        held: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            key = np.stack([t[k].to_numpy() for k in keys], axis=1)
-            at = len(t) - int(np.argmax((key[::-1] != key[-1]).any(axis=1))) if (key != key[-1]).any() else 0  # where the last key starts
-            held = t.slice(at)
-            if at:
-                yield from solve(t.slice(0, at).combine_chunks()).to_batches()
-        if held is not None and len(held):
-            yield from solve(held.combine_chunks()).to_batches()
+        for t in whole_runs(batches, keys):
+            yield from solve(t).to_batches()
 
     return rows.select(*keys, "rep", "copies", "side", "v", "filters").mapInArrow(run, schema)
 
