@@ -1,4 +1,8 @@
-"""The training-text pipeline: stages that read ``documents`` and hand on what they keep."""
+"""The training-text pipeline: each stage reads what the stage before it kept of ``documents``.
+
+Toxic documents go, one document of each near-duplicate class stays, documents with benchmark passages go, sources are mixed
+to their target weights (a document may then occur twice), and token files are written and read back.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from ohlcraft.llm import decontamination, minhash, mixing, token_files, toxicity
+from ohlcraft.llm.common import staged, table
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.first_of_each(docs)
+
+
+def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_files.token_files(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic_out),
+    ("near_dedup", near_duplicates_out),
+    ("decontamination", contaminated_out),
+    ("mixing", mixed),
+    ("token_files", tokens),
+]
 
-#: The stages train models, draw at random and write token files, which SQL can't express.
+#: A fitted classifier, random draws and token files are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -228,12 +228,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def first_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The document with the smallest id of each class, with its own columns; of repeated rows one stays."""
-    own = docs.columns
-    keep = classes(docs, similarity).filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id")))
-    keep = keep.groupBy("class_id").agg(F.min("doc_id").alias("near_doc"), F.min("text_key").alias("near_key")).drop("class_id")
-    rows = docs.withColumn("near_text", F.xxhash64(text_of()))
-    kept = rows.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("near_doc")) & (F.col("near_text") == F.col("near_key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "near_text"]).select(*own)
+    own, last = docs.columns, F.lit((1 << 63) - 1)
+    named = lambda c: F.coalesce(c.cast("long"), last)
+    found = classes(docs, similarity).withColumn("doc", named(F.col("doc_id"))).filter((F.col("doc") == F.col("class_id")) | F.col("doc_id").isNull())
+    keep = found.groupBy("class_id").agg(F.min(F.struct("doc", "text_key")).alias("k")).select(F.col("k.doc").alias("__near_doc"), F.col("k.text_key").alias("__near_text"))
+    rows = docs.withColumn("__near_doc", named(F.col("doc_id"))).withColumn("__near_text", F.xxhash64(text_of()))
+    # the join deals rows out by the same keys as the removal of repeated rows, so texts move once
+    return rows.join(keep, ["__near_doc", "__near_text"], "left_semi").dropDuplicates(["__near_doc", "__near_text"]).select(*own)
 
 
 def report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -148,10 +148,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
     keys = ["doc_id", "text_key"]
     each = Window.partitionBy(*keys)
-    plan = mix(docs, **options).withColumn("mix_row", F.row_number().over(each.orderBy("copies", "size"))).select(
-        F.col("doc_id").alias("mix_doc"), F.col("text_key").alias("mix_key"), "mix_row", F.col("copies").alias("mix_copies")).filter("mix_copies > 0")
+    plan = mix(docs, **options).withColumn("row", F.row_number().over(each.orderBy("copies", "size"))).filter("copies > 0").select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__mix_doc"), F.col("text_key").alias("__mix_text"), F.col("row").alias("__mix_row"), F.col("copies").alias("__mix_copies"))
     own = docs.columns
-    rows = docs.withColumn("mix_text", F.xxhash64(text_of()))
-    rows = rows.withColumn("mix_no", F.row_number().over(Window.partitionBy("doc_id", "mix_text").orderBy(F.lit(1))))
-    joined = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("mix_doc")) & (F.col("mix_text") == F.col("mix_key")) & (F.col("mix_no") == F.col("mix_row")))
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*own)
+    rows = docs.withColumn("__mix_doc", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__mix_text", F.xxhash64(text_of()))
+    rows = rows.withColumn("__mix_row", F.row_number().over(Window.partitionBy("__mix_doc", "__mix_text").orderBy(F.lit(1))))
+    joined = rows.join(plan, ["__mix_doc", "__mix_text", "__mix_row"])
+    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_copies"))).select(*own)

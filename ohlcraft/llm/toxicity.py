@@ -200,5 +200,5 @@ def report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
     own = docs.columns
-    kept = with_score(docs, fit(docs, labels, sample=sample), own, "toxicity_of_row")
-    return kept.filter(F.col("toxicity_of_row") < threshold).select(*own)
+    kept = with_score(docs, fit(docs, labels, sample=sample), own, "__toxicity")
+    return kept.filter(F.col("__toxicity") < threshold).select(*own)
