@@ -146,12 +146,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
-    keys = ["doc_id", "text_key"]
-    each = Window.partitionBy(*keys)
-    plan = mix(docs, **options).withColumn("row", F.row_number().over(each.orderBy("copies", "size"))).filter("copies > 0").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__mix_doc"), F.col("text_key").alias("__mix_text"), F.col("row").alias("__mix_row"), F.col("copies").alias("__mix_copies"))
+    plan = mix(docs, **options).groupBy(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__mix_doc"), F.col("text_key").alias("__mix_text")).agg(F.sort_array(F.collect_list("copies")).alias("__mix_copies"))
     own = docs.columns
     rows = docs.withColumn("__mix_doc", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__mix_text", F.xxhash64(text_of()))
-    rows = rows.withColumn("__mix_row", F.row_number().over(Window.partitionBy("__mix_doc", "__mix_text").orderBy(F.lit(1))))
-    joined = rows.join(plan, ["__mix_doc", "__mix_text", "__mix_row"])
-    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_copies"))).select(*own)
+    joined = rows.join(plan, ["__mix_doc", "__mix_text"])  # the window below finds the rows dealt out as it needs them
+    joined = joined.withColumn("__mix_row", F.row_number().over(Window.partitionBy("__mix_doc", "__mix_text").orderBy(F.lit(1))))
+    copies = F.element_at("__mix_copies", F.col("__mix_row"))
+    return joined.filter(copies > 0).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), copies))).select(*own)

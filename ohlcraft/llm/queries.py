@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash, mixing, pii, sharding, token_counts, token_files, toxicity, vectors
+from . import decontamination, minhash, mixing, pii, repeats, sharding, token_counts, token_files, toxicity, vectors
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_weighted_minhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_repeated_phrases")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(table(spark, sf_dir, "documents"))
