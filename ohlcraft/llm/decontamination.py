@@ -116,8 +116,8 @@ def originals(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SCAN = "n_words long, hits array<struct<word_start:int,word_end:int,start:int,end:int>>, items array<string>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, limit: int = AUTOMATON_CHARS, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of each document with n_words, hits (spans in words and in code points) and items."""
+def _scanned(docs: DataFrame, benchmark: DataFrame, size: int, limit: int, columns: list[str]) -> DataFrame:
+    """``columns`` of each document as keep_0, keep_1, ... with n_words, hits and items."""
     rows = docs.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(columns)], F.col("text").alias("scan_text"),
                        F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<word_start:int,word_end:int,start:int,end:int>>)").alias("hits"),
                        F.expr("cast(array() as array<string>)").alias("items"))
@@ -142,7 +142,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, limit: int =
             return step
 
         rows = map_rows(rows, make, schema)
-    return rows.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(columns)], "n_words", "hits", "items")
+    return rows
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, limit: int = AUTOMATON_CHARS) -> DataFrame:
+    """doc_id, n_words, hits (spans in words and in code points) and items of each document."""
+    return _scanned(docs, benchmark, size, limit, ["doc_id"]).select(F.col("keep_0").alias("doc_id"), "n_words", "hits", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -155,5 +160,5 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents without a window of any item, in one pass and without a shuffle."""
-    columns = tuple(docs.columns)
-    return scan(docs, benchmark, size, columns=columns).filter(F.size("hits") == 0).select(*columns)
+    columns = docs.columns
+    return _scanned(docs, benchmark, size, AUTOMATON_CHARS, columns).filter(F.size("hits") == 0).select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(columns)])
