@@ -162,7 +162,7 @@ def verify(texts: list[str], idf: np.ndarray, similarity: float = SIMILARITY) ->
 def linked(pieces: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     """Verify who meets in a piece: node, and the smallest node that it is connected to."""
     keys = ["band", "hash", "one", "two"]
-    rows = pieces.join(texts, "node").repartition(*keys).sortWithinPartitions(*keys, "node")
+    rows = texts.join(pieces, "node").repartition(*keys).sortWithinPartitions(*keys, "node")
 
     def run(batches):
         for t in whole_runs(batches, keys):
@@ -207,7 +207,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pieces = members.select("band", "hash", F.col("block").alias("one"), none.alias("two"), "node").unionByName(
         meetings.filter("blocks > 1").select("band", "hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("one"), none.alias("two"), F.col("leader").alias("node")))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1) - F.shiftrightunsigned(F.xxhash64(text), 2)).alias("node"), text.alias("text"))
-    links = staged(linked(pieces, texts, idf, similarity), "minhash-links")
+    # pieces grow with the corpus, so this join is a merge join at every size
+    links = staged(linked(pieces.hint("merge"), texts, idf, similarity), "minhash-links")
     # meetings of several blocks: who isn't connected to the first text yet meets everybody else
     large = members.filter("blocks > 1")
     if not large.isEmpty():
