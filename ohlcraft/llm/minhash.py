@@ -108,7 +108,7 @@ def bands(text: str, idf: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log(1 + documents / documents with the word) per hashed counter, over all documents."""
+    """1 + log((1 + documents) / (1 + documents with the word)) per hashed counter, over all documents."""
     segment = 1 << 14
 
     def count(batches):
@@ -130,7 +130,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     if not found:
         return np.ones(IDF_BUCKETS, np.float32)
     held = np.concatenate([found[i] for i in range(IDF_BUCKETS // segment)])
-    return np.log1p(found[-1][0] / np.maximum(held, 1)).astype(np.float32)
+    return (1 + np.log((1 + found[-1][0]) / (1 + held))).astype(np.float32)
 
 
 def verify(texts: list[str], idf: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
