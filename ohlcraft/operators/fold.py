@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -63,7 +64,8 @@ def fold(
             head = pdf[pdf["idx"] < edge]
             _, state = kernel({c: head[c].to_numpy() for c in inputs}, None)
         if own.empty:
-            return pd.DataFrame({c: [] for c in [*out_cols, "_in", "_out"]})
+            # a chunk of warm-up bars alone; object columns take any type of the schema
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*out_cols, "_in", "_out"]})
         opened = state
         made, closed = kernel({c: own[c].to_numpy() for c in inputs}, state)
         out = own[[key, "chunk", "idx", *[c for c in keep if c != "idx"]]].copy()
@@ -78,31 +80,37 @@ def fold(
 
     def save(df: DataFrame, step: int) -> DataFrame:
         df.write.parquet(f"{base}/{step}")
-        return df.sparkSession.read.parquet(f"{base}/{step}")
+        return df.sparkSession.read.parquet(f"{base}/{step}").withColumn("_step", F.lit(step))
 
-    done = save(frame.df.groupBy(key, "chunk").applyInPandas(run, schema), 0)
+    def seams_of(rows: DataFrame) -> DataFrame:
+        ends = rows.filter(F.col("_in").isNotNull() | F.col("_out").isNotNull())
+        return ends.groupBy(key, "chunk").agg(
+            F.first("_in", ignorenulls=True).alias("_in"), F.first("_out", ignorenulls=True).alias("_out"), F.max("_step").alias("_step")
+        )
+
+    # each round writes the chunks that it repaired and nothing else
+    rounds = [save(frame.df.groupBy(key, "chunk").applyInPandas(run, schema), 0)]
     by = Window.partitionBy(key).orderBy("chunk")
     differs = F.exists(
         F.arrays_zip("_in", "_prev"),
         lambda p: ~(F.abs(p["_in"] - p["_prev"]) <= TOLERANCE * F.greatest(F.lit(1.0), F.abs(p["_prev"])))
         & ~(F.isnan(p["_in"]) & F.isnan(p["_prev"])),
     )
-    step = 0
-    while True:
-        ends = done.filter(F.col("_in").isNotNull() | F.col("_out").isNotNull())
-        seams = ends.groupBy(key, "chunk").agg(
-            F.first("_in", ignorenulls=True).alias("_in"), F.first("_out", ignorenulls=True).alias("_out")
-        )
-        seams = seams.withColumn("_prev", F.lag("_out").over(by))
-        open_seams = seams.filter(F.col("_prev").isNotNull() & (F.col("_in").isNull() | differs)).select(
+    seams = seams_of(rounds[0])
+    while not rounds[0].filter(F.col("chunk") > 0).isEmpty():
+        known = seams.withColumn("_prev", F.lag("_out").over(by))
+        open_seams = known.filter(F.col("_prev").isNotNull() & (F.col("_in").isNull() | differs)).select(
             key, "chunk", F.col("_prev").alias("_given")
         )
-        if step == 0 and done.filter(F.col("chunk") > 0).isEmpty():
-            break
         if open_seams.isEmpty():
             break
-        step += 1
         again = frame.df.filter(frame.is_core).join(open_seams, [key, "chunk"])
-        fixed = again.groupBy(key, "chunk").applyInPandas(run, schema)
-        done = save(done.join(open_seams, [key, "chunk"], "left_anti").unionByName(fixed), step)
-    return done.select(*out_cols).drop("chunk")
+        rounds.append(save(again.groupBy(key, "chunk").applyInPandas(run, schema), len(rounds)))
+        seams = reduce(DataFrame.unionByName, [seams_of(r) for r in rounds])
+        seams = seams.groupBy(key, "chunk").agg(F.max_by(F.struct("_in", "_out"), "_step").alias("_s"), F.max("_step").alias("_step")).select(
+            key, "chunk", "_s.*", "_step"
+        )
+    rows = reduce(DataFrame.unionByName, rounds)
+    if len(rounds) > 1:  # a chunk's rows are those of its last round
+        rows = rows.join(seams.select(key, "chunk", "_step"), [key, "chunk", "_step"], "left_semi")
+    return rows.select(*out_cols).drop("chunk")

@@ -82,8 +82,8 @@ def stop_required(min_sl: float = 0.0, min_tp: float = 0.0) -> Column:
     """Reason a signal is refused for its stop or target, NULL when it may pass."""
     px = F.nullif(c("entry_price"), F.lit(0.0))
     sl, tp = F.abs(c("entry_price") - c("sl")) / px, F.abs(c("entry_price") - c("tp")) / px
-    return F.when(c("sl").isNull() | c("tp").isNull(), "entry without SL and/or TP").when(sl < min_sl, "SL closer than min_mult from entry").when(
-        tp < min_tp, "TP closer than min_mult from entry")
+    return F.when(c("sl").isNull() | c("tp").isNull(), "no_stop_or_target").when(sl < min_sl, "stop_too_near").when(
+        tp < min_tp, "target_too_near")
 
 
 def position_size(capital: Column, pct: Column, max_units: Column, price: Column, wanted: Column) -> Column:

@@ -6,6 +6,7 @@ symbols as the key, so cumulative work uses the same chunked frames as indicator
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -287,8 +288,8 @@ def drawdown_episodes(stream: DataFrame, k: int = 5, book: str = BOOK) -> DataFr
 
 
 def overlaps(a: DataFrame, b: DataFrame, book: str = BOOK) -> DataFrame:
-    """Episodes of ``a`` that share a bar with an episode of ``b``; both are short report tables."""
-    cond = (c("a.start_idx") <= c("b.end_idx")) & (c("b.start_idx") <= c("a.end_idx"))
+    """Episodes of ``a`` that share a bar with an episode of ``b`` of the same book; both are short report tables."""
+    cond = c(f"a.{book}").eqNullSafe(c(f"b.{book}")) & (c("a.start_idx") <= c("b.end_idx")) & (c("b.start_idx") <= c("a.end_idx"))
     return a.alias("a").join(b.alias("b"), cond, "left_semi")
 
 
@@ -321,26 +322,24 @@ def battery_verdict(metrics: DataFrame, v1: dict = GATES_V1, v2: dict = GATES_V2
 
 # -- admission --------------------------------------------------------------
 def _slots(cap: int, replace_worst: bool):
-    """Open positions as (exit, score, order) triples; the state is a flat list padded with NaN."""
+    """Fixed places with the exit, score and number of the trade in each; a place is free once its exit is reached."""
+    free = np.array([[-1e300], [0.0], [-1.0]])
 
     def run(a, state):
-        n = len(a["entry"])
-        taken, out = [False] * n, [float("nan")] * n
-        open_ = [] if state is None else [tuple(state[i:i + 3]) for i in range(0, len(state), 3) if state[i] == state[i]]
-        for i in range(n):
-            t, x, s, me = float(a["entry"][i]), float(a["exit"][i]), float(a["score"][i]), float(a["idx"][i])
-            open_ = [p for p in open_ if p[0] > t]
-            if len(open_) < cap:
-                open_.append((x, s, me))
-                taken[i] = True
-            elif replace_worst:
-                worst = min(open_, key=lambda p: p[1])
-                if s > worst[1]:
-                    open_.remove(worst)
-                    open_.append((x, s, me))
-                    taken[i], out[i] = True, worst[2]
-        flat = [v for p in open_ for v in p]
-        return {"taken": taken, "replaces": out}, flat + [float("nan")] * (3 * cap - len(flat))
+        exits, scores, numbers = held = np.asarray(state, float).reshape(3, cap).copy() if state else np.repeat(free, cap, axis=1)
+        entry, leave, score, number = (np.asarray(a[k], float) for k in ("entry", "exit", "score", "idx"))
+        taken, out = np.zeros(len(entry), bool), np.full(len(entry), np.nan)
+        for i in range(len(entry)):
+            place = int(np.argmin(exits))
+            if exits[place] > entry[i]:  # all places are held
+                place = int(np.lexsort((numbers, scores))[0])
+                if not (replace_worst and score[i] > scores[place]):
+                    continue
+                out[i] = numbers[place]
+            exits[place], scores[place], numbers[place], taken[i] = leave[i], score[i], number[i], True
+        # one form for equal states, whatever place a trade sits in
+        held = np.where(exits > entry[-1], held, free)
+        return {"taken": taken, "replaces": out}, held[:, np.lexsort((numbers, held[0]))].ravel().tolist()
 
     return run
 
@@ -355,27 +354,33 @@ def admit_slots(trades: DataFrame, cap: int = 2, replace_worst: bool = False, bo
 
 
 def _positions(cooldown: int, allow_reverse: bool, same_bar: bool):
-    # fixed codes: why a signal was not taken
-    reasons = {0: "taken", 1: "data_ended_open", 2: "same_bar_after_exit", 3: "in_position", 4: "cooldown"}
+    """From one trade taken to the next by search, then the reason of everything in between at once."""
 
     def run(a, state):
-        busy, side, ended = state if state else (-2.0, 0.0, 0.0)
-        out = []
-        for i in range(len(a["decision"])):
-            d, x, s = float(a["decision"][i]), float(a["exit"][i]), float(a["side"][i])
-            code = 0
+        decision, leave, side = (np.asarray(a[k], float) for k in ("decision", "exit", "side"))
+        n = len(decision)
+        until, held, ended = state if state else (-2.0, 0.0, 0.0)
+        status, i = np.full(n, "in_position", dtype=object), 0
+        while i < n:
             if ended:
-                code = 1
-            elif d == busy and not same_bar:
-                code = 2
-            elif d <= busy:
-                code = 0 if side != 0.0 and allow_reverse and s != side else 3
-            elif d < busy + cooldown:
-                code = 4
-            if code == 0:
-                busy, side, ended = x, s, float(x < 0)
-            out.append(reasons[code])
-        return {"status": out}, [busy, side, ended]
+                status[i:] = "data_ended_open"
+                break
+            rest = decision[i:]
+            late = i + int(np.searchsorted(rest, until, side="right"))  # the first after the exit
+            ready = max(late, i + int(np.searchsorted(rest, until + cooldown)))
+            exit_bar = i + int(np.searchsorted(rest, until))
+            take = ready
+            if allow_reverse and held:
+                turn = np.flatnonzero(side[i : late if same_bar else exit_bar] != held)
+                take = i + int(turn[0]) if len(turn) else ready
+            if not same_bar:
+                status[exit_bar : min(late, take)] = "same_bar_after_exit"
+            status[late:take] = "cooldown"
+            if take < n:
+                status[take] = "taken"
+                until, held, ended = leave[take], side[take], float(leave[take] < 0)
+            i = take + 1
+        return {"status": status}, [until, held, ended]
 
     return run
 

@@ -16,6 +16,7 @@ from ..operators import kernels as K
 from ..operators.fold import fold
 from ..operators.frames import Frame, number_bars, ordinals
 from ..operators.intervals import bars_between, chunk_summary, first_crossing
+from ..operators.running import running
 from ..sources.store import settled
 
 ZONE_CHUNK = 256
@@ -262,8 +263,10 @@ def cluster_blocks(blocks: DataFrame, tolerance: float, max_gap_ms: int | None)
     """Merge blocks of one type that follow each other in price within the tolerance."""
     keyed = blocks.withColumns({"_k": F.concat_ws("|", "symbol", "block_type"), "_mid": (c("zone_low") + c("zone_high")) / 2, "start": c("start_ts")})
     rows = ordinals(keyed.withColumnRenamed("idx", "_i"), ["_k"], ["_mid", "start", "_i"]).withColumns({"zlo": c("zone_low"), "zhi": c("zone_high")})
-    done = fold(rows, K.chain_clusters(tolerance, max_gap_ms), ["zlo", "zhi", "start"], {"cluster": "long"}, key="_k",
+    done = fold(rows, K.chain_clusters(tolerance, max_gap_ms), ["zlo", "zhi", "start"], {"opens": "long"}, key="_k",
                 keep=["symbol", "block_type", "start", "break_idx", "retest_idx", "zone_low", "zone_high", "strength"])
+    f = Frame.of_numbered(done, 0, key="_k")
+    done = running(f, cluster=("sum", c("opens"))).core().withColumn("cluster", c("cluster") - 1)
     return done.groupBy("symbol", "block_type", "cluster").agg(
         F.min("start").alias("start_ts"), F.max("break_idx").alias("break_idx"), F.max("retest_idx").alias("retest_idx"),
         F.min("zone_low").alias("zone_low"), F.max("zone_high").alias("zone_high"), F.max("strength").alias("strength"), F.count(F.lit(1)).alias("n_blocks"))

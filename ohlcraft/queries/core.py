@@ -333,9 +333,9 @@ def _ar1(f):
 indicator("rolling_ar1", 101, _ar1, ["y"], Sql().add(p=lag("c")).add(y=full("covar_pop(c, p)", "p", 100) + " / " + f"nullif(var_pop(CASE WHEN p IS NOT NULL THEN p END) OVER {win(100)}, 0)").out("y"))
 
 
-@query("sorted_trades", f"WITH {B} SELECT symbol, ts, c AS close FROM b ORDER BY ts, symbol LIMIT 500")
+@query("sorted_trades", f"WITH {B} SELECT symbol, ts, c AS close FROM b ORDER BY ts, symbol")
 def sorted_trades(spark, d):
-    return T.bars(spark, d).select("symbol", "ts", "close").orderBy("ts", "symbol").limit(500)
+    return T.bars(spark, d).select("symbol", "ts", "close").orderBy("ts", "symbol")
 
 
 # -- cross-section ----------------------------------------------------------

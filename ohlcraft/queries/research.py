@@ -523,12 +523,18 @@ def stream_first_pages(spark, d):
     return _run_stream(spark, out, out)
 
 
+STREAM_FILES = 6
+
+
 def _bar_stream(spark, d):
-    """Numbered bars as a file stream: one file, in time order."""
-    T.bars(spark, d)
-    src = stored(spark, "bars_ordered", d, lambda: T.bars(spark, d).repartition(8, "symbol").sortWithinPartitions("symbol", "idx"))
-    path = src.inputFiles()[0].rsplit("/", 1)[0]
-    return spark.readStream.schema(src.schema).parquet(path)
+    """Numbered bars as a file stream: a file per span of time, one file to a micro-batch, oldest first."""
+    bars = T.bars(spark, d)
+    path = f"{shared_dir(spark)}/ohlcraft/feed-{uuid.uuid4().hex}"
+    last = bars.agg(F.max("idx")).first()[0] or 0
+    for k in range(STREAM_FILES):  # written one after the other, as a feed would; the source orders files by their time
+        span = (c("idx") * STREAM_FILES / (last + 1)).cast("int") == k
+        bars.filter(span).coalesce(1).sortWithinPartitions("symbol", "idx").write.mode("append").parquet(path)
+    return spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("stream_ema", Sql().ema("y", "c", 14).out("y"))
@@ -591,7 +597,7 @@ def baseline_gate(spark, d):
     return g.select("symbol", AR.baseline_gate(c("s"), c("p"), F.lit(41.0), F.lit(2.9)).alias("gate"))
 
 
-@query("risk_rules", "WITH " + TR + f"""SELECT symbol, idx, CASE WHEN reason = 'time' THEN 'entry without SL and/or TP' WHEN abs(risk) / close < 0.5 THEN 'SL closer than min_mult from entry' WHEN 3 * risk / close < 2 THEN 'TP closer than min_mult from entry' END AS refused, {sr('least(10000 * 0.1 / close, 50, 40)')} AS size FROM tr""")
+@query("risk_rules", "WITH " + TR + f"""SELECT symbol, idx, CASE WHEN reason = 'time' THEN 'no_stop_or_target' WHEN abs(risk) / close < 0.5 THEN 'stop_too_near' WHEN 3 * risk / close < 2 THEN 'target_too_near' END AS refused, {sr('least(10000 * 0.1 / close, 50, 40)')} AS size FROM tr""")
 def risk_rules(spark, d):
     t = trades(spark, d).withColumns({"entry_price": c("close"), "sl": F.when(c("reason") != "time", c("close") - O.sign() * c("risk")), "tp": c("close") + O.sign() * 3 * c("risk")})
     return t.select("symbol", "idx", AR.stop_required(0.5, 2.0).alias("refused"), r6(AR.position_size(F.lit(10000.0), F.lit(0.1), F.lit(50.0), c("close"), F.lit(40.0))).alias("size"))

@@ -15,20 +15,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for derived tables: the session's checkpoint folder.
 
-    Only a local session without the setting falls back to a temporary folder.
+    Only a session on one machine without the setting gets a folder of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="spark-ohlcraft-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="spark-ohlcraft-"))
+    return _OWN[0]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -154,3 +154,33 @@ def test_small_default_chunks_for_whole_plans(spark, data, monkeypatch):
     monkeypatch.setattr(frames, "SIZE", 64)
     monkeypatch.setattr(fold_module, "SIZE", 64)
     assert_same(want, table(avs.avsl(b).select("symbol", "idx", "avsl"), ["symbol", "idx"]))
+
+
+EVERY = {
+    "zigzag": (K.zigzag(3.0), ["idx", "high", "low"], {"pivot_idx": "long", "pivot_price": "double", "pivot_kind": "long"}),
+    "mcginley": (K.mcginley(5), ["x"], {"y": "double"}),
+    "clusters": (K.chain_clusters(0.01, None), ["zlo", "zhi", "start"], {"opens": "long"}),
+    "breaker": (K.breaker_bonus(3, 1.5, 4.0, 0.2), ["supply", "zlo", "zhi", "brk_close", "brk_atr", "base", "mult"], {"strength": "double"}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(EVERY))
+def test_fold_of_every_length(spark, name):
+    """Histories of 1 to 3 chunks of bars each, one of which leaves a chunk with warm-up bars alone."""
+    kernel, inputs, outputs = EVERY[name]
+    rows = []
+    for n in range(1, 25):
+        for i, (o, h, low, x, v) in enumerate(walk(n, seed=n)):
+            rows.append((f"n{n}", i, x, h, low, float(i % 2), min(o, x), max(o, x), float(i), x * 1.02 if i % 2 == 0 else x * 0.98, 1.0, v, 1.0))
+    cols = "x, high, low, supply, zlo, zhi, start, brk_close, brk_atr, base, mult"
+    df = spark.createDataFrame(rows, "symbol string, idx long, " + ", ".join(f"{c} double" for c in cols.split(", ")))
+    got = table(fold(df, kernel, inputs, outputs, warmup=3, size=8), ["symbol", "idx"])
+    local = df.toPandas()
+    assert len(got) == len(local)
+    for symbol, part in local.groupby("symbol"):
+        part = part.sort_values("idx")
+        made, _ = kernel({c: part[c].to_numpy() for c in inputs}, None)
+        for k, i in enumerate(part["idx"]):
+            for o in outputs:
+                a, b = got[symbol, i][o], made[o][k]
+                assert same(None if a is None else float(a), None if b != b else float(b)) or (a != a and b != b), (symbol, i, o, a, b)
