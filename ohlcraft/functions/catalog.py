@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
+from math import log
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import frames
 from ..operators.frames import Frame
 from . import averages as A
 from . import candles as C
@@ -19,13 +21,30 @@ from . import volatility as V
 
 @dataclass(frozen=True)
 class Spec:
-    """``params`` maps a name to (default, low, high); ``back`` gives the rows a frame must reach back."""
+    """``params`` maps a name to (default, low, high); ``back`` gives the rows a frame must reach back, ``size`` its chunks' rows.
+
+    Chunks must hold the start-up of a recursion and keep its decay within the range of a double. The default does for
+    averages, whose decay slows down as their start-up grows.
+    """
 
     build: Callable[..., Frame]
     outputs: tuple[str, ...]
     params: dict[str, tuple[float, float | None, float | None]] = field(default_factory=dict)
     back: Callable[[dict], int] = lambda p: 0
     recursive: bool = False
+    size: Callable[[dict], int] | None = None
+
+    def chunk(self, p: dict) -> int | None:
+        if self.size is not None:
+            return self.size(p)
+        longest = max([int(v) for v in p.values()], default=0) if self.recursive else 0
+        return max(frames.SIZE, 8 * longest + self.back(p))
+
+
+def _vidya_size(p: dict) -> int:
+    """As large as the fastest decay, ``1 - 2 / (n + 1)``, allows."""
+    n = int(p["n"])
+    return min(max(frames.SIZE, 10 * n), int(650 / -log(1 - 2 / (n + 1))) - 2 * n - 4)
 
 
 def _n(default: int, low: int = 1, high: int = 500) -> dict:
@@ -44,8 +63,9 @@ CATALOG: dict[str, Spec] = {
     **{k: _average(fn, d, 2) for k, fn, d in (("sma", A.sma, 10), ("wma", A.wma, 10), ("fwma", A.fwma, 10), ("pwma", A.pwma, 10), ("sinwma", A.sinwma, 14),
                                               ("swma", A.swma, 10), ("alma", A.alma, 9), ("trima", A.trima, 10), ("hma", A.hma, 10), ("linreg", A.linreg, 14), ("midpoint", A.midpoint, 2))},
     **{k: _average(fn, 10, 2, True) for k, fn in (("ema", A.ema), ("rma", A.rma), ("smma", A.smma), ("dema", A.dema), ("tema", A.tema), ("t3", A.t3), ("zlma", A.zlma))},
-    "kama": _average(A.kama, 10, 2, True),
-    "vidya": _average(A.vidya, 14, 2, True),
+    # at its fastest a step keeps 1 - (2 / 3) ** 2 of the value, whatever n
+    "kama": replace(_average(A.kama, 10, 1, True), size=lambda p: 600),
+    "vidya": replace(_average(A.vidya, 14, 2, True), size=_vidya_size),
     **{k: _simple(fn, outs, d, 1) for k, fn, outs, d in (
         ("bias", M.bias, ("bias",), 26), ("brar", M.brar, ("ar", "br"), 26), ("cci", M.cci, ("cci",), 14), ("cfo", M.cfo, ("cfo",), 9), ("cg", M.cg, ("cg",), 10),
         ("cmo", M.cmo, ("cmo",), 14), ("er", M.er, ("er",), 10), ("psl", M.psl, ("psl",), 12), ("roc", M.roc, ("roc",), 10), ("willr", M.willr, ("willr",), 14),
@@ -76,6 +96,9 @@ CATALOG: dict[str, Spec] = {
     **{f"cdl_{k}": Spec(lambda f, k=k: C.candle(f, k, f"cdl_{k}"), (f"cdl_{k}",), back=lambda p: 6) for k in C.PATTERNS if not k.startswith("hikkake")},
 }
 
+# its smoothing keeps about two thirds of the value at any n, so chunks stay short
+CATALOG["fisher"] = replace(CATALOG["fisher"], size=lambda p: max(frames.SIZE, 2 * int(p["n"]) + frames.SIZE))
+
 
 def register(name: str, spec: Spec) -> None:
     """Add a user's own indicator; an existing name is not replaced."""
@@ -108,7 +131,7 @@ def compute(numbered: DataFrame, name: str, given: dict | None = None, *chain: d
     """One indicator as columns ``name_output`` beside ``symbol`` and ``idx``."""
     spec = resolve(name, *chain)
     p = parameters(name, given, *chain)
-    f = spec.build(Frame.of_numbered(numbered, spec.back(p)), **p)
+    f = spec.build(Frame.of_numbered(numbered, spec.back(p), size=spec.chunk(p)), **p)
     return f.core("symbol", "idx", *[F.col(o).cast("double").alias(f"{name}_{o}") for o in spec.outputs])
 
 

@@ -184,3 +184,23 @@ def test_fold_of_every_length(spark, name):
             for o in outputs:
                 a, b = got[symbol, i][o], made[o][k]
                 assert same(None if a is None else float(a), None if b != b else float(b)) or (a != a and b != b), (symbol, i, o, a, b)
+
+
+def test_catalog_plans_over_its_whole_range(walks):
+    from ohlcraft.functions.catalog import CATALOG, compute
+
+    for name, spec in CATALOG.items():
+        if spec.recursive:
+            for pick in (1, 2):
+                given = {k: v[pick] for k, v in spec.params.items()}
+                assert compute(walks, name, given).columns[:2] == ["symbol", "idx"], (name, given)
+
+
+@pytest.mark.parametrize("name, n", [("ema", 300), ("t3", 40), ("kama", 100), ("vidya", 2), ("vidya", 3)])
+def test_catalog_sizes_do_not_change_values(walks, name, n):
+    from dataclasses import replace
+
+    from ohlcraft.functions.catalog import CATALOG, compute
+
+    small = {**CATALOG, name: replace(CATALOG[name], size=lambda p: CATALOG[name].chunk(p) - 37)}
+    assert_same(table(compute(walks, name, {"n": n}), ["symbol", "idx"]), table(compute(walks, name, {"n": n}, small), ["symbol", "idx"]))
