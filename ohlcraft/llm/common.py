@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,3 +113,36 @@ def smallest_linked(link: np.ndarray) -> np.ndarray:
         if (new == label).all():
             return label
         label = new
+
+
+#: Arrays that one task adds up.
+FAN_IN = 64
+
+
+def packed_counts(counts: np.ndarray, segment: int) -> pa.RecordBatch:
+    """A task's counters as rows of a segment each, to be added up by :func:`summed_counts`; empty segments are left out."""
+    parts = counts.astype(np.int64).reshape(-1, segment)
+    some = np.flatnonzero(parts.any(axis=1))
+    node = pa.array([TaskContext.get().partitionId()] * len(some), pa.int64())
+    return pa.RecordBatch.from_arrays([node, pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())], names=["node", "segment", "counts"])
+
+
+COUNTS = "node long, segment int, counts binary"
+
+
+def summed_counts(parts: DataFrame, size: int, segment: int, tasks: int) -> np.ndarray:
+    """Sum of the counters of all tasks, by a tree in which no task adds up more than ``FAN_IN`` arrays of a segment."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(segment, np.int64)
+        for x in table["counts"]:
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+        return pa.table({"node": table["node"][:1], "segment": table["segment"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.withColumn("node", F.expr(f"node div {FAN_IN}")).groupBy("segment", "node").applyInArrow(add, COUNTS)
+    out = np.zeros((-(-size // segment), segment), np.int64)
+    for r in parts.collect():  # one row per segment
+        out[r.segment] = np.frombuffer(zlib.decompress(r.counts), np.int64)
+    return out.ravel()[:size]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, runs_of, smallest_linked, staged, text_of, whole_runs
+from .common import COUNTS, map_rows, packed_counts, runs_of, smallest_linked, staged, summed_counts, text_of, whole_runs
 from .graph import components
 
 SHINGLE = 5
@@ -110,27 +110,19 @@ def bands(text: str, idf: np.ndarray) -> np.ndarray:
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """1 + log((1 + documents) / (1 + documents with the word)) per hashed counter, over all documents."""
     segment = 1 << 14
+    rows = docs.select(text_of().alias("text"))
 
     def count(batches):
-        total, n = np.zeros(IDF_BUCKETS, np.int64), 0
+        total = np.zeros(IDF_BUCKETS + segment, np.int64)  # the number of documents comes last
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total[np.unique((word_hashes(text) >> np.uint64(40)).astype(np.int64) & (IDF_BUCKETS - 1))] += 1
-            n += batch.num_rows
-        if n:
-            parts = [p.astype("<u4" if n < 1 << 32 else "<u8") for p in total.reshape(-1, segment)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(parts)), pa.int32()), pa.array([np.array([n]).tobytes()] + [p.astype(np.int64).tobytes() for p in parts], pa.binary())], names=["segment", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table["counts"])
-        return pa.table({"segment": table["segment"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "segment int, counts binary"
-    found = {r.segment: np.frombuffer(r.counts, np.int64) for r in docs.select(text_of().alias("text")).mapInArrow(count, schema).groupBy("segment").applyInArrow(add, schema).collect()}
-    if not found:
-        return np.ones(IDF_BUCKETS, np.float32)
-    held = np.concatenate([found[i] for i in range(IDF_BUCKETS // segment)])
-    return (1 + np.log((1 + found[-1][0]) / (1 + held))).astype(np.float32)
+            for text in batch.column(0):
+                total[np.unique((word_hashes(text.as_py()) >> np.uint64(40)).astype(np.int64) & (IDF_BUCKETS - 1))] += 1
+            total[IDF_BUCKETS] += batch.num_rows
+        if total[IDF_BUCKETS]:
+            yield packed_counts(total, segment)
+
+    held = summed_counts(rows.mapInArrow(count, COUNTS), IDF_BUCKETS + 1, segment, rows.rdd.getNumPartitions())
+    return (1 + np.log((1 + held[-1]) / (1 + held[:-1]))).astype(np.float32)
 
 
 def verify(texts: list[str], idf: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, staged, text_of
+from .common import COUNTS, map_rows, packed_counts, staged, summed_counts, text_of
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -80,29 +80,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", samp
 
 
 def _class_counts(rows: DataFrame) -> np.ndarray:
-    """Documents of class 0 and 1 that hold each n-gram, and all documents: bounded arrays are summed per segment."""
+    """Documents of class 0 and 1 that hold each n-gram, and all documents, as one array."""
 
     def count(batches):
-        total = np.zeros((2, BUCKETS), np.int64)
-        docs = np.zeros(2, np.int64)
+        total = np.zeros(2 * BUCKETS + _SEGMENT, np.int64)  # the documents of either class come last
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[label, np.unique(ngrams(text))] += 1
-                docs[label] += 1
-        if docs.any():
-            parts = total.reshape(2, -1, _SEGMENT)
-            data = [parts[:, i].tobytes() for i in range(parts.shape[1])] + [docs.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(data) - 1), pa.int32()), pa.array(data[-1:] + data[:-1], pa.binary())], names=["segment", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table["counts"].to_pylist())
-        return pa.table({"segment": table["segment"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "segment int, counts binary"
-    found = {r.segment: np.frombuffer(r.counts, np.int64) for r in rows.select("text", "label").mapInArrow(count, schema).groupBy("segment").applyInArrow(add, schema).collect()}
-    if not found:
-        return np.zeros((2, 1 + BUCKETS), np.int64)
-    return np.concatenate([found[-1].reshape(2, 1), *(found[i].reshape(2, -1) for i in range(BUCKETS // _SEGMENT))], axis=1)
+                total[label * BUCKETS + np.unique(ngrams(text))] += 1
+                total[2 * BUCKETS + label] += 1
+        if total.any():
+            yield packed_counts(total, _SEGMENT)
+
+    rows = rows.select("text", "label")
+    total = summed_counts(rows.mapInArrow(count, COUNTS), 2 * BUCKETS + 2, _SEGMENT, rows.rdd.getNumPartitions())
+    return np.concatenate([total[2 * BUCKETS :].reshape(2, 1), total[: 2 * BUCKETS].reshape(2, -1)], axis=1)
 
 
 def _logistic(indptr: np.ndarray, index: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
