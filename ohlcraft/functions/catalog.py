@@ -96,8 +96,8 @@ CATALOG: dict[str, Spec] = {
     **{f"cdl_{k}": Spec(lambda f, k=k: C.candle(f, k, f"cdl_{k}"), (f"cdl_{k}",), back=lambda p: 6) for k in C.PATTERNS if not k.startswith("hikkake")},
 }
 
-# its smoothing keeps about two thirds of the value at any n, so chunks stay short
-CATALOG["fisher"] = replace(CATALOG["fisher"], size=lambda p: max(frames.SIZE, 2 * int(p["n"]) + frames.SIZE))
+# its smoothing halves the value at every step whatever n, so its frames reach back no further than they must
+CATALOG["fisher"] = replace(CATALOG["fisher"], back=lambda p: int(p["n"]) + 2, size=lambda p: frames.SIZE)
 
 
 def register(name: str, spec: Spec) -> None:
