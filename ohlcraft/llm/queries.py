@@ -80,7 +80,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-@query("op6_cap_filters")
+@query("op6_cap_filters", """
+with recursive v as (
+    select vec_id, cast(embedding as double[]) as e from embeddings
+    where vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+    select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select vec_id as a, vec_id as b from v union select reach.a, links.b from reach join links on reach.b = links.a),
+roots as (select a as vec_id, min(b) as root from reach group by a),
+counts as (select a as vec_id, count(*) as n from links group by a)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, coalesce(root, vec_id) as component_id, vec_id = coalesce(root, vec_id) as kept
+from embeddings left join counts using (vec_id) left join roots using (vec_id)
+""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -90,6 +102,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
 
 
-@query("op5_repeated_phrases")
+@query("op5_repeated_phrases", r"""
+with d as (select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select r, doc_id, i, array_to_string(w[i : i + 49], ' ') as k from d, unnest(range(1, len(w) - 48)) as t(i) where len(w) >= 50),
+firsts as (select k, min(doc_id) as f from win group by k),
+gone as (select distinct r, i + j as p from win join firsts using (k), unnest(range(0, 50)) as u(j) where f < doc_id),
+words as (select r, unnest(w) as x, generate_subscripts(w, 1) as p from d),
+kept as (select r, string_agg(x, ' ' order by p) as t, count(*) as n from words anti join gone using (r, p) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (r)
+""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.deduplicated(table(spark, sf_dir, "documents"))
