@@ -283,8 +283,10 @@ def drawdown_episodes(stream: DataFrame, k: int = 5, book: str = BOOK) -> DataFr
     f = running(f.settle(), _at=("last", F.when(c("_s") >= c("_p"), c("idx"))))
     runs = f.core().filter(c("_s") < c("_p")).groupBy(book, c("_at").alias("peak_idx")).agg(
         F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), F.max(c("_p") - c("_s")).alias("depth"))
+    # the k deepest of a book are among the k deepest of its parts, so one book is many tasks
+    part = F.row_number().over(Window.partitionBy(book, F.pmod(F.xxhash64("peak_idx"), F.lit(64))).orderBy(c("depth").desc(), "start_idx"))
     rank = F.row_number().over(Window.partitionBy(book).orderBy(c("depth").desc(), "start_idx"))
-    return runs.withColumn("rank", rank).filter(c("rank") <= k)
+    return runs.withColumn("_part", part).filter(c("_part") <= k).drop("_part").withColumn("rank", rank).filter(c("rank") <= k)
 
 
 def overlaps(a: DataFrame, b: DataFrame, book: str = BOOK) -> DataFrame:

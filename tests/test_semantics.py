@@ -193,3 +193,39 @@ def test_jurik_and_adaptive_first_bars(bars):
     assert y["y"][0] == 10.0 and np.all(np.isfinite(y["y"]))
     m, _ = K.adaptive_phase()({"x": x}, None)
     assert list(m["mama"][:6]) == list(x[:6])
+
+
+def test_episodes_meet_within_their_book(spark):
+    from ohlcraft.plans import portfolio as P
+
+    cols = "book string, start_idx long, end_idx long"
+    a = spark.createDataFrame([("x", 1, 5), ("x", 20, 30), ("y", 1, 5), (None, 2, 3)], cols)
+    b = spark.createDataFrame([("x", 4, 9), ("y", 25, 26), (None, 3, 3)], cols)
+    assert sorted(map(tuple, P.overlaps(a, b, "book").collect()), key=str) == sorted([("x", 1, 5), (None, 2, 3)], key=str)
+
+
+def test_admission_does_not_depend_on_cuts(spark, monkeypatch):
+    import random
+
+    from ohlcraft.operators import fold
+    from ohlcraft.plans import portfolio as P
+
+    rng, t, rows = random.Random(3), 0, []
+    for i in range(90):
+        t += rng.randint(0, 3)
+        rows.append(("b", i, t, t + rng.randint(1, 9), float(rng.randint(0, 20))))
+    trades = spark.createDataFrame(rows, "book string, idx long, entry long, exit long, score double")
+    for worst in (False, True):
+        whole = sorted(map(tuple, P.admit_slots(trades, 2, worst, "book").select("idx", "taken").collect()))
+        monkeypatch.setattr(fold, "SIZE", 16)
+        assert sorted(map(tuple, P.admit_slots(trades, 2, worst, "book").select("idx", "taken").collect())) == whole
+        monkeypatch.undo()
+        held, expect = [], []
+        for _, i, entry, leave, score in rows:  # the definition: at most two trades are open at once
+            held = [h for h in held if h[0] > entry]
+            if len(held) == 2 and worst and min(h[1] for h in held) < score:
+                held.remove(min(held, key=lambda h: h[1]))
+            took = len(held) < 2
+            held += [(leave, score)] if took else []
+            expect.append((i, took))
+        assert whole == expect
