@@ -143,6 +143,6 @@ def summed_counts(parts: DataFrame, size: int, segment: int, tasks: int) -> np.n
         tasks = -(-tasks // FAN_IN)
         parts = parts.withColumn("node", F.expr(f"node div {FAN_IN}")).groupBy("segment", "node").applyInArrow(add, COUNTS)
     out = np.zeros((-(-size // segment), segment), np.int64)
-    for r in parts.collect():  # one row per segment
-        out[r.segment] = np.frombuffer(zlib.decompress(r.counts), np.int64)
+    for r in parts.collect():  # one row per segment, or a few if the plan ran in more tasks than it was asked about
+        out[r.segment] += np.frombuffer(zlib.decompress(r.counts), np.int64)
     return out.ravel()[:size]
