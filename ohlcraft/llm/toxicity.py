@@ -1,9 +1,10 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of hashed character n-grams of the lower-cased text. From labelled texts come, per n-gram, the
+Features are counts of hashed character n-grams of the lower-cased text. From labelled texts come, per n-gram, the
 documents of either class that hold it; the log of the ratio of its smoothed shares scales the feature, and a logistic
-regression with an L2 penalty learns weights for the scaled features. Scaling and weight multiply into one number per
-n-gram, so the model is one array of ``BUCKETS`` numbers whatever the corpus.
+regression with an L2 penalty learns weights for the scaled features. Each text's scaled counts are divided by their
+Euclidean length, so that a score follows what a text is made of and not how long it is: a text repeated any number of
+times scores as it does once. The model is two arrays of ``BUCKETS`` numbers whatever the corpus.
 
 The fit reads at most about ``SAMPLE`` labelled rows, drawn by a hash of the id (all of them where there are fewer), whole
 texts, none of them held out. Scoring reads every whole text in one pass without a shuffle.
@@ -58,15 +59,23 @@ def ngrams(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def features(found: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of ``found`` and their counts, scaled and of Euclidean length 1."""
+    index, count = np.unique(found, return_counts=True)
+    value = count * scale[index]
+    return index, value / (np.linalg.norm(value) or 1.0)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
+    scale: np.ndarray
     intercept: float
 
     def score(self, text: str) -> float:
         found = ngrams(text)
-        found = np.unique(found[self.weights[found] != 0])
-        z = self.intercept + float(self.weights[found].sum(dtype=np.float64))
+        index, value = features(found[self.scale[found] != 0], self.scale)
+        z = self.intercept + float(self.weights[index] @ value)
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
@@ -96,11 +105,10 @@ def _class_counts(rows: DataFrame) -> np.ndarray:
     return np.concatenate([total[2 * BUCKETS :].reshape(2, 1), total[: 2 * BUCKETS].reshape(2, -1)], axis=1)
 
 
-def _logistic(indptr: np.ndarray, index: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent with restarts on rows of scaled, present features."""
-    n, k = len(y), len(scale)
+def _logistic(indptr: np.ndarray, index: np.ndarray, value: np.ndarray, k: int, y: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Accelerated gradient descent with restarts on rows of values of ``k`` features."""
+    n = len(y)
     row = np.repeat(np.arange(n), np.diff(indptr))
-    value = scale[index]
 
     def margin(w, b):
         return np.bincount(row, value * w[index], n) + b
@@ -135,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     counts = _class_counts(rows)
     docs_of, held = counts[:, 0].astype(float), counts[:, 1:].astype(float)
     if not docs_of.all():
-        return Model(np.zeros(BUCKETS), float(np.log((docs_of[1] + SMOOTHING) / (docs_of[0] + SMOOTHING))))
+        return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), float(np.log((docs_of[1] + SMOOTHING) / (docs_of[0] + SMOOTHING))))
     share = (held + SMOOTHING) / (docs_of + 2 * SMOOTHING)[:, None]
     ratio = np.log(share[1] / share[0])
     # how far the observed number of class-1 documents is from what independence would give, in standard deviations
@@ -144,25 +152,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     chosen = np.sort(np.argsort(-np.abs(held[1] - total * p) / spread, kind="stable")[:FEATURES])
     place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    sent = docs.sparkSession.sparkContext.broadcast(place)
+    sent = docs.sparkSession.sparkContext.broadcast((place, ratio[chosen]))
 
     def make():
-        at = sent.value
+        at, scale = sent.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [np.unique(at[ngrams(t)]) for t in batch.column(0).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array([f[f >= 0].astype(np.uint16).tobytes() for f in found], pa.binary()), batch.column(1)], names=["present", "label"])
+            found = [at[ngrams(t)] for t in batch.column(0).to_pylist()]
+            rows = [features(f[f >= 0], scale) for f in found]
+            index = pa.array([i.astype(np.uint16).tobytes() for i, _ in rows], pa.binary())
+            value = pa.array([v.astype(np.float32).tobytes() for _, v in rows], pa.binary())
+            return pa.RecordBatch.from_arrays([index, value, batch.column(1)], names=["index", "value", "label"])
 
         return step
 
-    kept = map_rows(rows, make, "present binary, label int").collect()  # of the bounded sample
-    kept.sort(key=lambda r: (r.label, bytes(r.present)))
-    index = np.frombuffer(b"".join(r.present for r in kept), np.uint16).astype(np.int64)
-    indptr = np.concatenate([[0], np.cumsum([len(r.present) // 2 for r in kept])])
-    w, b = _logistic(indptr, index, ratio[chosen], np.array([r.label for r in kept], float), PENALTY, ROUNDS)
-    weights = np.zeros(BUCKETS)
-    weights[chosen] = w * ratio[chosen]
-    return Model(weights, b)
+    kept = map_rows(rows, make, "index binary, value binary, label int").collect()  # of the bounded sample
+    kept.sort(key=lambda r: (r.label, bytes(r["index"]), bytes(r.value)))
+    index = np.frombuffer(b"".join(r["index"] for r in kept), np.uint16).astype(np.int64)
+    value = np.frombuffer(b"".join(r.value for r in kept), np.float32).astype(float)
+    indptr = np.concatenate([[0], np.cumsum([len(r["index"]) // 2 for r in kept])])
+    w, b = _logistic(indptr, index, value, len(chosen), np.array([r.label for r in kept], float), PENALTY, ROUNDS)
+    weights, scale = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    weights[chosen], scale[chosen] = w, ratio[chosen]
+    return Model(weights, scale, b)
 
 
 def with_score(docs: DataFrame, model: Model, columns: list[str], name: str = "score") -> DataFrame:

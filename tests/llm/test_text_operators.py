@@ -216,6 +216,23 @@ def test_toxicity(spark, corpus):
     assert toxicity.report(table(spark, []), labels).count() == 0
 
 
+def test_toxicity_of_long_texts(spark):
+    draws = random.Random(2)
+    plain = ["".join(draws.choices("abcdefghijklmnopqrstuvwxyz", k=draws.randint(3, 8))) for _ in range(3000)]
+    bad = ["nastyword", "vilething", "awfulone"]
+
+    def text(words, toxic):
+        return " ".join(draws.choice(bad) if toxic and draws.random() < 0.04 else draws.choice(plain) for _ in range(words))
+
+    rows = [(i, text(draws.randint(40, 200), i % 5 == 0), None) for i in range(1000)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1000)], "doc_id long, toxic int")
+    model = toxicity.fit(table(spark, rows), labels)
+    for words in (1000, 30_000, 300_000):
+        assert model.score(text(words, False)) < 0.5 < model.score(text(words, True)), words
+    t = text(100, True)
+    assert model.score((t + " ") * 1000) == pytest.approx(model.score((t + " ") * 10), rel=0.02)
+
+
 def brute_spans(text):
     def luhn(s):
         return sum((lambda x: x * 2 - 9 * (x > 4) if k % 2 else x)(int(c)) for k, c in enumerate(reversed(s))) % 10 == 0
