@@ -19,6 +19,7 @@ Nulls: a null text is empty. Empty texts have no tokens; repeated rows are count
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,6 +139,7 @@ class Compiled:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
         self.counter = Counter({plain(t): i for t, i in model["model"]["vocab"].items() if t not in special}, [(plain(a), plain(b)) for a, b in pairs])
         self.special = special
+        self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))))
         self.kind = np.full(0x110000, UNKNOWN, np.uint8)
         self.kind[0x20] = BLANK
         self.known: dict[str, int] = {}
@@ -237,11 +239,8 @@ class Compiled:
 
     def count(self, text: str) -> int:
         """Tokens of a text as the library gives them; a special token's string is one token and cuts the text."""
-        for s in self.special:
-            if s in text:
-                a, _, b = text.partition(s)
-                return self.count(a) + 1 + self.count(b)
-        return self.segment(text)
+        parts = self.cut.split(text) if self.special else [text]
+        return sum(map(self.segment, parts)) + len(parts) - 1
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:

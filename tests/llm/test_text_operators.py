@@ -196,6 +196,14 @@ def test_token_counts(spark, corpus, monkeypatch):
     assert all(r.over_limit == (r.n_tokens > 100) for r in rows)
 
 
+def test_token_counts_of_joined_documents():
+    import public_tokenizers
+
+    compiled = token_counts.Compiled(public_tokenizers.path(token_counts.VOCABULARY))
+    for text in ("it's  a\n<|endoftext|>" * 5000, "<|endoftext|>" * 5000 + " b"):
+        assert compiled.count(text) == len(compiled.library.encode(text, add_special_tokens=False).ids)
+
+
 def test_toxicity(spark, corpus):
     draws = random.Random(1)
     plain = ["green", "tree", "river", "stone", "cloud", "house", "light", "paper"]
