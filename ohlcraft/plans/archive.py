@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,13 +45,20 @@ MAX_QUERIES = 10_000
 
 
 def cosine_top_k(points: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embedding", pid: str = "vec_id", qid: str = "q_id") -> DataFrame:
-    """Exact top-k by cosine for a small set of queries.
+    """Exact top-k by cosine: every query against every point, so the work is their product.
 
-    The query side is counted before it is broadcast; each partition keeps its own k best per
-    query before anything is shuffled.
+    The query side is counted and broadcast in blocks of about ``MAX_QUERIES``; each partition keeps its own k best
+    per query before anything is shuffled.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; split them into batches")
+    blocks = -(-queries.count() // MAX_QUERIES)
+    if blocks > 1:
+        block = F.pmod(F.xxhash64(qid), F.lit(blocks))
+        parts = [_top_k_block(points, queries.filter(block == i), k, vec, pid, qid) for i in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    return _top_k_block(points, queries, k, vec, pid, qid)
+
+
+def _top_k_block(points: DataFrame, queries: DataFrame, k: int, vec: str, pid: str, qid: str) -> DataFrame:
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     q = queries.select(c(qid), c(vec).cast("array<double>").alias("_q")).withColumn("_qn", norm(c("_q")))
     p = points.withColumn("_v", c(vec).cast("array<double>")).withColumns({"_vn": norm(c("_v")), "_part": F.spark_partition_id()})

@@ -578,6 +578,15 @@ def cosine_top_k(spark, d):
     return AR.cosine_top_k(e.filter("label = 1"), q, 5).select("q_id", "rank", "vec_id", r6("score").alias("score"))
 
 
+@query("cosine_top_k_all", f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings), s AS (SELECT q.vec_id AS q_id, p.vec_id, CASE WHEN p.n * q.n > 0 THEN list_dot_product(p.e, q.e) / (p.n * q.n) ELSE 0 END AS score FROM v p, v q WHERE q.vec_id % 50 = 0)
+SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, {sr('score')} AS score FROM s QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY s.score DESC, vec_id) <= 5""")
+def cosine_top_k_all(spark, d):
+    """Every fiftieth vector against all vectors; ``cosine_top_k`` is the search with a filter on the points."""
+    e = T.table(spark, d, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(c("vec_id").alias("q_id"), "embedding")
+    return AR.cosine_top_k(e, q, 5).select("q_id", "rank", "vec_id", r6("score").alias("score"))
+
+
 @query("upsert_latest", "SELECT user_id, arg_max(value, (ts, event_id)) AS value, count(*) AS n FROM events GROUP BY 1")
 def upsert_latest(spark, d):
     e = T.table(spark, d, "events")

@@ -229,3 +229,20 @@ def test_admission_does_not_depend_on_cuts(spark, monkeypatch):
             held += [(leave, score)] if took else []
             expect.append((i, took))
         assert whole == expect
+
+
+def test_cosine_top_k_searches_all_vectors_in_blocks(spark, data, monkeypatch):
+    from ohlcraft.plans import archive
+    from ohlcraft.queries import load
+
+    monkeypatch.setattr(archive, "MAX_QUERIES", 3)
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()
+    v = np.array([r.embedding for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    best = {r.vec_id: np.sort(v @ x)[::-1][:5] for r, x in zip(rows, v, strict=True) if r.vec_id % 50 == 0}
+    got = {}
+    for r in load()[0]["cosine_top_k_all"](spark, data).orderBy("q_id", "rank").collect():
+        got.setdefault(r.q_id, []).append(r.score)
+    assert len(best) > 3 and got.keys() == best.keys()
+    for k, scores in got.items():
+        assert np.allclose(scores, best[k], atol=2e-6)
