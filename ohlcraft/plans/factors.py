@@ -141,10 +141,10 @@ def normal_cdf(x: Column) -> Column:
 
 
 def put_value(spot: Column, strike: Column, years: Column, vol: Column) -> Column:
-    """European put without rates; the intrinsic value at or after expiry."""
+    """European put without rates; the intrinsic value at or after expiry and where spot or strike isn't positive."""
     sd = vol * F.sqrt(F.greatest(years, F.lit(1e-12)))
-    d1 = F.log(spot / strike) / sd + sd / 2
-    return F.when((years <= 0) | (vol <= 0), F.greatest(strike - spot, F.lit(0.0))).otherwise(strike * normal_cdf(sd - d1) - spot * normal_cdf(-d1))
+    d1 = F.log(spot / F.nullif(strike, F.lit(0.0))) / sd + sd / 2
+    return F.when((years <= 0) | (vol <= 0) | (spot <= 0) | (strike <= 0), F.greatest(strike - spot, F.lit(0.0))).otherwise(strike * normal_cdf(sd - d1) - spot * normal_cdf(-d1))
 
 
 def nearest_strike(want: DataFrame, chain: DataFrame, share: float = 0.9) -> DataFrame:

@@ -490,8 +490,7 @@ def nearest_strike(spark, d):
 
 @query("option_values")
 def option_values(spark, d):
-    b = T.bars(spark, d).filter("close > 1")
-    return b.select("symbol", "idx", r6(FA.put_value(c("close"), 0.9 * c("close"), F.lit(30 / 365), F.lit(0.6))).alias("put"))
+    return T.bars(spark, d).select("symbol", "idx", r6(FA.put_value(c("close"), 0.9 * c("close"), F.lit(30 / 365), F.lit(0.6))).alias("put"))
 
 
 # -- streaming ---------------------------------------------------------------

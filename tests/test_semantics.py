@@ -246,3 +246,15 @@ def test_cosine_top_k_searches_all_vectors_in_blocks(spark, data, monkeypatch):
     assert len(best) > 3 and got.keys() == best.keys()
     for k, scores in got.items():
         assert np.allclose(scores, best[k], atol=2e-6)
+
+
+def test_option_values_of_all_bars(spark, data):
+    from ohlcraft.plans import factors
+    from ohlcraft.queries import load
+    from ohlcraft.sources import tables
+
+    out = load()[0]["option_values"](spark, data)
+    assert out.count() == tables.bars(spark, data).count() == out.filter("put >= 0").count()
+    low = spark.createDataFrame([(0.0, 0.0), (0.0, 2.0), (-1.0, 2.0), (3.0, 0.0)], "s double, k double")
+    put = low.select(factors.put_value(F.col("s"), F.col("k"), F.lit(0.1), F.lit(0.6)).alias("p")).collect()
+    assert [r.p for r in put] == [0.0, 2.0, 3.0, 0.0]
