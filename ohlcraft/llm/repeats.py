@@ -7,9 +7,9 @@ A window is ``WINDOW`` consecutive words; a word goes if a window that covers it
 2. A phrase that different texts share is recurring. Texts that equal one of a smaller id need no search: all their windows
    recur.
 3. Documents meet the recurring phrases that they hold. Each block of documents compiles its phrases into an Aho-Corasick
-   automaton, a shard that no other block needs, and its documents stream through it; the occurrences confirm the phrases,
+   automaton, a shard that no other block needs, and its documents stream through it; the occurrences give the places of the phrases,
    word by word.
-4. Windows whose phrase is confirmed are hashed. A block sends each different window once, with the smallest id that it has
+4. Windows whose phrase occurs are hashed. A block sends each different window once, with the smallest id that it has
    for it, to the bucket of its hash; the bucket answers each block with one bit per window: whether a smaller id exists. A
    passage that a third of all documents share is thus one entry per block.
 5. Blocks mark the words of the windows found and write the rest.
