@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Words of the substring, mixing and near-duplicate operators.
 BLANK = "\\x20\\x09-\\x0D"
@@ -57,6 +58,21 @@ def drop_stage(spark: SparkSession, df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str, total: str) -> DataFrame:
+    """0-based rank of each row inside ``keys`` and the number of rows of its key, without a key or a tie in one task.
+
+    Rows are range-partitioned by keys and order and written with their partition; a rank is the rank in the partition plus
+    the rows of the key in earlier ones. Only one row per key and partition meets in a window.
+    """
+    parted = staged(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = parted.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.coalesce(F.sum("_rows").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*keys, "_part", before.alias("_before"), F.sum("_rows").over(whole).alias(total))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return parted.join(offsets, [*keys, "_part"]).withColumn(rank, (F.col("_before") + inside - 1).cast("long")).drop("_part", "_before")
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
