@@ -23,40 +23,3 @@ def bars_between(events: DataFrame, bars: DataFrame, lo: Column, hi: Column, siz
     )
     joined = ev.join(right, (F.col(key) == F.col("_k")) & (F.col("_chunk") == F.col("_c")))
     return joined.filter(F.col(f"{prefix}idx").between(F.col("_lo"), F.col("_hi"))).drop("_k", "_c", "_lo", "_hi", "_chunk")
-
-
-def chunk_summary(bars: DataFrame, size: int, key: str = KEY, **aggs: Column) -> DataFrame:
-    return bars.groupBy(key, F.floor(F.col("idx") / size).alias("chunk")).agg(
-        *[a.alias(n) for n, a in aggs.items()]
-    )
-
-
-def first_crossing(events: DataFrame, bars: DataFrame, ids: list[str], after: Column, x: str, level: Column,
-                   below: Column, out: str, size: int = 256, key: str = KEY, inclusive: bool = False) -> DataFrame:
-    """First bar from ``after + 1`` on where ``x`` is beyond ``level``, with no horizon.
-
-    ``below`` says per event whether beyond means under the level; ``inclusive`` lets equality
-    count. The extremes of each chunk tell which chunk holds the crossing, so an event reads
-    the rest of its own chunk, one summary row per later chunk, and one further chunk of bars.
-    """
-    def beyond(v: Column) -> Column:
-        lower, upper = (v <= F.col("_lv"), v >= F.col("_lv")) if inclusive else (v < F.col("_lv"), v > F.col("_lv"))
-        return F.when(F.col("_bl"), lower).otherwise(upper)
-
-    ev = events.withColumns({"_at": after.cast("long"), "_lv": level, "_bl": below})
-    ev = ev.withColumn("_c0", F.floor((F.col("_at") + 1) / size))
-    cols = [*ids, "_at", "_lv", "_bl", "_c0"]
-    ev_small = ev.select(*cols)
-    edge = (F.col("_c0") + 1) * size - 1
-    near = bars_between(ev_small, bars, F.col("_at") + 1, edge, size, [x], key)
-    near = near.filter(beyond(F.col(f"b_{x}"))).groupBy(*ids).agg(F.min("b_idx").alias("_near"))
-    summary = chunk_summary(bars, size, key, _mn=F.min(x), _mx=F.max(x))
-    last = summary.groupBy(key).agg(F.max("chunk").alias("_cl"))
-    rest = ev_small.join(near, ids, "left_anti").join(last, key).filter(F.col("_cl") > F.col("_c0"))
-    rest = rest.withColumn("chunk", F.explode(F.sequence(F.col("_c0") + 1, F.col("_cl"))))
-    hit = rest.join(summary, [key, "chunk"]).filter(beyond(F.when(F.col("_bl"), F.col("_mn")).otherwise(F.col("_mx"))))
-    hit = hit.groupBy(*ids, "_lv", "_bl").agg(F.min("chunk").alias("_ch"))
-    far = bars_between(hit, bars, F.col("_ch") * size, (F.col("_ch") + 1) * size - 1, size, [x], key)
-    far = far.filter(beyond(F.col(f"b_{x}"))).groupBy(*ids).agg(F.min("b_idx").alias("_near"))
-    found = near.unionByName(far).withColumnRenamed("_near", out)
-    return events.join(found, ids, "left")

@@ -15,7 +15,10 @@ from ..functions.volatility import atr as atr_ind
 from ..operators import kernels as K
 from ..operators.fold import fold
 from ..operators.frames import Frame, number_bars, ordinals
-from ..operators.intervals import bars_between, chunk_summary, first_crossing
+from ..operators.intervals import bars_between
+from ..operators.ladder import Ladder, first_crossing
+from ..operators.scan import asof_sorted
+from ..operators.stabbing import covering, live_zones
 from ..operators.running import running
 from ..sources.store import settled
 
@@ -309,8 +312,9 @@ def swing_blocks(numbered: DataFrame, swing: int = 5, disp: float = 1.5, confirm
     b = settled(b.withColumn("block_id", 2 * c("idx") + F.when(c("block_type") == "demand", 1).otherwise(0)))
     ids, demand = ["symbol", "block_id"], c("block_type") == "demand"
     close = numbered.select("symbol", "idx", "close")
-    b = settled(first_crossing(b, close, ids, c("idx"), "close", F.when(demand, c("zone_low")).otherwise(c("zone_high")), demand, "_brk", ZONE_CHUNK))
-    b = first_crossing(b, close, ids, c("idx"), "close", F.when(demand, c("zone_high")).otherwise(c("zone_low")), demand, "_ret", ZONE_CHUNK, inclusive=True)
+    ladder = Ladder.of(close, ["close"])
+    b = first_crossing(b, close, ids, c("idx"), "close", F.when(demand, c("zone_low")).otherwise(c("zone_high")), demand, "_brk", ladder=ladder)
+    b = first_crossing(b, close, ids, c("idx"), "close", F.when(demand, c("zone_high")).otherwise(c("zone_low")), demand, "_ret", inclusive=True, ladder=ladder)
     last = numbered.groupBy("symbol").agg(F.max("idx").alias("_last"))
     b = b.join(last, "symbol").withColumn("end_idx", F.coalesce("_brk", "_last"))
     held = c("_ret").isNotNull() & (c("_brk").isNull() | (c("_ret") < c("_brk")))
@@ -330,56 +334,46 @@ def _side(demand: Column) -> Column:
     return F.when(demand, "long").otherwise("short")
 
 
-def _live_bars(blocks: DataFrame, rows: DataFrame, cols: list[str], reach: Column) -> DataFrame:
-    """Bars after confirmation while the zone lives, skipping chunks whose range never meets ``reach``.
-
-    ``reach`` reads the chunk extremes ``mn`` and ``mx`` and the zone of the block.
-    """
-    summary = chunk_summary(rows, ZONE_CHUNK, mn=F.min("low"), mx=F.max("high"))
-    spans = blocks.withColumn("chunk", F.explode(F.sequence(F.floor((c("confirm_idx") + 1) / ZONE_CHUNK), F.greatest(F.floor(c("_until") / ZONE_CHUNK), F.floor((c("confirm_idx") + 1) / ZONE_CHUNK)))))
-    spans = spans.join(summary, ["symbol", "chunk"]).filter(reach)
-    lo = F.greatest(c("confirm_idx") + 1, c("chunk") * ZONE_CHUNK)
-    hi = F.least(c("_until"), (c("chunk") + 1) * ZONE_CHUNK - 1)
-    return bars_between(spans.drop("mn", "mx"), rows, lo, hi, ZONE_CHUNK, cols)
+def zone_ladder(rows: DataFrame) -> Ladder:
+    """What the searches for touches, sweeps and invalidations climb."""
+    return Ladder.of(rows, ["low", "high", "close", "atr"])
 
 
-def _with_invalidation(blocks: DataFrame, rows: DataFrame) -> DataFrame:
+def _with_invalidation(blocks: DataFrame, rows: DataFrame, ladder: Ladder | None = None) -> DataFrame:
     """``_dead``: first close beyond the zone after confirmation; ``_until``: last bar before it."""
     demand = c("block_type") == "demand"
-    b = first_crossing(blocks, rows, ["symbol", "block_id"], c("confirm_idx"), "close", F.when(demand, c("zone_low")).otherwise(c("zone_high")), demand, "_dead", ZONE_CHUNK)
+    edge = F.when(demand, c("zone_low")).otherwise(c("zone_high"))
+    b = first_crossing(blocks, rows, ["symbol", "block_id"], c("confirm_idx"), "close", edge, demand, "_dead", ladder=ladder)
     last = rows.groupBy("symbol").agg(F.max("idx").alias("_last"))
     return settled(b.join(last, "symbol").withColumn("_until", F.coalesce(c("_dead") - 1, "_last")))
 
 
-def zone_touches(alive: DataFrame, rows: DataFrame, tol_atr: float = 0.0) -> DataFrame:
+def zone_touches(alive: DataFrame, rows: DataFrame, tol_atr: float = 0.0, ladder: Ladder | None = None) -> DataFrame:
     """First and second touch of each zone before its invalidation (``touch`` 1 and 2)."""
-    demand = c("block_type") == "demand"
-    reach = (c("mn") <= c("zone_high")) & (c("mx") >= c("zone_low"))
-    live = _live_bars(alive, rows, ["high", "low", "atr"], reach)
-    tol = tol_atr * F.coalesce("b_atr", F.lit(0.0))
-    hit = F.when(demand, (c("b_low") >= c("zone_low") - tol) & (c("b_low") <= c("zone_high"))).otherwise(
-        (c("b_high") >= c("zone_low")) & (c("b_high") <= c("zone_high") + tol))
-    two = live.filter(hit).groupBy(*alive.columns, F.floor(c("b_idx") / ZONE_CHUNK).alias("_c")).agg(F.slice(F.array_sort(F.collect_list("b_idx")), 1, 2).alias("_t"))
-    best = two.groupBy(*alive.columns).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_t"))), 1, 2).alias("_t"))
-    return best.select(*alive.columns, F.posexplode("_t").alias("touch", "entry_idx")).withColumn("touch", c("touch") + 1)
-
-
-def touch_entries(alive: DataFrame, rows: DataFrame, tol_atr: float = 0.0) -> DataFrame:
-    t = zone_touches(alive, rows, tol_atr)
+    def touching(lo: Column, hi: Column) -> Column:
+        tol = tol_atr * F.coalesce(hi["atr"], F.lit(0.0))
+        return F.when(c("block_type") == "demand", (hi["low"] >= c("zone_low") - tol) & (lo["low"] <= c("zone_high"))).otherwise(
+            (hi["high"] >= c("zone_low")) & (lo["high"] <= c("zone_high") + tol))
+
+    hits = (ladder or zone_ladder(rows)).hits(alive, ["symbol", "block_id"], c("confirm_idx"), touching, ["block_type", "zone_low", "zone_high"], 2, c("_until"))
+    return alive.join(hits.select("symbol", "block_id", c("nth").alias("touch"), c("bar").alias("entry_idx")), ["symbol", "block_id"]).select(*alive.columns, "touch", "entry_idx")
+
+
+def touch_entries(alive: DataFrame, rows: DataFrame, tol_atr: float = 0.0, ladder: Ladder | None = None) -> DataFrame:
+    t = zone_touches(alive, rows, tol_atr, ladder)
     return t.withColumns({"side": _side(c("block_type") == "demand"), "family": F.when(c("touch") == 1, "ob_touch").otherwise("ob_retest")}).select(*_OUT)
 
 
-def sweep_entries(blocks: DataFrame, rows: DataFrame, wick_atr: float = 0.5) -> DataFrame:
+def sweep_entries(blocks: DataFrame, rows: DataFrame, wick_atr: float = 0.5, ladder: Ladder | None = None) -> DataFrame:
     """First bar that pierces the zone by a wick and closes back; invalidation does not end the search."""
-    demand = c("block_type") == "demand"
-    last = rows.groupBy("symbol").agg(F.max("idx").alias("_until"))
-    b = blocks.join(last, "symbol") if "_until" not in blocks.columns else blocks.drop("_until").join(last, "symbol")
-    reach = F.when(demand, c("mn") < c("zone_low")).otherwise(c("mx") > c("zone_high"))
-    live = _live_bars(b, rows, ["high", "low", "close", "atr"], reach)
-    hit = F.when(demand, (c("b_low") < c("zone_low") - wick_atr * c("b_atr")) & (c("b_close") > c("zone_low"))).otherwise(
-        (c("b_high") > c("zone_high") + wick_atr * c("b_atr")) & (c("b_close") < c("zone_high")))
-    first = live.filter(hit).groupBy("symbol", "block_id", "block_type", "zone_low", "zone_high").agg(F.min("b_idx").alias("entry_idx"))
-    return first.withColumns({"side": _side(demand), "family": F.lit("sweep")}).select(*_OUT)
+    def swept(lo: Column, hi: Column) -> Column:
+        return F.when(c("block_type") == "demand", (lo["low"] < c("zone_low") - wick_atr * lo["atr"]) & (hi["close"] > c("zone_low"))).otherwise(
+            (hi["high"] > c("zone_high") + wick_atr * lo["atr"]) & (lo["close"] < c("zone_high")))
+
+    own = ["symbol", "block_id", "block_type", "zone_low", "zone_high"]
+    hits = (ladder or zone_ladder(rows)).hits(blocks, ["symbol", "block_id"], c("confirm_idx"), swept, own[2:])
+    first = blocks.select(*own).join(hits.select("symbol", "block_id", c("bar").alias("entry_idx")), ["symbol", "block_id"])
+    return first.withColumns({"side": _side(c("block_type") == "demand"), "family": F.lit("sweep")}).select(*_OUT)
 
 
 def gap_entries(rows: DataFrame, min_gap_atr: float = 0.2, wait: int = 100) -> DataFrame:
@@ -427,8 +421,9 @@ def dedupe_entries(entries: DataFrame) -> DataFrame:
 
 def collect_entries(blocks: DataFrame, rows: DataFrame) -> DataFrame:
     """All entry families over bars with ``atr``, ``avsl`` and ``avsr``."""
-    alive = _with_invalidation(blocks, rows)
-    parts = [touch_entries(alive, rows), sweep_entries(alive.drop("_dead", "_last"), rows), gap_entries(rows), bounce_entries(rows), break_retest_entries(alive, rows)]
+    ladder = zone_ladder(rows)
+    alive = _with_invalidation(blocks, rows, ladder)
+    parts = [touch_entries(alive, rows, ladder=ladder), sweep_entries(alive, rows, ladder=ladder), gap_entries(rows), bounce_entries(rows), break_retest_entries(alive, rows)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -447,34 +442,32 @@ def paint_zone(blocks: DataFrame, rows: DataFrame, side: str, life: int = 2000)
 
 def block_distances(blocks: DataFrame, rows: DataFrame) -> DataFrame:
     """Distance in ATR to the nearest supply, the nearest demand and the strongest live block; 999 without any."""
-    pairs = bars_between(blocks.withColumn("start_idx", c("idx")), rows, c("start_idx"), c("end_idx"), ZONE_CHUNK, ["close", "atr"])
-    dist = F.abs(c("b_close") - (c("zone_low") + c("zone_high")) / 2) / c("b_atr")
-    inside = (c("b_close") >= c("zone_low")) & (c("b_close") <= c("zone_high"))
-    g = pairs.withColumns({"_d": dist, "_in": inside}).groupBy("symbol", c("b_idx").alias("idx")).agg(
-        F.min(F.when(c("block_type") == "supply", c("_d"))).alias("near_supply"), F.min(F.when(c("block_type") == "demand", c("_d"))).alias("near_demand"),
-        F.max_by("_d", F.struct("strength", -c("block_id"))).alias("strongest"), F.max(c("_in").cast("double")).alias("in_zone"))
+    zones = blocks.select("symbol", c("block_type").alias("kind"), c("idx").alias("start"), c("end_idx").alias("end"), c("zone_low").alias("low"), c("zone_high").alias("high"),
+                          c("block_id").alias("id"), c("strength").alias("rank"), F.struct("block_id").alias("carry"))
+    seen = live_zones(rows.select("symbol", "idx", c("close").alias("price"), c("atr").alias("unit")), zones)
+    near = lambda kind: F.min(F.when(c("kind") == kind, c("near.distance")))
+    g = seen.groupBy("symbol", "idx").agg(near("supply").alias("near_supply"), near("demand").alias("near_demand"),
+                                          F.max_by("best.distance", F.struct("best.rank", "best.back")).alias("strongest"), F.max(c("inside").cast("double")).alias("in_zone"))
     return rows.select("symbol", "idx").join(g, ["symbol", "idx"], "left").fillna(999.0, ["near_supply", "near_demand", "strongest"]).fillna(0.0, ["in_zone"])
 
 
 def block_features(blocks: DataFrame, rows: DataFrame) -> DataFrame:
     """State of the nearest live block per type from its confirmation on, counts, and a flag for 50 bars after a break."""
-    last = rows.groupBy("symbol").agg(F.max("idx").alias("_last"))
-    b = blocks.join(last, "symbol")
-    live = bars_between(b, rows, c("confirm_idx"), c("end_idx"), ZONE_CHUNK, ["close", "atr"])
-    unit = F.when(c("b_atr") > 0, c("b_atr")).otherwise(1.0)
-    live = live.withColumns({
-        "_d": F.abs(c("b_close") - (c("zone_low") + c("zone_high")) / 2) / unit, "_h": (c("zone_high") - c("zone_low")) / unit, "_age": c("b_idx") - c("confirm_idx"),
-        "_in": ((c("b_close") >= c("zone_low")) & (c("b_close") <= c("zone_high"))).cast("double"),
-        "_re": ((c("retest_idx") < c("end_idx")) & (c("b_idx") >= c("retest_idx"))).cast("double")})
-    near = F.min_by(F.struct("_d", "strength", "_h", "_age"), F.struct("_d", "block_id"))
-    g = live.groupBy("symbol", c("b_idx").alias("idx"), "block_type").agg(near.alias("_n"), F.max("_in").alias("in_zone"), F.max("_re").alias("retested"), (F.least(F.count(F.lit(1)), F.lit(10)) / 10).alias("count"))
-    g = g.select("symbol", "idx", "block_type", c("_n._d").alias("dist"), c("_n.strength").alias("strength"), c("_n._h").alias("height"), c("_n._age").cast("double").alias("age"), "in_zone", "retested", "count")
-    broken = bars_between(b, rows, c("end_idx") + 1, c("end_idx") + 50, ZONE_CHUNK, []).select("symbol", c("b_idx").alias("idx"), "block_type").distinct().withColumn("broken", F.lit(1.0))
-    both = g.join(broken, ["symbol", "idx", "block_type"], "full_outer")
+    b = blocks.withColumn("kind", c("block_type"))
+    zones = b.select("symbol", "kind", c("confirm_idx").alias("start"), c("end_idx").alias("end"), c("zone_low").alias("low"), c("zone_high").alias("high"), c("block_id").alias("id"),
+                     c("strength").alias("rank"), F.struct("strength", (c("zone_high") - c("zone_low")).alias("height"), "confirm_idx").alias("carry"))
+    unit = F.when(c("atr") > 0, c("atr")).otherwise(1.0)
+    near = live_zones(rows.select("symbol", "idx", c("close").alias("price"), unit.alias("unit")), zones).select(
+        "symbol", "idx", "kind", c("near.distance").alias("dist"), c("near.carry.strength").alias("strength"), (c("near.carry.height") / c("unit")).alias("height"),
+        (c("idx") - c("near.carry.confirm_idx")).cast("double").alias("age"), c("inside").cast("double").alias("in_zone"))
+    spans = {"live": (c("confirm_idx"), c("end_idx")), "broken": (c("end_idx") + 1, c("end_idx") + 50),
+             "retested": (F.when(c("retest_idx") < c("end_idx"), F.greatest("retest_idx", "confirm_idx")), c("end_idx"))}
+    over = covering(rows.select("symbol", "idx").withColumn("kind", F.explode(F.array(F.lit("supply"), F.lit("demand")))), b, ["symbol", "kind"], spans)
+    over = over.select("symbol", "idx", "kind", (F.least(c("live"), F.lit(10)) / 10).alias("count"), (c("broken") > 0).cast("double").alias("broken"), (c("retested") > 0).cast("double").alias("retested"))
+    both = over.join(near, ["symbol", "idx", "kind"], "left")
     names = ["dist", "in_zone", "strength", "height", "age", "retested", "count", "broken"]
-    wide = both.groupBy("symbol", "idx").pivot("block_type", ["supply", "demand"]).agg(*[F.first(n).alias(n) for n in names])
-    wide = wide.select("symbol", "idx", *[c(f"{k}_{n}").alias(f"{n}_{k}") for k in ("supply", "demand") for n in names])
-    return rows.select("symbol", "idx").join(wide, ["symbol", "idx"], "left").fillna(0.0, [f"{n}_{k}" for k in ("supply", "demand") for n in names if n != "dist"])
+    wide = both.groupBy("symbol", "idx").agg(*[F.max(F.when(c("kind") == k, c(n))).alias(f"{n}_{k}") for k in ("supply", "demand") for n in names])
+    return wide.fillna(0.0, [f"{n}_{k}" for k in ("supply", "demand") for n in names if n != "dist"])
 
 
 def map_to_base(blocks: DataFrame, htf: DataFrame, base: DataFrame, htf_ms: int, base_ms: int, fields: list[str]) -> DataFrame:
@@ -528,8 +521,9 @@ def peaks(numbered: DataFrame, x: str = "high", prominence: float = 0.01, distan
     out = found
     for name, bars, at in (("r", b, c("idx")), ("l", _shifted(flipped, numbered), c("_m"))):
         ev = out if name == "r" else _mirror(out, numbered)
-        ev = settled(first_crossing(ev, bars, ["symbol", "idx"], at, "x", c("x") - prominence, F.lit(True), f"{name}d", ZONE_CHUNK, inclusive=True))
-        ev = settled(first_crossing(ev, bars, ["symbol", "idx"], at, "x", c("x"), F.lit(False), f"{name}u", ZONE_CHUNK))
+        ladder = Ladder.of(bars, ["x"])
+        ev = first_crossing(ev, bars, ["symbol", "idx"], at, "x", c("x") - prominence, F.lit(True), f"{name}d", inclusive=True, ladder=ladder)
+        ev = settled(first_crossing(ev, bars, ["symbol", "idx"], at, "x", c("x"), F.lit(False), f"{name}u", ladder=ladder))
         ok = c(f"{name}d").isNotNull() & (c(f"{name}u").isNull() | (c(f"{name}d") < c(f"{name}u")))
         if wlen:
             ok = ok & (c(f"{name}d") - at <= wlen // 2)
@@ -576,26 +570,19 @@ def first_zone_at(points: DataFrame, zones: DataFrame, prices: list[str], cells:
     return both.groupBy("symbol", "idx").agg(F.min("block_id").alias("block_id"))
 
 
-LEVELS = 24  # up to 2**24 zones per symbol
-
-
-def nearest_zones(points: DataFrame, zones: DataFrame, known: str, price: str = "close", span: float = 10.0) -> DataFrame:
+def nearest_zones(points: DataFrame, zones: DataFrame, known: str, price: str = "close") -> DataFrame:
     """Distance from the price to the nearest zone below and above among those known by the bar; zero inside one.
 
     Zones never expire, so a bar must not meet each of them. In order of becoming known they form
     blocks of 1, 2, 4, … zones; the zones known at a bar are at most one block per size. In a block the
     answer is an as-of join on price: the last upper edge below, the first lower edge above, and from
-    the ranks of both whether a zone holds the price. ``span`` is a price step that holds few edges.
+    the ranks of both whether a zone holds the price.
     """
-    from ..operators.asof import asof
-
     z = settled(ordinals(zones.select("symbol", known, "zone_low", "zone_high"), ["symbol"], [known, "zone_low", "zone_high"], "zn"))
-    total = z.groupBy("symbol").agg(F.count(F.lit(1)).alias("_m"))
-    if not total.filter(c("_m") >= 2**LEVELS).isEmpty():
-        raise ValueError("too many zones in one symbol")
+    levels = ((z.agg(F.max("zn")).first()[0] or 0) + 1).bit_length()
     at = z.groupBy("symbol", known).agg((F.max("zn") + 1).alias("n"))
-    p = asof(points.select("symbol", "idx", c(price).alias("px")), at, "idx", known, ["n"], 1024).filter(c("n").isNotNull())
-    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    p = asof_sorted(points.select("symbol", "idx", c(price).alias("px")), at, "idx", known, ["n"], ["symbol"]).filter(c("n").isNotNull())
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
     key = F.concat_ws("|", "symbol", c("lv").cast("string"), c("blk").cast("string"))
     at_level = lambda x: F.expr(f"shiftright({x}, lv)")
     zc = z.withColumn("lv", level).withColumn("blk", at_level("zn")).withColumn("_key", key)
@@ -605,8 +592,8 @@ def nearest_zones(points: DataFrame, zones: DataFrame, known: str, price: str =
     first_low = lows.groupBy("_key", "zone_low").agg(F.min("k").alias("n_low"))
     last_high = highs.groupBy("_key", "zone_high").agg((F.max("k") + 1).alias("n_high"))
     size = zc.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"))
-    j = asof(pc, first_low.withColumn("lo", c("zone_low")), "px", "zone_low", ["lo", "n_low"], span, key="_key", forward=True)
-    j = asof(j, last_high.withColumn("hi", c("zone_high")), "px", "zone_high", ["hi", "n_high"], span, key="_key").join(size, "_key")
+    j = asof_sorted(pc, first_low.withColumn("lo", c("zone_low")), "px", "zone_low", ["lo", "n_low"], ["_key"], forward=True)
+    j = asof_sorted(j, last_high.withColumn("hi", c("zone_high")), "px", "zone_high", ["hi", "n_high"], ["_key"]).join(size, "_key")
     # zones that start under the price minus those that end at or under it
     j = j.withColumn("_in", F.coalesce("n_low", "_size") - F.coalesce("n_high", F.lit(0)) > 0)
     g = j.groupBy("symbol", "idx").agg(F.min(c("px") - c("hi")).alias("_b"), F.min(c("lo") - c("px")).alias("_a"), F.max("_in").alias("_i"))

@@ -10,6 +10,7 @@ from ..operators import asof as A
 from ..operators import resample as RS
 from ..operators.frames import DAY_MS, HOUR_MS, WEEK_MS, Frame
 from ..operators.running import running
+from ..operators.scan import asof_sorted
 from ..plans import crosssection as X
 from ..plans import signals as G
 from ..sources import payloads as P
@@ -91,7 +92,7 @@ def asof_spot_lookup(spark, d):
     o = T.table(spark, d, "orders").select("o_orderkey", T.epoch_ms(c("o_orderdate")).alias("t"))
     li = T.table(spark, d, "lineitem")
     s = li.groupBy(T.epoch_ms(c("l_shipdate")).alias("st")).agg(F.min(c("l_extendedprice") / c("l_quantity")).alias("px"))
-    return A.asof(o, s, "t", "st", ["px"], 30 * DAY_MS, key=None).select("o_orderkey", "px")
+    return asof_sorted(o, s, "t", "st", ["px"]).select("o_orderkey", "px")
 
 
 @query("upsert_keep_first", f"WITH {B} SELECT symbol, ts, CASE WHEN idx < 500 THEN c ELSE c + 1 END AS close FROM b")
