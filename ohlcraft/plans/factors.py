@@ -11,38 +11,13 @@ from pyspark.sql import types as T
 from ..functions.rolling import c, ratio
 from ..operators.fold import fold
 from ..operators.frames import Frame
-from .portfolio import correlation_matrix
-
-
-def spectrum(panel: DataFrame, by: str, asset: str, x: str) -> DataFrame:
-    """Eigenvalues of the correlation matrix: first share, count above the random-matrix edge.
-
-    The matrix is assets × assets (limited there), so its spectrum is a driver-side number.
-    """
-    rho = correlation_matrix(panel, by, asset, x, fill=None)
-    n_obs = panel.select(by).distinct().count()
-    pdf = rho.toPandas()
-    m = pdf.pivot(index="a", columns="b", values="rho").to_numpy()
-    lam, vec = np.linalg.eigh(m)
-    p = len(lam)
-    edge = (1 + np.sqrt(p / n_obs)) ** 2
-    off = (m.sum() - np.trace(m)) / (p * (p - 1))
-    row = (p, int(n_obs), float(lam[-1] / lam.sum()), int((lam > edge).sum()), float(off))
-    return panel.sparkSession.createDataFrame([row], "p int, n_obs int, pc1_share double, n_factors int, mean_corr double")
-
-
-def pc1_weights(panel: DataFrame, by: str, asset: str, x: str) -> DataFrame:
-    """First eigenvector, signed so that its sum is positive."""
-    pdf = correlation_matrix(panel, by, asset, x, fill=None).toPandas().pivot(index="a", columns="b", values="rho")
-    _, vec = np.linalg.eigh(pdf.to_numpy())
-    v = vec[:, -1] * np.sign(vec[:, -1].sum() or 1.0)
-    return panel.sparkSession.createDataFrame([(str(a), float(w)) for a, w in zip(pdf.index, v)], "asset string, w double")
+from ..operators.selection import wide_quantiles
 
 
 def tail_rows(panel: DataFrame, by: str, x: str, q: float = 0.05) -> DataFrame:
     """Bars whose mean over the assets is in the worst ``q``."""
     m = panel.groupBy(by).agg(F.avg(x).alias("_m"))
-    cut = m.agg(F.percentile("_m", q).alias("_q"))
+    cut = wide_quantiles(m, [], "_m", {"_q": q})
     return panel.join(m.crossJoin(F.broadcast(cut)).filter("_m <= _q").select(by), by, "left_semi")
 
 

@@ -14,7 +14,9 @@ from ..functions.rolling import ratio
 from ..operators.fold import fold
 from ..operators.frames import Frame
 from ..operators.running import running
+from ..operators.selection import wide_quantiles
 from ..sources.store import settled
+from .spectra import correlations
 
 c = F.col
 BOOK = "book"
@@ -207,43 +209,18 @@ def paired_bootstrap(pairs: DataFrame, reps: int = 2000, seed: int = 7, book: st
 
 
 def concurrency_stats(stream: DataFrame, book: str = BOOK) -> DataFrame:
-    return stream.groupBy(book).agg(
-        F.percentile("n_open", 0.5).alias("conc_p50"), F.percentile("n_open", 0.95).alias("conc_p95"),
-        F.max("n_open").cast("double").alias("conc_max"), F.avg((c("n_open") >= 5).cast("double")).alias("pct_ge5"))
-
-
-MAX_ASSETS = 2000
-
-
-def correlation_matrix(panel: DataFrame, by: str = "idx", asset: str = "symbol", x: str = "r", fill: float | None = 0.0) -> DataFrame:
-    """Pairwise correlations ``(a, b, rho)`` of an asset-by-bar panel.
-
-    Rows become vectors and MLlib adds up their outer products, so no pair is ever a shuffled row.
-    The matrix itself has assets² entries, hence the checked limit.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    spread = panel.groupBy(asset).agg(F.stddev_pop(x).alias("_sd"), F.count(x).alias("_n"))
-    names = [r[0] for r in spread.filter("_n > 1").select(asset).orderBy(asset).limit(MAX_ASSETS + 1).collect()]
-    if len(names) > MAX_ASSETS:
-        raise ValueError(f"more than {MAX_ASSETS} assets; aggregate them into groups first")
-    wide = panel.groupBy(by).pivot(asset, names).agg(F.sum(x))
-    wide = wide.fillna(fill, names) if fill is not None else wide.dropna(subset=[str(n) for n in names])
-    vec = VectorAssembler(inputCols=[str(n) for n in names], outputCol="v").transform(wide.select(by, *[F.col(f"`{n}`").cast("double").alias(str(n)) for n in names]))
-    matrix = Correlation.corr(vec, "v").head()[0].toArray()
-    rows = [(str(a), str(b), float(matrix[i][j]) if matrix[i][j] == matrix[i][j] else None)
-            for i, a in enumerate(names) for j, b in enumerate(names)]
-    return panel.sparkSession.createDataFrame(rows, "a string, b string, rho double")
+    shares = wide_quantiles(stream, [book], "n_open", {"conc_p50": 0.5, "conc_p95": 0.95})
+    most = stream.groupBy(book).agg(F.max("n_open").cast("double").alias("conc_max"), F.avg((c("n_open") >= 5).cast("double")).alias("pct_ge5"))
+    return shares.join(most, book)
 
 
 def enb(panel: DataFrame, by: str = "idx", asset: str = "symbol", x: str = "r", min_rows: int = 100) -> DataFrame:
     """Effective number of bets on active bars: assets² over the sum of squared correlations."""
     totals = panel.groupBy(by).agg(F.sum(x).alias("_t")).filter("_t != 0")
     active = panel.join(totals.select(by), by, "left_semi")
-    rho = correlation_matrix(active, by, asset, x).filter(c("rho").isNotNull())
+    rho = correlations(active, by, asset, x).filter(c("rho").isNotNull())
     varying = rho.filter("a = b").agg(F.count(F.lit(1)).alias("p"))
-    both = rho.agg(F.sum(c("rho") * c("rho")).alias("ss")).crossJoin(varying).crossJoin(totals.agg(F.count(F.lit(1)).alias("n_active")))
+    both = rho.agg(F.sum(c("rho") * c("rho") * F.when(c("a") == c("b"), 1).otherwise(2)).alias("ss")).crossJoin(varying).crossJoin(totals.agg(F.count(F.lit(1)).alias("n_active")))
     return both.select("n_active", F.when((c("p") >= 2) & (c("n_active") >= min_rows), c("p") * c("p") / c("ss")).alias("enb"))
 
 
@@ -426,7 +403,8 @@ def correlation_clusters(panel: DataFrame, limit: float = 0.8, by: str = "idx",
 
     The smallest label spreads along edges until nothing changes; the edge list is at most assets².
     """
-    edges = settled(correlation_matrix(panel, by, asset, x).filter((c("rho") > limit) | (c("a") == c("b"))).select("a", "b"))
+    half = settled(correlations(panel, by, asset, x).filter((c("rho") > limit) | (c("a") == c("b"))).select("a", "b"))
+    edges = half.unionByName(half.filter("a != b").select(c("b").alias("a"), c("a").alias("b")))
     labels = edges.groupBy("a").agg(F.min("b").alias("label"))
     while True:
         nxt = settled(edges.join(labels.select(c("a").alias("b"), c("label").alias("_l")), "b").groupBy("a").agg(F.min("_l").alias("label")))

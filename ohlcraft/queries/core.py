@@ -15,7 +15,7 @@ from ..plans import crosssection as X
 from ..plans import signals as G
 from ..sources import payloads as P
 from ..sources import tables as T
-from ..sources.store import stored
+from ..sources.store import settled, stored
 from .base import ORD, Sql, avg, bars_sql, brands_sql, div, full, indicator, lag, mn, mx, query, r6, rounded, sm, sr, win, USERS_SQL
 
 c = F.col
@@ -446,11 +446,12 @@ def chronological_segments(spark, d):
 
 @query("pair_correlations", f"""WITH {BR}, d AS (SELECT symbol, ts, c FROM b QUALIFY count(*) OVER (PARTITION BY ts) = (SELECT count(DISTINCT symbol) FROM b)) SELECT a.symbol AS a, z.symbol AS b, {sr('corr(a.c, z.c)', 5)} AS rho FROM d a JOIN d z USING (ts) GROUP BY 1, 2""")
 def pair_correlations(spark, d):
-    from ..plans.portfolio import correlation_matrix
+    from ..plans.spectra import correlations
 
     b = T.brands(spark, d).select("symbol", "ts", c("close").alias("r"))
     full_days = RS.common_buckets(b, "ts")
-    return correlation_matrix(full_days, "ts", "symbol", "r", fill=None).select("a", "b", r6("rho", 5).alias("rho"))
+    half = settled(correlations(full_days, "ts", "symbol", "r", fill=None).select("a", "b", r6("rho", 5).alias("rho")))
+    return half.unionByName(half.filter("a != b").select(c("b").alias("a"), c("a").alias("b"), "rho"))
 
 
 @query("point_in_time_universe", """SELECT epoch_ms(d) // 86400000 AS day, count(*) AS n FROM (SELECT DISTINCT date_trunc('month', l_shipdate) AS d FROM lineitem) x JOIN

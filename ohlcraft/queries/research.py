@@ -16,6 +16,7 @@ from ..operators.resample import common_buckets, resample
 from ..plans import archive as AR
 from ..plans import crosssection as X
 from ..plans import factors as FA
+from ..plans import spectra as SP
 from ..plans import models as ML
 from ..plans import outcomes as O
 from ..plans import panel as PN
@@ -338,21 +339,75 @@ def returns(spark, d):
 _RET = f"""WITH {BR}, r0 AS (SELECT symbol, ts, ln(c / {lag('c')}) AS r FROM b), r AS MATERIALIZED (SELECT * FROM r0 WHERE r IS NOT NULL QUALIFY count(*) OVER (PARTITION BY ts) = (SELECT count(DISTINCT symbol) FROM b))"""
 
 
-@query("factor_spectrum")
+def _power_sql(corr: str, keys: str = "", steps: int = 12) -> str:
+    """First eigenvectors by squaring ``corr`` (keys, i, j, v) again and again: ``pw`` (keys, i, w), of length one."""
+    k, on = (f"{keys}, ", f" AND a.{keys} = z.{keys}") if keys else ("", "")
+    ka = f"a.{keys}, " if keys else ""
+    part = f"PARTITION BY {keys}" if keys else ""
+    return f"""sq AS (SELECT 0 AS k, {k}i, j, v FROM {corr} UNION ALL
+ SELECT k + 1, {k}i, j, v / sum(CASE WHEN i = j THEN v END) OVER ({part}) FROM (SELECT a.k, {ka}a.i, z.j, sum(a.v * z.v) AS v FROM sq a JOIN sq z ON a.j = z.i{on} WHERE a.k < {steps} GROUP BY ALL)),
+ lq AS MATERIALIZED (SELECT * FROM sq WHERE k = {steps}), cl AS (SELECT {k}arg_max(i, v) AS j FROM lq WHERE i = j {f"GROUP BY {keys}" if keys else ""}),
+ p0 AS (SELECT {k.replace(keys, "lq." + keys) if keys else ""}lq.i, lq.v FROM lq JOIN cl ON lq.j = cl.j{f" AND lq.{keys} = cl.{keys}" if keys else ""}),
+ pw AS MATERIALIZED (SELECT {k}i, v / sqrt(sum(v * v) OVER ({part})) AS w FROM p0)"""
+
+
+_CM = _RET.replace("WITH ", "WITH RECURSIVE ", 1) + """, cm AS MATERIALIZED (SELECT a.symbol AS i, z.symbol AS j, corr(a.r, z.r) AS v FROM r a JOIN r z USING (ts) GROUP BY 1, 2), """ + _power_sql("cm")
+
+
+@query("factor_spectrum", _CM + """, n AS (SELECT count(DISTINCT symbol) AS p, count(DISTINCT ts) AS n_obs FROM r), e AS (SELECT (1 + sqrt(p / n_obs)) ** 2 AS edge FROM n),
+rk AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS q FROM (SELECT DISTINCT symbol FROM r)),
+m0 AS (SELECT x.q AS i, y.q AS j, v - CASE WHEN x.q = y.q THEN edge ELSE 0 END AS v FROM cm JOIN rk x ON x.symbol = cm.i JOIN rk y ON y.symbol = cm.j, e),
+pv AS (SELECT 0 AS k, i, j, v FROM m0 UNION ALL SELECT a.k + 1, a.i, a.j, a.v - b.v * d.v / g.v FROM pv a JOIN pv b ON b.i = a.i AND b.j = a.k JOIN pv d ON d.i = a.k AND d.j = a.j JOIN pv g ON g.i = a.k AND g.j = a.k WHERE a.i > a.k AND a.j > a.k),
+l1 AS (SELECT sum(x.w * cm.v * y.w) AS lam FROM cm JOIN pw x ON x.i = cm.i JOIN pw y ON y.i = cm.j)
+SELECT p, n_obs, """ + f"{sr('lam / p', 5)} AS pc1_share, (SELECT count(*) FROM pv WHERE i = k AND j = k AND v > 0) AS n_factors, {sr('(SELECT avg(v) FROM cm WHERE i <> j)', 5)} AS mean_corr FROM n, l1")
 def factor_spectrum(spark, d):
-    s = FA.spectrum(returns(spark, d), "ts", "symbol", "r")
-    return s.select("p", "n_obs", r6("pc1_share", 5).alias("pc1_share"), "n_factors", r6("mean_corr", 5).alias("mean_corr"))
+    s = SP.spectrum(returns(spark, d), "ts", "symbol", "r")
+    return s.select(c("p").cast("long").alias("p"), c("n_obs").cast("long").alias("n_obs"), r6("pc1_share", 5).alias("pc1_share"), c("n_factors").cast("long").alias("n_factors"), r6("mean_corr", 5).alias("mean_corr"))
 
 
-@query("first_factor_weights")
+@query("first_factor_weights", _CM + f" SELECT i AS asset, {sr('w * sign(sum(w) OVER ())', 4)} AS w FROM pw")
 def first_factor_weights(spark, d):
-    return rounded(FA.pc1_weights(returns(spark, d), "ts", "symbol", "r"), ["asset"], ["w"], 4)
+    return rounded(SP.first_weights(returns(spark, d), "ts", "symbol", "r"), ["asset"], ["w"], 4)
+
+
+def _numbered_returns(spark, d):
+    """Weekly returns of brands on the numbered weeks on which all have one."""
+    r = returns(spark, d)
+    return r.join(number_bars(r.select("ts").distinct().withColumn("book", F.lit("x")), WEEK_MS, key="book").select("ts", "idx"), "ts").select("idx", "symbol", "r")
+
+
+_RB = _RET.replace("WITH ", "WITH RECURSIVE ", 1) + """, x AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY ts) - 1 AS s, symbol, r FROM r), tt AS MATERIALIZED (SELECT unnest(range(72, (SELECT max(s) + 1 FROM x) - 12, 12)) AS t),
+cm AS MATERIALIZED (SELECT t, a.symbol AS i, z.symbol AS j, corr(a.r, z.r) AS v FROM tt JOIN x a ON a.s BETWEEN t - 48 AND t - 1 JOIN x z ON z.s = a.s GROUP BY ALL), """ + _power_sql("cm", "t") + """,
+bt AS (SELECT t, i, w * sign(arg_max(w, abs(w)) OVER (PARTITION BY t)) AS b FROM pw), sm AS (SELECT t, symbol AS i, sum(r) AS q FROM tt JOIN x ON s BETWEEN t - 23 AND t GROUP BY ALL),
+sg AS (SELECT t, i, q - b * sum(b * q) OVER (PARTITION BY t) AS g FROM sm JOIN bt USING (t, i)), od AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY g, i) AS lo, row_number() OVER (PARTITION BY t ORDER BY g DESC, i DESC) AS hi FROM sg),
+fw AS (SELECT t, symbol AS i, sum(r) AS f FROM tt JOIN x ON s BETWEEN t + 1 AND t + 12 GROUP BY ALL), o AS (SELECT t, sum(CASE WHEN lo <= 3 THEN f ELSE 0 END - CASE WHEN hi <= 3 THEN f ELSE 0 END) / 3 AS gross FROM od JOIN fw USING (t, i) GROUP BY t)"""
+
+
+@query("factor_residual_book", _RB + f" SELECT t, {sr('gross', 5)} AS gross, {sr('gross - 0.002', 5)} AS net FROM o")
+def factor_residual_book(spark, d):
+    return rounded(SP.residual_book(_numbered_returns(spark, d), 48, 24, 3, 12), ["t"], ["gross", "net"], 5)
+
+
+_SD = f"""WITH RECURSIVE {B}, x AS MATERIALIZED (SELECT * FROM (SELECT symbol, idx, ln(c / {lag('c')}) AS r FROM b) WHERE r IS NOT NULL), tt AS MATERIALIZED (SELECT DISTINCT idx AS t FROM x),
+wn AS MATERIALIZED (SELECT t, symbol, idx, r FROM tt JOIN x ON idx BETWEEN t - 48 AND t - 1), ok AS (SELECT t, symbol FROM wn GROUP BY ALL HAVING count(*) = 48 AND stddev_pop(r) > 0), us AS MATERIALIZED (SELECT wn.* FROM wn JOIN ok USING (t, symbol)),
+cm AS MATERIALIZED (SELECT t, a.symbol AS i, z.symbol AS j, corr(a.r, z.r) AS v FROM us a JOIN us z USING (t, idx) GROUP BY ALL), """
+
+
+@query("factor_share_deciles", _SD + _power_sql("cm", "t", 14) + """, sh AS MATERIALIZED (SELECT cm.t, sum(x.w * cm.v * y.w) / sqrt(count(*)) AS share FROM cm JOIN pw x ON x.t = cm.t AND x.i = cm.i JOIN pw y ON y.t = cm.t AND y.i = cm.j GROUP BY cm.t HAVING count(*) > 1),
+ qt AS (SELECT unnest(quantile_cont(share, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS q FROM sh), pn AS (SELECT idx AS t, sum(ln(c / o)) AS pnl FROM b GROUP BY 1), dc AS (SELECT sh.t, share, 1 + count_if(q <= share) AS decile FROM sh, qt GROUP BY ALL)
+SELECT decile::BIGINT AS decile, count(*) AS n, """ + f"{sr('min(share)', 5)} AS low, {sr('max(share)', 5)} AS high, {sr('avg(coalesce(pnl, 0))', 5)} AS mean_pnl, {sr('sum(coalesce(pnl, 0))', 5)} AS sum_pnl FROM dc LEFT JOIN pn USING (t) GROUP BY 1")
+def factor_share_deciles(spark, d):
+    """Profit of an equal book that holds every symbol from open to close, by decile of the first factor's share."""
+    f = Frame.of_numbered(T.bars(spark, d), 1)
+    panel = f.add(r=F.log(c("close") / f.lag(c("close")))).core("symbol", "idx", "r")
+    out = SP.share_deciles(panel, T.bars(spark, d).select("idx", F.log(c("close") / c("open")).alias("r")), 48)
+    return rounded(out.withColumn("decile", c("decile").cast("long")), ["decile", "n"], ["low", "high", "mean_pnl", "sum_pnl"], 5)
 
 
 @query("tail_correlation", _RET + f""", m AS (SELECT ts, avg(r) AS m FROM r GROUP BY 1), q AS (SELECT quantile_cont(m, 0.2) AS q FROM m), t AS (SELECT r.* FROM r JOIN m USING (ts), q WHERE m <= q), p AS (SELECT a.symbol AS a, z.symbol AS z, corr(a.r, z.r) AS rho FROM t a JOIN t z USING (ts) WHERE a.symbol <> z.symbol GROUP BY 1, 2) SELECT {sr('avg(rho)', 4)} AS mean_corr FROM p""")
 def tail_correlation(spark, d):
     t = FA.tail_rows(returns(spark, d), "ts", "r", 0.2)
-    rho = P.correlation_matrix(t, "ts", "symbol", "r", fill=None).filter("a != b")
+    rho = SP.correlations(t, "ts", "symbol", "r", fill=None).filter("a != b")
     return rho.agg(r6(F.avg("rho"), 4).alias("mean_corr"))
 
 
