@@ -20,6 +20,8 @@ text's hash. Repeated rows are copies. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,7 +66,11 @@ def word_hashes(text: str) -> np.ndarray:
         return np.zeros(0, np.uint64)
     first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    return _mix(np.add.reduceat((b[word].astype(np.uint64) + np.uint64(1)) * _BYTE[place & 0xFFFF], first) + lengths.astype(np.uint64))
+    letters = b[word]
+    h = _mix(np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * _BYTE[place & 0xFFFF], first) + lengths.astype(np.uint64))
+    for i in np.flatnonzero(lengths > len(_BYTE)).tolist():  # multipliers would come round again
+        h[i] = int.from_bytes(hashlib.blake2b(letters[first[i] : first[i] + lengths[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def shingles(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

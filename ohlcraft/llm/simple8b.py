@@ -33,51 +33,50 @@ def _widths(values: np.ndarray) -> np.ndarray:
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Words, and the word at which each block of ``block`` values starts."""
-    words, offsets, at = [], [], 0
-    for i in range(0, len(values), block):
-        words.append(_encode_block(np.asarray(values[i : i + block], np.uint64)))
-        offsets.append(at)
-        at += len(words[-1])
-    return np.concatenate(words) if words else np.zeros(0, np.uint64), np.array(offsets, np.int64)
-
-
-def _encode_block(values: np.ndarray) -> np.ndarray:
+    """Words, and the word at which each block of ``block`` values starts. All blocks are packed together."""
     n = len(values)
-    padded = np.zeros(n + _PAD, np.uint64)
-    padded[:n] = values
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    blocks = -(-n // block)
+    padded = np.zeros((blocks, block + _PAD), np.uint64)
+    whole = np.zeros(blocks * block, np.uint64)
+    whole[:n] = values
+    padded[:, :block] = whole.reshape(blocks, block)
     # widest of the next 1, 2, 3, ... values at each position, each from two shorter windows
-    widest = {1: np.concatenate([_widths(padded[:n]), np.zeros(_PAD, np.int8)])}
+    widest = {1: _widths(padded.ravel()).reshape(padded.shape)}
     for c in (2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 120, 240):
         half = max(k for k in widest if k <= c)
         rest = min(k for k in widest if k >= c - half)
-        a, b = widest[half], widest[rest][c - rest :]
-        widest[c] = np.maximum(a[: len(b)], b[: len(a)])
+        a, b = widest[half], widest[rest][:, c - rest :]
+        widest[c] = np.maximum(a[:, : b.shape[1]], b[:, : a.shape[1]])
     # the selector that packs the most values into a word that starts at a position
-    selector = np.full(n, ESCAPE, np.int8)
+    selector = np.full((blocks, block), ESCAPE, np.int8)
     for s in range(15, -1, -1):
         if s != ESCAPE:
-            np.copyto(selector, np.int8(s), where=widest[int(COUNT[s])][:n] <= int(WIDTH[s]))
-    kinds, counts = selector.tobytes(), COUNT.tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i += counts[kinds[i]]
-    start = np.array(starts, np.int64)
-    kind = selector[start]
-    at = np.arange(len(start)) + np.concatenate([[0], np.cumsum(kind == ESCAPE)[:-1]])
-    out = np.zeros(len(start) + int((kind == ESCAPE).sum()), np.uint64)
+            np.copyto(selector, np.int8(s), where=widest[int(COUNT[s])][:, :block] <= int(WIDTH[s]))
+    counts, starts, sizes = COUNT.tolist(), [], []
+    for k in range(blocks):
+        kinds, i, end, base, before = selector[k].tobytes(), 0, min(block, n - k * block), k * (block + _PAD), len(starts)
+        while i < end:
+            starts.append(base + i)
+            i += counts[kinds[i]]
+        sizes.append(len(starts) - before)
+    start, flat = np.array(starts, np.int64), padded.ravel()
+    kind = selector[start // (block + _PAD), start % (block + _PAD)]
+    raw = kind == ESCAPE
+    at = np.arange(len(start)) + np.cumsum(raw) - raw
+    out = np.zeros(len(start) + int(raw.sum()), np.uint64)
     for s in np.unique(kind):
         mine = kind == s
         first, to = start[mine], at[mine]
         word = np.full(len(first), int(s) << 60, np.uint64)
         if s == ESCAPE:
-            out[to + 1] = padded[first]
+            out[to + 1] = flat[first]
         elif s:
             for k in range(COUNT[s]):
-                word |= padded[first + k] << np.uint64(k * WIDTH[s])
+                word |= flat[first + k] << np.uint64(k * WIDTH[s])
         out[to] = word
-    return out
+    return out, at[np.cumsum(sizes) - sizes]
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +37,68 @@ FILE = "part int, seq int, before long, doc_ids array<long>, counts array<long>,
 # words are then encoded by the library, each once. Every other text goes to the library whole.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
+#: The vocabulary spells a word by one letter per byte: printable bytes stand for themselves, the others follow from 256 on.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_OTHERS)}
 _ENCODERS: dict[str, Encoder] = {}
 
 
+class Numbers(dict):
+    """Numbers its keys in order of first sight."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+    def behind(self, n: int) -> list[str]:
+        """The keys numbered ``n`` and more."""
+        return list(islice(reversed(self), len(self) - n))[::-1]
+
+
+class Pieces:
+    """Runs of ids, by number."""
+
+    def __init__(self):
+        self.ids, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.count = self.used = 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.count + len(sizes) > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[self.count : self.count + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.count : self.count + len(sizes)] = sizes
+        self.count, self.used = self.count + len(sizes), self.used + len(ids)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all runs asked for, one after the other, and how many each has."""
+        sizes = self.sizes[which]
+        shift = self.starts[which] - (np.cumsum(sizes) - sizes)
+        return self.ids[np.arange(int(sizes.sum())) + np.repeat(shift, sizes)], sizes
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of values."""
+    ends = np.cumsum(counts)
+    total = np.r_[0, np.cumsum(values)]
+    return total[ends] - total[ends - counts]
+
+
 class Encoder:
-    """The library's ids, with a memory of words."""
+    """The library's ids, with a memory of words and of what stands between blanks."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        closing = [i for w, i in self.library.get_vocab().items() if w.endswith("</w>")]
-        self.closes = np.zeros(self.library.get_vocab_size(), bool)
-        self.closes[closing] = True
-        self.known: dict[str, bytes] = {}  # of words
-        self.chunks: dict[str, bytes] = {}  # of what stands between blanks
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.word_ids = Numbers(), Pieces()
+        self.chunks, self.chunk_ids = Numbers(), Pieces()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -60,33 +107,57 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(some):
-                data, at = ids.tobytes(), 0
-                for word, end in zip(some, (4 * ends).tolist(), strict=True):
-                    self.known[word] = data[at:end]
-                    at = end
-            else:
-                for word in some:
-                    self.known[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+    def _learn_words(self, words: list[str]) -> None:
+        tokenize = self.library.model.tokenize
+        ids = [[t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS))] for w in words]
+        self.word_ids.add(np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _learn_chunks(self, chunks: list[str]) -> None:
+        cut = [_WORDS.findall(c) for c in chunks]
+        known = len(self.words)
+        which = np.array(list(map(self.words.__getitem__, chain.from_iterable(cut))), np.int64)
+        self._learn_words(self.words.behind(known))
+        ids, sizes = self.word_ids.take(which)
+        self.chunk_ids.add(ids, _sums(sizes, np.array([len(c) for c in cut], np.int64)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) + len(self.chunks) > REMEMBERED:
-            self.known.clear()
-            self.chunks.clear()
-        cut = [t.lower().split() if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
-        new = {c: _WORDS.findall(c) for c in set().union(*(c for c in cut if c)).difference(self.chunks)}
-        words = {w for ws in new.values() for w in ws if w not in self.known}
-        self._learn(sorted(words))
-        self.chunks.update({c: b"".join([self.known[w] for w in ws]) for c, ws in new.items()})
-        get = self.chunks.__getitem__
-        whole = iter(self.library.encode_batch([t for t, c in zip(texts, cut, strict=True) if c is None], add_special_tokens=False))
-        return [np.array(next(whole).ids, np.uint32).tobytes() if c is None else b"".join(map(get, c)) for c in cut]
+        if len(self.words) + len(self.chunks) > REMEMBERED:
+            self._forget()
+        plain = ["<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
+        which, counts = self._chunks_of([t.lower() for t, p in zip(texts, plain, strict=True) if p])
+        ids, sizes = self.chunk_ids.take(which)
+        data, at = ids.tobytes(), iter((4 * np.r_[0, np.cumsum(_sums(sizes, counts))]).tolist())
+        whole = iter(self.library.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        out, a = [], next(at)
+        for p in plain:
+            if p:
+                b = next(at)
+                out.append(data[a:b])
+                a = b
+            else:
+                out.append(np.array(next(whole).ids, np.uint32).tobytes())
+        return out
+
+    def _chunks_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of what stands between blanks in all texts, and how many each text has; new ones are learnt.
+
+        The texts are cut as one array of bytes, and only what differs in it is looked up.
+        """
+        raw = [t.encode() for t in texts]
+        ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
+        b = np.frombuffer(b"".join(r + b"\n" for r in raw), np.uint8)
+        word = b > 0x20
+        edge = np.diff(word.view(np.int8), prepend=0, append=0)
+        start, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+        if not len(start):
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        offsets = np.r_[0, np.cumsum(end - start)].astype(np.int32)
+        parts = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(b[word])]).dictionary_encode()
+        known = len(self.chunks)
+        numbers = np.array(list(map(self.chunks.__getitem__, parts.dictionary.to_numpy(zero_copy_only=False).tolist())), np.int64)
+        self._learn_chunks(self.chunks.behind(known))
+        return numbers[parts.indices.to_numpy()], np.diff(np.searchsorted(start, ends), prepend=0)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:

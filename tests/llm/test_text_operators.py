@@ -319,3 +319,15 @@ def test_pivot_keeps_words_and_expectations():
         assert all(x in (0.0, 1.0) for k, x in enumerate(q) if k != at)
         many.append(q)
     assert np.abs(np.mean(many, axis=0) - 0.3).max() < 0.04
+
+
+def test_words_of_more_than_65536_bytes_that_swap_letters_stay_apart(spark):
+    a = "x" * 70_000
+    b = "y" + a[1:65_536] + "z" + a[65_537:]
+    c = "z" + a[1:65_536] + "y" + a[65_537:]
+    h = minhash.word_hashes(f"{b} {c} {b}")
+    assert h[0] == h[2] and h[0] != h[1]
+    rest = " ".join(f"w{i}" for i in range(49))
+    df = spark.createDataFrame([(1, f"{rest} {b}"), (2, f"{rest} {c}"), (3, f"{rest} {b}")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in repeats.deduplicated(df).collect()}
+    assert got == {1: (50, 0), 2: (50, 0), 3: (50, 50)}
