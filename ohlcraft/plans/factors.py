@@ -12,6 +12,7 @@ from ..functions.rolling import c, ratio
 from ..operators.fold import fold
 from ..operators.frames import Frame
 from ..operators.selection import wide_quantiles
+from ..operators.states import dead_zone, one_sided, states
 
 
 def tail_rows(panel: DataFrame, by: str, x: str, q: float = 0.05) -> DataFrame:
@@ -56,28 +57,20 @@ def trailing_signal(f: Frame, x: str = "rate", n: int = 3) -> Frame:
     return f.add(signal=f.full(F.avg(x), c(x), n, 1))
 
 
-def _slow_carry(enter: float, leave: float, cost: float):
-    def run(a, state):
-        rate, sig = a["rate"], a["signal"]
-        pos = state[0] if state else 0.0
-        p, r = np.zeros(len(rate)), np.zeros(len(rate))
-        for i in range(len(rate)):
-            s, was = sig[i], pos
-            if s == s:
-                if pos == 0.0 and s > enter:
-                    pos = 1.0
-                elif pos == 1.0 and s < leave:
-                    pos = 0.0
-            p[i] = pos
-            r[i] = pos * (rate[i] if rate[i] == rate[i] else 0.0) - cost * abs(pos - was)
-        return {"pos": p, "r": r}, [pos]
+def slow_carry(rows: DataFrame, enter: float, leave: float, cost: float) -> DataFrame:
+    """Carry position with hysteresis on the trailing signal, charged on changes."""
+    held = states(rows, one_sided(c("signal"), enter, leave), "pos", "_was")
+    return held.select(*rows.columns, c("pos").cast("double").alias("pos"), (c("pos") * F.coalesce("rate", F.lit(0.0)) - cost * F.abs(c("pos") - c("_was"))).alias("r"))
 
-    return run
 
+def two_sided_carry(rows: DataFrame, zone: float = 0.0002, round_trip: float = 0.002) -> DataFrame:
+    """Net carry per bar: short (-1) on a positive signal, long (1) on a negative one, flat once the signal changes sign.
 
-def slow_carry(rows: DataFrame, enter: float, leave: float, cost: float) -> DataFrame:
-    """Carry position with hysteresis on the trailing signal, charged on changes."""
-    return fold(rows, _slow_carry(enter, leave, cost), ["rate", "signal"], {"pos": "double", "r": "double"})
+    Half a round trip is paid on the bar of each entry and exit. Bars without a rate are skipped and earn nothing.
+    """
+    held = states(rows, dead_zone(c("rate"), c("signal"), zone), "pos", "_was")
+    cost = F.when(c("pos") != c("_was"), round_trip / 2).otherwise(0.0)
+    return held.select(*rows.columns, "pos", F.when(c("rate").isNull(), 0.0).otherwise(-c("pos") * c("rate") - cost).alias("r"))
 
 
 def _fills(limit: float, give_up: int):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import rolling as R
 from ..functions import volatility as V
 from ..operators import kernels as K
+from ..operators import states as SM
 from ..operators.asof import asof
 from ..operators.fold import fold
 from ..operators.frames import DAY_MS, HOUR_MS, WEEK_MS, Frame, number_bars, ordinals
@@ -50,25 +51,31 @@ _price_fold("jma", K.jurik(7, 0.0), ["y"], 6)
 
 
 # -- positions ---------------------------------------------------------------
-def _z_rows(spark, d, adx=False):
+def _z_rows(spark, d, adx=False, prev=False):
     f = Frame.of_numbered(T.bars(spark, d), 32)
     if adx:
         f = V.adx(f)
     f = f.add(z=R.ratio(c("close") - R.mean(f, "close", 20), R.std(f, "close", 20, 0)))
-    return f.core("symbol", "idx", "z", *(["adx"] if adx else []))
+    if prev:
+        f = f.add(pz=f.lag(c("z")))
+    return f.core("symbol", "idx", "z", *(["adx"] if adx else []), *(["pz"] if prev else []))
+
+
+def _states(rows, moves):
+    return SM.states(rows, moves, "pos").select("symbol", "idx", c("pos").cast("long").alias("pos"))
 
 
 _Z = Sql().add(z=div(f"c - {avg('c', 20)}", full("stddev_pop(c)", "c", 20))).add(pz=lag("z"))
 query("reversion_position", _Z.loop("pos", "CASE WHEN z <= -1.5 THEN 1 WHEN z >= 1.5 THEN -1 ELSE 0 END",
       "CASE WHEN n.z IS NULL THEN p.pos WHEN n.z <= -1.5 THEN 1 WHEN n.z >= 1.5 THEN -1 WHEN p.pos = 1 AND n.z >= 0.2 THEN 0 WHEN p.pos = -1 AND n.z <= -0.2 THEN 0 ELSE p.pos END").text(
-      "SELECT symbol, idx, pos::BIGINT AS pos FROM $"))(lambda spark, d: fold(_z_rows(spark, d), K.reversion_position(1.5, 0.2), ["z"], {"pos": "long"}))
+      "SELECT symbol, idx, pos::BIGINT AS pos FROM $"))(lambda spark, d: _states(_z_rows(spark, d), SM.reversion(c("z"), 1.5, 0.2)))
 _Z2 = Sql().add(z=div(f"c - {avg('c', 20)}", full("stddev_pop(c)", "c", 20))).add(pz=lag("z"))
 query("momentum_position", _Z2.loop("pos", "0",
       "CASE WHEN n.z IS NULL OR n.pz IS NULL THEN p.pos WHEN p.pos = 1 AND n.z >= 0.2 THEN 1 WHEN p.pos = -1 AND n.z <= -0.2 THEN -1 WHEN n.pz <= 1 AND n.z > 1 THEN 1 WHEN n.pz >= -1 AND n.z < -1 THEN -1 ELSE 0 END").text(
-      "SELECT symbol, idx, pos::BIGINT AS pos FROM $"))(lambda spark, d: fold(_z_rows(spark, d), K.momentum_position(1.0, 0.2), ["z"], {"pos": "long"}))
+      "SELECT symbol, idx, pos::BIGINT AS pos FROM $"))(lambda spark, d: _states(_z_rows(spark, d, prev=True), SM.momentum(c("z"), c("pz"), 1.0, 0.2)))
 _H = _ADX.add(z=div(f"c - {avg('c', 20)}", full("stddev_pop(c)", "c", 20)))
 query("hybrid_position", _H.loop("hp", "0", "CASE WHEN n.z IS NULL OR n.adx IS NULL THEN p.hp WHEN n.adx < 15 THEN CASE WHEN n.z <= -1.5 THEN 1 WHEN n.z >= 1.5 THEN -1 WHEN abs(n.z) <= 0.5 THEN 0 ELSE p.hp END "
-      "WHEN n.adx > 20 THEN CASE WHEN p.hp = 0 AND n.z > 1 THEN 1 WHEN p.hp = 0 AND n.z < -1 THEN -1 WHEN p.hp * n.z < 0 THEN 0 ELSE p.hp END ELSE p.hp END").text("SELECT symbol, idx, hp::BIGINT AS pos FROM $"))(lambda spark, d: fold(_z_rows(spark, d, True), K.hybrid_position(15.0, 20.0, 1.5), ["z", "adx"], {"pos": "long"}))
+      "WHEN n.adx > 20 THEN CASE WHEN p.hp = 0 AND n.z > 1 THEN 1 WHEN p.hp = 0 AND n.z < -1 THEN -1 WHEN p.hp * n.z < 0 THEN 0 ELSE p.hp END ELSE p.hp END").text("SELECT symbol, idx, hp::BIGINT AS pos FROM $"))(lambda spark, d: _states(_z_rows(spark, d, True), SM.hybrid(c("z"), c("adx"), 15.0, 20.0, 1.5)))
 
 
 # -- splits ------------------------------------------------------------------
@@ -492,6 +499,15 @@ def slow_carry(spark, d):
     return FA.slow_carry(f.core("symbol", "idx", "rate", "signal"), 0.01, 0.0, 0.001).select("symbol", "idx", "pos", r6("r").alias("r"))
 
 
+@query("two_sided_carry", Sql().add(rate="CASE WHEN idx % 17 <> 3 THEN (c - 40) / 1000 END").add(sgn=full("avg(coalesce(rate, 0))", "c", 3, 1)).loop("pos", "0", "CASE WHEN n.rate IS NULL THEN p.pos WHEN p.pos = 0 AND n.sgn >= 0.01 THEN -1 WHEN p.pos = 0 AND n.sgn <= -0.01 THEN 1 WHEN p.pos = -1 AND n.sgn <= 0 THEN 0 WHEN p.pos = 1 AND n.sgn >= 0 THEN 0 ELSE p.pos END").add(pp=f"coalesce({lag('pos')}, 0)").text(
+    f"SELECT symbol, idx, pos::INTEGER AS pos, {sr('CASE WHEN rate IS NULL THEN 0 ELSE -pos * rate - CASE WHEN pos <> pp THEN 0.001 ELSE 0 END END')} AS r FROM $"))
+def two_sided_carry(spark, d):
+    """Every seventeenth bar lacks a rate."""
+    f = Frame.of_numbered(T.bars(spark, d).withColumn("rate", F.when(c("idx") % 17 != 3, (c("close") - 40) / 1000)), 4)
+    f = f.add(signal=f.full(F.avg(F.coalesce("rate", F.lit(0.0))), c("close"), 3, 1))
+    return FA.two_sided_carry(f.core("symbol", "idx", "rate", "signal"), 0.01).select("symbol", "idx", "pos", r6("r").alias("r"))
+
+
 @query("random_fills")
 def random_fills(spark, d):
     b = T.bars(spark, d).withColumns({"want": (c("close") > c("open")).cast("double"), "u": (P.hashed(F.lit(21), c("idx")) % 10_000) / 10_000.0})
