@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import c, mean, percent_rank, std
 from ..operators.frames import Frame
+from ..sources.store import settled
 from . import outcomes as O
 
 DAY_MS = 86_400_000
@@ -90,6 +91,70 @@ def percentile_features(f: Frame, win: int = 500) -> Frame:
     return f.add(vol_pct=percent_rank(f, "_ap", win), bbw_pct=percent_rank(f, "_bw", win))
 
 
+# fixed values: the features of a candidate at its decision bar
+ANCHORS = ["avsl", "avsr", "hilo_l", "hilo_s", "st", "bb_l", "bb_u"]
+NUMERIC = ["atr_pct", "zone_height_atr", "zone_dist_atr", "z50", "slope50", "vol_pct", "bbw_pct", *[f"d_{a}" for a in ANCHORS],
+           *[f"h{k}_{x}" for k in (1, 2) for x in ("trend", "slope", "below", "above")], "ltf_impulse", "ltf_vol_z"]
+CATEGORICAL = ["side", "family", "regime_dir", "ob_trend", "ob_structure", "overlap"]
+
+
+def higher_states(bars: DataFrame, n: int = 50, slope_bars: int = 10) -> DataFrame:
+    """Trend, slope and distances to the nearest zones of each bar of a longer timeframe, known at ``known_ts``.
+
+    ``bars`` are numbered and carry ``known_ts``. A zone counts from the bar that confirms it, once that bar is closed.
+    """
+    from ..functions.volatility import research_atr
+    from .structure import nearest_zones, swing_blocks
+
+    rows = settled(trend_state(research_atr(Frame.of_numbered(bars, max(16, n + slope_bars)), "atr"), n, slope_bars).core())
+    near = nearest_zones(rows, swing_blocks(rows.drop("z", "slope", "trend")), "confirm_idx")
+    state = F.struct(c("trend").cast("double").alias("trend"), F.coalesce("slope", F.lit(0.0)).alias("slope"), "below", "above")
+    return rows.join(near, ["symbol", "idx"]).select("symbol", "known_ts", state.alias("state"))
+
+
+def lower_states(bars: DataFrame, bar_ms: int, impulse_bars: int = 6, volume_bars: int = 50) -> DataFrame:
+    """Move over a few bars of a shorter timeframe and the z-score of its volume; neither before ``impulse_bars`` bars are known."""
+    f = impulse_features(Frame.of_numbered(bars, max(impulse_bars, volume_bars)), impulse_bars, volume_bars)
+    there = c("idx") >= impulse_bars
+    return f.core("symbol", (c("ts") + bar_ms).alias("known_ts"), F.struct(F.when(there, c("move")).alias("move"), F.when(there, c("vol_z")).alias("vol_z")).alias("state"))
+
+
+def carried(base: DataFrame, states: dict[str, DataFrame], ts: str = "ts") -> DataFrame:
+    """Add the last state of every timeframe known at each base bar: all timeframes pass once, in one ordered scan."""
+    from ..operators.scan import scan
+
+    rows = base.select("symbol", c(ts).alias("_t"), F.lit(len(states)).alias("_side"), F.struct(*base.columns).alias("_base"))
+    for i, (name, s) in enumerate(states.items()):
+        rows = rows.unionByName(s.select("symbol", c("known_ts").alias("_t"), F.lit(i).alias("_side"), c("state").alias(name)), allowMissingColumns=True)
+    done = scan(rows, ["symbol"], ["_t", "_side"], last={f"_{n}": c(n) for n in states})
+    return done.filter(c("_base").isNotNull()).select("_base.*", *[c(f"_{n}").alias(n) for n in states])
+
+
+def feature_rows(cands: DataFrame, bars: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The 24 numbers and 6 categories of every candidate, read at its decision bar.
+
+    ``bars``: ``close, atr, z, slope, vol_pct, bbw_pct``, an ``a_`` column per anchor, and the states ``h1, h2, ltf`` from
+    :func:`carried`. ``cands``: ``symbol, idx, side, family, zone_low, zone_high, block_id, overlap``.
+    """
+    b = blocks.select("symbol", "block_id", c("trend").alias("_trend"), c("structure").alias("_structure"))
+    j = cands.join(bars, ["symbol", "idx"]).join(b, ["symbol", "block_id"], "left")
+    long = c("side") == "long"
+    sign = F.when(long, 1.0).otherwise(-1.0)
+    unit = F.when(c("atr") > 0, c("atr"))
+    base = F.when(c("atr") > 0, c("atr")).otherwise(1.0)
+    num = {"atr_pct": F.when(c("close") > 0, c("atr") / c("close")), "zone_height_atr": (c("zone_high") - c("zone_low")) / unit,
+           "zone_dist_atr": (c("close") - F.when(long, c("zone_low")).otherwise(c("zone_high"))) * sign / unit,
+           "z50": c("z"), "slope50": c("slope"), "vol_pct": c("vol_pct"), "bbw_pct": c("bbw_pct")}
+    num |= {f"d_{a}": (c("close") - c(f"a_{a}")) * sign / unit for a in ANCHORS}
+    for k in (1, 2):
+        num |= {f"h{k}_trend": F.coalesce(f"h{k}.trend", F.lit(0.0)), f"h{k}_slope": F.coalesce(f"h{k}.slope", F.lit(0.0)),
+                f"h{k}_below": c(f"h{k}.below") / base, f"h{k}_above": c(f"h{k}.above") / base}
+    num |= {"ltf_impulse": c("ltf.move") / unit, "ltf_vol_z": c("ltf.vol_z")}
+    cat = {"side": c("side"), "family": c("family"), "regime_dir": regime_of(c("z")), "ob_trend": F.coalesce("_trend", F.lit("none")),
+           "ob_structure": F.coalesce("_structure", F.lit("none")), "overlap": c("overlap")}
+    return j.select("symbol", "idx", *[num[x].alias(x) for x in NUMERIC], *[cat[x].alias(x) for x in CATEGORICAL])
+
+
 def normalise(numbered: DataFrame, cols: list[str], volume: str = "volume", head: int = 500) -> DataFrame:
     """Prices over the median of the first ``head`` closes; volume over its own median, then log1p."""
     ref = numbered.filter(c("idx") < head).groupBy("symbol").agg(F.percentile("close", 0.5).alias("_p"), F.percentile(volume, 0.5).alias("_v"))

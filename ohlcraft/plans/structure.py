@@ -587,12 +587,14 @@ def nearest_zones(points: DataFrame, zones: DataFrame, known: str, price: str =
     at_level = lambda x: F.expr(f"shiftright({x}, lv)")
     zc = z.withColumn("lv", level).withColumn("blk", at_level("zn")).withColumn("_key", key)
     pc = p.withColumn("lv", level).filter(at_level("n") % 2 == 1).withColumn("blk", at_level("n") - 1).withColumn("_key", key).select("_key", "symbol", "idx", "px")
-    lows = ordinals(zc.select("_key", "zone_low", "zn"), ["_key"], ["zone_low", "zn"], "k")
+    # a zone without height lies below a price that equals it: as a lower edge it counts from just under its price
+    edge = F.when(c("zone_low") == c("zone_high"), c("zone_low") - F.abs("zone_low") * 2.0**-52).otherwise(c("zone_low"))
+    lows = ordinals(zc.select("_key", "zone_low", edge.alias("edge"), "zn"), ["_key"], ["edge", "zn"], "k")
     highs = ordinals(zc.select("_key", "zone_high", "zn"), ["_key"], ["zone_high", "zn"], "k")
-    first_low = lows.groupBy("_key", "zone_low").agg(F.min("k").alias("n_low"))
+    first_low = lows.groupBy("_key", "edge").agg(F.min("k").alias("n_low"), F.min("zone_low").alias("lo"))
     last_high = highs.groupBy("_key", "zone_high").agg((F.max("k") + 1).alias("n_high"))
     size = zc.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"))
-    j = asof_sorted(pc, first_low.withColumn("lo", c("zone_low")), "px", "zone_low", ["lo", "n_low"], ["_key"], forward=True)
+    j = asof_sorted(pc, first_low, "px", "edge", ["lo", "n_low"], ["_key"], forward=True)
     j = asof_sorted(j, last_high.withColumn("hi", c("zone_high")), "px", "zone_high", ["hi", "n_high"], ["_key"]).join(size, "_key")
     # zones that start under the price minus those that end at or under it
     j = j.withColumn("_in", F.coalesce("n_low", "_size") - F.coalesce("n_high", F.lit(0)) > 0)

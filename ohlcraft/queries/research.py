@@ -27,7 +27,8 @@ from ..plans import signals as G
 from ..sources import tables as T
 from ..sources.store import shared_dir, stored
 from ..streaming import bars as ST
-from .base import ORD, USERS_SQL, Sql, avg, bars_sql, brands_sql, div, full, indicator, lag, query, r6, register, rounded, sr, win
+from .base import ORACLES, ORD, USERS_SQL, Sql, avg, bars_sql, brands_sql, div, full, indicator, lag, query, r6, register, rounded, sr, win
+from .core import _resample_sql
 from .structure import _AL, _BN, _SW, _Z as _ZIGZAG, blocks, rows
 from .trading import BOOK, EV, SIG, TR, book, fills, hash_sql, sig, stream, trades
 from .volatility import _ADX
@@ -123,8 +124,9 @@ def features(spark, d):
     def build():
         f = PN.trend_state(Frame.of_numbered(rows(spark, d), 62))
         f = f.add(bb_m=R.mean(f, "close", 20), bb_s=R.std(f, "close", 20, 0))
-        return f.core("symbol", "idx", "ts", "open", "high", "low", "close", "volume", "atr", "avsl", "avsr", "z", "slope", "trend",
-                      (c("bb_m") - 2 * c("bb_s")).alias("a_bb_l"), (c("bb_m") + 2 * c("bb_s")).alias("a_bb_u"))
+        f = V.hilo(f).core("symbol", "idx", "ts", "open", "high", "low", "close", "volume", "atr", "avsl", "avsr", "z", "slope", "trend",
+                           (c("bb_m") - 2 * c("bb_s")).alias("a_bb_l"), (c("bb_m") + 2 * c("bb_s")).alias("a_bb_u"), c("hilo_long").alias("a_hilo_l"), c("hilo_short").alias("a_hilo_s"))
+        return f.join(V.supertrend(T.bars(spark, d)).select("symbol", "idx", c("trend").alias("a_st")), ["symbol", "idx"])
 
     return stored(spark, "panel_rows", d, build)
 
@@ -169,8 +171,59 @@ def cands(spark, d):
     f = features(spark, d)
     e = e.withColumnRenamed("entry_idx", "idx").withColumn("is_long", c("side") == "long")
     j = e.join(f, ["symbol", "idx"])
-    return j.withColumns({"zone": F.when(c("is_long"), c("zone_low")).otherwise(c("zone_high")), "regime": PN.regime_of(c("z")), "a_avsl": c("avsl"), "a_avsr": c("avsr"),
-                          "a_hilo_l": F.lit(None).cast("double"), "a_hilo_s": F.lit(None).cast("double"), "a_st": F.lit(None).cast("double")})
+    return j.withColumns({"zone": F.when(c("is_long"), c("zone_low")).otherwise(c("zone_high")), "regime": PN.regime_of(c("z")), "a_avsl": c("avsl"), "a_avsr": c("avsr")})
+
+
+def candidate_bars(spark, d):
+    """Decision bars with the states of 4 hours, a day and 15 minutes as last known."""
+    def build():
+        own = PN.percentile_features(Frame.of_numbered(features(spark, d), 122), 100).core().withColumns({"a_avsl": c("avsl"), "a_avsr": c("avsr")})
+        b, quarter = T.bars(spark, d), HOUR_MS // 4
+        longer = lambda ms, n, k: PN.higher_states(number_bars(resample(b, ms, HOUR_MS), ms), n, k)
+        return PN.carried(own, {"h1": longer(4 * HOUR_MS, 10, 4), "h2": longer(DAY_MS, 5, 2), "ltf": PN.lower_states(T.bars(spark, d, quarter), quarter, 6, 20)})
+
+    return stored(spark, "candidate_bars", d, build)
+
+
+def _longer_sql(ms: int, n: int, k: int) -> str:
+    src = f"SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx, open AS o, high AS h, low AS l, close AS c, volume AS v, known_ts FROM ({_resample_sql(ms)})"
+    return f"""(WITH {_SW.replace(bars_sql(), src)}, t0 AS (SELECT symbol, idx, known_ts, c, atr, {avg('c', n)} AS a FROM rw), t1 AS (SELECT *, {lag('a', k)} AS pa FROM t0),
+ nz AS (SELECT rw.symbol, rw.idx, min(CASE WHEN zone_high <= rw.c THEN rw.c - zone_high WHEN zone_low < rw.c THEN 0 END) AS below, min(CASE WHEN zone_high <= rw.c THEN NULL WHEN zone_low >= rw.c THEN zone_low - rw.c ELSE 0 END) AS above FROM rw JOIN ob ON ob.symbol = rw.symbol AND ob.confirm_idx <= rw.idx GROUP BY 1, 2)
+ SELECT t1.symbol, known_ts, CASE WHEN a IS NULL OR atr <= 0 THEN 0 WHEN c >= a THEN 1 ELSE -1 END AS trend, coalesce((a - pa) / atr, 0) AS slope, below, above FROM t1 LEFT JOIN nz USING (symbol, idx))"""
+
+
+def _features_sql() -> str:
+    d = lambda x: f"{sr(f'(rw.c - {x}) * sg / rw.atr', 3)}"
+    names = {"atr_pct": "rw.atr / rw.c", "zone_height_atr": "(cn.zone_high - cn.zone_low) / rw.atr", "zone_dist_atr": "(rw.c - CASE WHEN sg > 0 THEN cn.zone_low ELSE cn.zone_high END) * sg / rw.atr",
+             "z50": "z", "slope50": "slope50", "vol_pct": "vol_pct", "bbw_pct": "bbw_pct"}
+    levels = {"avsl": "lv.avsl", "avsr": "lv.avsr", "hilo_l": "hl.hilo_long", "hilo_s": "hl.hilo_short", "st": "tl.trend", "bb_l": "(m20 - 2 * s20)", "bb_u": "(m20 + 2 * s20)"}
+    cols = [f"{sr(v, 3)} AS {k}" for k, v in names.items()] + [f"{d(v)} AS d_{k}" for k, v in levels.items()]
+    for k in (1, 2):
+        cols += [f"coalesce(h{k}.trend, 0)::DOUBLE AS h{k}_trend", f"{sr(f'coalesce(h{k}.slope, 0)', 3)} AS h{k}_slope", f"{sr(f'h{k}.below / rw.atr', 3)} AS h{k}_below", f"{sr(f'h{k}.above / rw.atr', 3)} AS h{k}_above"]
+    cols += [f"{sr('q.move / rw.atr', 3)} AS ltf_impulse", f"{sr('q.vol_z', 3)} AS ltf_vol_z"]
+    quarter = bars_sql(HOUR_MS // 4)
+    w20 = "(PARTITION BY symbol ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+    return f"""WITH RECURSIVE {_AL} {_BN}, hl AS MATERIALIZED ({ORACLES["hilo"]}), tl AS MATERIALIZED (SELECT symbol, idx, trend FROM ({ORACLES["supertrend"]})), h1 AS MATERIALIZED {_longer_sql(4 * HOUR_MS, 10, 4)}, h2 AS MATERIALIZED {_longer_sql(DAY_MS, 5, 2)},
+q0 AS MATERIALIZED (SELECT *, stddev_pop(v) OVER {w20} AS sd, avg(v) OVER {w20} AS av FROM ({quarter})), q AS MATERIALIZED (SELECT symbol, ts + 900000 AS known_ts, CASE WHEN idx >= 6 THEN c - lag(c, 6) OVER (PARTITION BY symbol ORDER BY idx) END AS move, CASE WHEN idx >= 6 THEN CASE WHEN sd > 0 THEN (v - av) / sd ELSE 0 END END AS vol_z FROM q0),
+al2 AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3 UNION ALL SELECT * FROM e4 UNION ALL SELECT * FROM e5),
+rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, entry_idx, side ORDER BY list_position(['sweep', 'ob_retest', 'ob_touch', 'fvg', 'avsl_bounce', 'break_retest'], family), block_id, zone_low, zone_high) AS k, min(family) OVER p <> max(family) OVER p AS overlap FROM al2 WINDOW p AS (PARTITION BY symbol, entry_idx, side)),
+cn AS (SELECT symbol, entry_idx AS idx, side, family, zone_low, zone_high, block_id, overlap, CASE WHEN side = 'long' THEN 1 ELSE -1 END AS sg FROM rk WHERE k = 1),
+p0 AS (SELECT *, {avg('c', 50)} AS a50, {avg('c', 20)} AS m20, {full('stddev_pop(c)', 'c', 20)} AS s20, atr / c AS ap FROM rw), p1 AS (SELECT *, 4 * s20 / m20 AS bw, (c - a50) / atr AS z, (a50 - {lag('a50', 10)}) / atr AS slope50 FROM p0),
+p2 AS (SELECT *, list(ap) OVER {win(100)} AS w1, list(bw) FILTER (WHERE bw IS NOT NULL) OVER {win(100)} AS w2 FROM p1),
+p3 AS MATERIALIZED (SELECT *, len(list_filter(w1, lambda x: x <= ap)) / len(w1)::DOUBLE AS vol_pct, CASE WHEN bw IS NOT NULL THEN len(list_filter(w2, lambda x: x <= bw)) / len(w2)::DOUBLE END AS bbw_pct FROM p2)
+SELECT cn.symbol, cn.idx, {', '.join(cols)}, cn.side, family, CASE WHEN z IS NULL THEN 'unknown' WHEN z > 0.5 THEN 'up' WHEN z < -0.5 THEN 'down' ELSE 'range' END AS regime_dir, coalesce(ob.trend, 'none') AS ob_trend,
+ CASE WHEN ob.symbol IS NULL THEN 'none' WHEN ob.retest_idx < ob.end_idx THEN 'retested' ELSE 'fresh' END AS ob_structure, overlap
+FROM cn JOIN p3 rw USING (symbol, idx) LEFT JOIN lv USING (symbol, idx) LEFT JOIN hl USING (symbol, idx) LEFT JOIN tl USING (symbol, idx) LEFT JOIN ob ON ob.symbol = cn.symbol AND ob.block_id = cn.block_id
+ASOF LEFT JOIN h1 ON h1.symbol = cn.symbol AND rw.ts >= h1.known_ts ASOF LEFT JOIN h2 ON h2.symbol = cn.symbol AND rw.ts >= h2.known_ts ASOF LEFT JOIN q ON q.symbol = cn.symbol AND rw.ts >= q.known_ts"""
+
+
+@query("candidate_features", _features_sql())
+def candidate_features(spark, d):
+    from ..plans import structure as S
+
+    e = stored(spark, "entry_candidates", d, lambda: S.collect_entries(blocks(spark, d), rows(spark, d))).withColumnRenamed("entry_idx", "idx")
+    f = PN.feature_rows(e, candidate_bars(spark, d), blocks(spark, d))
+    return f.select("symbol", "idx", *[r6(x, 3).alias(x) for x in PN.NUMERIC], *PN.CATEGORICAL)
 
 
 def panel(spark, d):
