@@ -31,7 +31,7 @@ from .base import ORACLES, ORD, USERS_SQL, Sql, avg, bars_sql, brands_sql, div,
 from .core import _resample_sql
 from .structure import _AL, _BN, _SW, _Z as _ZIGZAG, blocks, rows
 from .trading import BOOK, EV, SIG, TR, book, fills, hash_sql, sig, stream, trades
-from .volatility import _ADX
+from .volatility import _ADX, supertrend_sql
 
 c = F.col
 B = f"b AS MATERIALIZED ({bars_sql()})"
@@ -230,16 +230,27 @@ def panel(spark, d):
     keep = ["symbol", "idx", "ts", "is_long", "side", "family", "regime", "overlap", "close", "atr", "z", "slope", "zone", "zone_low", "zone_high",
             "a_avsl", "a_avsr", "a_hilo_l", "a_hilo_s", "a_st", "a_bb_l", "a_bb_u"]
     return stored(spark, "outcome_panel", d, lambda: PN.outcome_panel(
-        cands(spark, d).select(*keep), rows(spark, d), ["atr:2", "zone:0.5", "zone:1.0", "anchor:avsl:0.5", "anchor:bb:0.5"], PN.TARGETS, hold=24, min_risk_atr=0.4))
+        cands(spark, d).select(*keep), rows(spark, d), RULES, PN.TARGETS, hold=24, min_risk_atr=0.4))
 
 
-_PN = f"WITH {_AL} {_BN}, al2 AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3 UNION ALL SELECT * FROM e4 UNION ALL SELECT * FROM e5), " + """
+#: Every stop rule, and one whose distance fits bars of an hour.
+RULES = ["atr:2", *PN.STOP_RULES]
+_HILO = Sql().add(hm=avg("h", 13), lm=avg("l", 21)).add(way=f"CASE WHEN c > {lag('hm')} THEN 1 WHEN c < {lag('lm')} THEN -1 END").add(grp=f"count(way) OVER {ORD}").add(
+    hilo="first_value(CASE WHEN way = 1 THEN lm WHEN way = -1 THEN hm END) OVER (PARTITION BY symbol, grp ORDER BY idx)").text(
+    "SELECT symbol, idx, CASE WHEN way IS NULL OR way = 1 THEN hilo END AS hilo_long, CASE WHEN way IS NULL OR way = -1 THEN hilo END AS hilo_short FROM $")
+_RULES_SQL = ", ".join(f"('{r}', '{r.split(':')[1] if r.startswith('anchor') else r.split(':')[0]}', {r.split(':')[-1]}::DOUBLE)" for r in RULES)
+
+
+_PN = f"WITH {_AL} {_BN}, hl AS MATERIALIZED ({_HILO}), tl AS MATERIALIZED ({supertrend_sql(7, 3.0)[0]} SELECT symbol, idx, trend FROM st), bb AS (SELECT symbol, idx, {avg('c', 20)} - 2 * {full('stddev_pop(c)', 'c', 20)} AS bb_l, {avg('c', 20)} + 2 * {full('stddev_pop(c)', 'c', 20)} AS bb_u FROM rw), al2 AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3 UNION ALL SELECT * FROM e4 UNION ALL SELECT * FROM e5), " + """
 rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, entry_idx, side ORDER BY list_position(['sweep', 'ob_retest', 'ob_touch', 'fvg', 'avsl_bounce', 'break_retest'], family), block_id, zone_low, zone_high) AS k FROM al2),
-cn AS MATERIALIZED (SELECT rk.symbol, entry_idx AS idx, side = 'long' AS is_long, CASE WHEN side = 'long' THEN 1 ELSE -1 END AS sg, zone_low, zone_high, CASE WHEN side = 'long' THEN zone_low ELSE zone_high END AS zone, rw.c AS close, rw.atr FROM rk JOIN rw ON rw.symbol = rk.symbol AND rw.idx = entry_idx WHERE k = 1),
+cn AS MATERIALIZED (SELECT rk.symbol, entry_idx AS idx, side = 'long' AS is_long, CASE WHEN side = 'long' THEN 1 ELSE -1 END AS sg, zone_low, zone_high, CASE WHEN side = 'long' THEN zone_low ELSE zone_high END AS zone, rw.c AS close, rw.atr, lv.avsl, lv.avsr, hilo_long, hilo_short, tl.trend AS st_line, bb_l, bb_u
+ FROM rk JOIN rw ON rw.symbol = rk.symbol AND rw.idx = entry_idx LEFT JOIN lv ON lv.symbol = rk.symbol AND lv.idx = entry_idx LEFT JOIN hl ON hl.symbol = rk.symbol AND hl.idx = entry_idx
+ LEFT JOIN tl ON tl.symbol = rk.symbol AND tl.idx = entry_idx LEFT JOIN bb ON bb.symbol = rk.symbol AND bb.idx = entry_idx WHERE k = 1),
 ex AS (SELECT cn.*, 'market' AS execution, cn.idx + 1 AS fill_idx, z.o * (1 + sg * 0.0005) AS fill FROM cn JOIN rw z ON z.symbol = cn.symbol AND z.idx = cn.idx + 1
  UNION ALL SELECT * FROM (SELECT cn.*, q.k AS execution, (SELECT min(z.idx) FROM rw z WHERE z.symbol = cn.symbol AND z.idx BETWEEN cn.idx + 1 AND cn.idx + 5 AND CASE WHEN is_long THEN z.l <= CASE WHEN q.k = 'limit:edge' THEN cn.zone ELSE (zone_low + zone_high) / 2 END - 0.1 * z.atr ELSE z.h >= CASE WHEN q.k = 'limit:edge' THEN cn.zone ELSE (zone_low + zone_high) / 2 END + 0.1 * z.atr END) AS fill_idx,
   CASE WHEN q.k = 'limit:edge' THEN cn.zone ELSE (zone_low + zone_high) / 2 END AS fill FROM cn JOIN rw nx ON nx.symbol = cn.symbol AND nx.idx = cn.idx + 1, (SELECT unnest(['limit:edge', 'limit:mid']) AS k) q)),
-rl AS MATERIALIZED (SELECT ex.*, rule, goal, CASE WHEN rule = 'atr:2' THEN close - sg * 2 * atr ELSE zone - sg * atr * CASE WHEN rule = 'zone:0.5' THEN 0.5 ELSE 1 END END AS stop FROM ex, (SELECT unnest(['atr:2', 'zone:0.5', 'zone:1.0']) AS rule) r, (SELECT unnest([2.0, 3.0])::DOUBLE AS goal) t),
+rl AS MATERIALIZED (SELECT ex.*, rule, goal, CASE kind WHEN 'atr' THEN close WHEN 'zone' THEN zone WHEN 'avsl' THEN CASE WHEN is_long THEN avsl END WHEN 'avsr' THEN CASE WHEN NOT is_long THEN avsr END
+ WHEN 'hilo' THEN CASE WHEN is_long THEN hilo_long ELSE hilo_short END WHEN 'st' THEN st_line ELSE CASE WHEN is_long THEN bb_l ELSE bb_u END END - sg * dist * atr AS stop FROM ex, (VALUES """ + _RULES_SQL + """) r(rule, kind, dist), (SELECT unnest([2.0, 3.0])::DOUBLE AS goal) t),
 gd AS MATERIALIZED (SELECT *, fill + sg * goal * abs(fill - stop) AS target FROM (SELECT *, CASE WHEN abs(close - stop) > 0 THEN stop END AS s2 FROM rl) WHERE fill_idx IS NOT NULL AND s2 IS NOT NULL AND sg * (fill - stop) >= 0 AND abs(fill - stop) >= 0.4 * atr),
 wk AS (SELECT g.symbol, g.idx, g.is_long, execution, rule, goal, min(CASE WHEN (is_long AND z.l <= stop) OR (NOT is_long AND z.h >= stop) THEN z.idx * 2 WHEN (is_long AND z.h >= target) OR (NOT is_long AND z.l <= target) THEN z.idx * 2 + 1 END) AS code, max(z.idx) AS lj, arg_max(z.c, z.idx) AS lc
  FROM gd g JOIN rw z ON z.symbol = g.symbol AND z.idx BETWEEN fill_idx AND fill_idx + 24 GROUP BY ALL),
@@ -247,13 +258,12 @@ oc AS MATERIALIZED (SELECT g.*, CASE WHEN code IS NOT NULL THEN code // 2 WHEN l
  sg * (CASE WHEN code % 2 = 0 THEN stop * (1 - sg * 0.0005) WHEN code % 2 = 1 THEN target WHEN lj = fill_idx + 24 THEN lc * (1 - sg * 0.0005) END - fill) / nullif(abs(fill - stop), 0) - 0.0025 * fill / nullif(abs(fill - stop), 0) AS r_net FROM gd g LEFT JOIN wk USING (symbol, idx, is_long, execution, rule, goal))"""
 
 
-@query("outcome_panel", _PN + f"SELECT symbol, idx, is_long, execution, rule, goal AS target_r, exit_idx, exit_reason, {sr('r_net', 5)} AS r_net FROM oc WHERE r_net IS NOT NULL")
+@query("outcome_panel", _PN + f"SELECT rl.symbol, rl.idx, rl.is_long, rl.execution, rl.rule, rl.goal AS target_r, exit_idx, exit_reason, {sr('r_net', 5)} AS r_net FROM rl LEFT JOIN oc USING (symbol, idx, is_long, execution, rule, goal)")
 def outcome_panel(spark, d):
-    p = panel(spark, d).filter("rule in ('atr:2', 'zone:0.5', 'zone:1.0') and r_net is not null")
-    return p.select("symbol", "idx", "is_long", "execution", "rule", "target_r", "exit_idx", "exit_reason", r6("r_net", 5).alias("r_net"))
+    return panel(spark, d).select("symbol", "idx", "is_long", "execution", "rule", "target_r", "exit_idx", "exit_reason", r6("r_net", 5).alias("r_net"))
 
 
-_P3 = "rule in ('atr:2', 'zone:0.5', 'zone:1.0') and target_r = 2.0 and execution = 'market'"
+_P3 = "target_r = 2.0 and execution = 'market'"
 
 
 @query("regime_stats", _PN + f", rg AS (SELECT oc.*, CASE WHEN z IS NULL THEN 'unknown' WHEN z > 0.5 THEN 'up' WHEN z < -0.5 THEN 'down' ELSE 'range' END AS regime FROM oc JOIN (SELECT symbol, idx, CASE WHEN atr > 0 AND count(c) OVER {win(50)} = 50 THEN (c - avg(c) OVER {win(50)}) / atr END AS z FROM rw) q USING (symbol, idx)) SELECT regime, count(r_net) AS n, {sr('avg(r_net)', 5)} AS ev, {sr('avg((r_net > 0)::INT)')} AS win_rate FROM rg WHERE goal = 2 AND execution = 'market' GROUP BY 1")
