@@ -56,6 +56,42 @@ def walk_forward(rows: DataFrame, n_folds: int = 8, fold_days: int = 56, embargo
     return j.withColumn("part", part).filter(c("part").isNotNull()).drop("_a", "_z")
 
 
+def nested_folds(rows: DataFrame, n_folds: int = 8, fold_days: int = 56, embargo_days: int = 7, inner_share: float = 0.2, inner_gap_days: int = 7, ts: str = "ts") -> DataFrame:
+    """Bounds of outer and inner folds, one row per fold: test from ``a`` to ``z``, train before ``until``, of which what lies
+    before ``cut`` trains and what lies ``inner_gap_days`` behind it validates the choice of parameters.
+
+    ``cut`` is the time of the row at ``1 - inner_share`` of the fold's training rows. These are the earliest rows of all, so
+    one ranking of the table serves every fold.
+    """
+    from ..operators.frames import ordinals
+
+    size = fold_days * DAY_MS
+    ranked = ordinals(rows.select(c(ts).alias("_ts")), [], ["_ts"], "_k")
+    ends = ranked.agg(F.min("_ts").alias("_t0"), F.max("_ts").alias("_t1"))
+    w = F.floor((c("_t1") - c("_t0")) / size)
+    folds = settled(ends.filter("_t0 is not null").withColumn("fold", F.explode(F.sequence(F.greatest(w - n_folds + 1, F.lit(0)), w))).select(
+        "fold", (c("_t0") + c("fold") * size).alias("a"), (c("_t0") + (c("fold") + 1) * size).alias("z")).withColumn("until", c("a") - embargo_days * DAY_MS))
+    train = ranked.join(F.broadcast(folds), c("_ts") < c("until")).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))  # n_folds rows
+    at = train.select("fold", F.floor(c("n") * (1 - inner_share) + 1e-9).cast("long").alias("_k"))
+    cut = at.join(ranked, "_k").select("fold", c("_ts").alias("cut"))
+    return folds.join(cut, "fold", "left").withColumn("inner_from", c("cut") + inner_gap_days * DAY_MS)
+
+
+def with_folds(rows: DataFrame, folds: DataFrame, ts: str = "ts") -> DataFrame:
+    """Add ``folds``: the (fold, part) memberships of each row, part being test, train, inner_train or inner_val.
+
+    Rows are not copied per fold; the bounds, one row per fold, are packed into one array that every row reads.
+    """
+    bounds = folds.agg(F.collect_list(F.struct("fold", "a", "z", "until", "cut", "inner_from")).alias("_f"))
+    t = c(ts)
+    part = lambda f: F.array_compact(F.array(
+        F.when((t >= f["a"]) & (t < f["z"]), F.struct(f["fold"].alias("fold"), F.lit("test").alias("part"))),
+        F.when(t < f["until"], F.struct(f["fold"].alias("fold"), F.lit("train").alias("part"))),
+        F.when(t < f["until"], F.when(t < f["cut"], F.struct(f["fold"].alias("fold"), F.lit("inner_train").alias("part"))).when(
+            t >= f["inner_from"], F.struct(f["fold"].alias("fold"), F.lit("inner_val").alias("part"))))))
+    return rows.crossJoin(F.broadcast(bounds)).withColumn("folds", F.flatten(F.transform("_f", part))).drop("_f")  # one row of bounds
+
+
 def rolling_windows(rows: DataFrame, train: int, test: int, step: int, n: Column, idx: str = "idx") -> DataFrame:
     """Rolling train/test windows by ordinal; each row finds its windows by arithmetic."""
     lo = F.greatest(F.ceil((c(idx) - train - test + 1) / step), F.lit(0))

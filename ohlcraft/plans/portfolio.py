@@ -79,8 +79,8 @@ def rollup(stream: DataFrame, every: int, book: str = BOOK) -> DataFrame:
 
 
 # -- statistics -------------------------------------------------------------
-def lag_correlations(stream: DataFrame, lags: int, book: str = BOOK, x: str = "r", size: int = 2048) -> DataFrame:
-    """Correlation of the stream with itself ``k`` bars later for every ``k`` up to ``lags``.
+def lag_sums(stream: DataFrame, lags: int, first: int = 1, book: str = BOOK, x: str = "r", size: int = 2048) -> DataFrame:
+    """Pairs of values ``k`` bars apart, for every ``k`` from ``first`` to ``lags``: their number, sums, squares and products.
 
     A chunk and the ``lags`` bars after it hold every pair that starts in the chunk, so each
     chunk yields five sums per lag and nothing per pair is shuffled.
@@ -89,7 +89,7 @@ def lag_correlations(stream: DataFrame, lags: int, book: str = BOOK, x: str = "r
     chunks = f.df.groupBy(book, "chunk").agg(F.array_sort(F.collect_list(F.struct("idx", c(x).alias("v")))).alias("_a"))
     arr = F.transform("_a", lambda s: s["v"])
     own = F.size(F.filter("_a", lambda s: F.floor(s["idx"] / size) == c("chunk")))
-    per = chunks.select(book, arr.alias("v"), own.alias("m"), F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("k"))
+    per = chunks.select(book, arr.alias("v"), own.alias("m"), F.explode(F.sequence(F.lit(first), F.lit(lags))).alias("k"))
     n = F.greatest(F.least("m", F.size("v") - c("k")), F.lit(0))
     per = per.withColumn("n", n).withColumns({"xs": F.slice("v", F.lit(1), c("n")), "ys": F.slice("v", c("k") + 1, c("n"))})
 
@@ -100,7 +100,12 @@ def lag_correlations(stream: DataFrame, lags: int, book: str = BOOK, x: str = "r
         book, "k", "n", total(c("xs")).alias("sx"), total(c("ys")).alias("sy"),
         total(F.zip_with("xs", "ys", lambda a, b: a * b)).alias("sxy"),
         total(F.transform("xs", lambda a: a * a)).alias("sxx"), total(F.transform("ys", lambda a: a * a)).alias("syy"))
-    agg = sums.groupBy(book, "k").agg(*[F.sum(q).alias(q) for q in ("n", "sx", "sy", "sxy", "sxx", "syy")])
+    return sums.groupBy(book, "k").agg(*[F.sum(q).alias(q) for q in ("n", "sx", "sy", "sxy", "sxx", "syy")])
+
+
+def lag_correlations(stream: DataFrame, lags: int, book: str = BOOK, x: str = "r", size: int = 2048) -> DataFrame:
+    """Correlation of the stream with itself ``k`` bars later for every ``k`` up to ``lags``."""
+    agg = lag_sums(stream, lags, 1, book, x, size)
     vx, vy = c("n") * c("sxx") - c("sx") * c("sx"), c("n") * c("syy") - c("sy") * c("sy")
     cov = c("n") * c("sxy") - c("sx") * c("sy")
     return agg.select(book, "k", "n", F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("rho"))

@@ -17,6 +17,7 @@ from ..operators.resample import common_buckets, resample
 from ..plans import archive as AR
 from ..plans import crosssection as X
 from ..plans import factors as FA
+from ..plans import inference as IN
 from ..plans import spectra as SP
 from ..plans import models as ML
 from ..plans import outcomes as O
@@ -106,6 +107,16 @@ def walk_forward_folds(spark, d):
     return w.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("nested_folds", f"""WITH {B}, r AS (SELECT symbol, ts FROM b), t AS (SELECT min(ts) AS t0, max(ts) AS t1 FROM r), f AS (SELECT w AS fold, t0 + w * 432000000 AS a, t0 + (w + 1) * 432000000 AS z FROM t, (SELECT unnest(range(0, 400)) AS w) q WHERE w >= greatest((t1 - t0) // 432000000 - 4 + 1, 0) AND w <= (t1 - t0) // 432000000),
+tr AS (SELECT fold, ts, row_number() OVER (PARTITION BY fold ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY fold) AS n FROM f JOIN r ON ts < a - 86400000), cu AS (SELECT fold, ts AS cut FROM tr WHERE k = floor(n * 0.8 + 1e-9)),
+p AS (SELECT fold, CASE WHEN ts >= a AND ts < z THEN 'test' WHEN ts < a - 86400000 THEN 'train' END AS part FROM f, r UNION ALL SELECT fold, CASE WHEN ts < cut THEN 'inner_train' WHEN ts >= cut + 86400000 THEN 'inner_val' END FROM tr JOIN cu USING (fold))
+SELECT fold, part, count(*) AS rows FROM p WHERE part IS NOT NULL GROUP BY 1, 2""")
+def nested_folds(spark, d):
+    b = T.bars(spark, d).select("symbol", "ts")
+    m = PN.with_folds(b, PN.nested_folds(b, 4, 5, 1, 0.2, 1))
+    return m.select(F.explode("folds").alias("f")).groupBy(c("f.fold").alias("fold"), c("f.part").alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("rolling_windows", _N + """, f AS (SELECT unnest(range(0, 40)) AS "window") SELECT symbol, "window", CASE WHEN idx < "window" * 50 + 100 THEN 'train' ELSE 'test' END AS part, count(*) AS rows FROM m, f WHERE idx >= "window" * 50 AND idx < "window" * 50 + 150 AND "window" * 50 + 150 <= n GROUP BY ALL""")
 def rolling_windows(spark, d):
     w = PN.rolling_windows(_with_n(spark, d), 100, 50, 50, c("n"))
@@ -565,10 +576,24 @@ def slow_carry(spark, d):
 @query("two_sided_carry", Sql().add(rate="CASE WHEN idx % 17 <> 3 THEN (c - 40) / 1000 END").add(sgn=full("avg(coalesce(rate, 0))", "c", 3, 1)).loop("pos", "0", "CASE WHEN n.rate IS NULL THEN p.pos WHEN p.pos = 0 AND n.sgn >= 0.01 THEN -1 WHEN p.pos = 0 AND n.sgn <= -0.01 THEN 1 WHEN p.pos = -1 AND n.sgn <= 0 THEN 0 WHEN p.pos = 1 AND n.sgn >= 0 THEN 0 ELSE p.pos END").add(pp=f"coalesce({lag('pos')}, 0)").text(
     f"SELECT symbol, idx, pos::INTEGER AS pos, {sr('CASE WHEN rate IS NULL THEN 0 ELSE -pos * rate - CASE WHEN pos <> pp THEN 0.001 ELSE 0 END END')} AS r FROM $"))
 def two_sided_carry(spark, d):
+    return _two_sided(spark, d).select("symbol", "idx", "pos", r6("r").alias("r"))
+
+
+def _two_sided(spark, d):
     """Every seventeenth bar lacks a rate."""
     f = Frame.of_numbered(T.bars(spark, d).withColumn("rate", F.when(c("idx") % 17 != 3, (c("close") - 40) / 1000)), 4)
     f = f.add(signal=f.full(F.avg(F.coalesce("rate", F.lit(0.0))), c("close"), 3, 1))
-    return FA.two_sided_carry(f.core("symbol", "idx", "rate", "signal"), 0.01).select("symbol", "idx", "pos", r6("r").alias("r"))
+    return FA.two_sided_carry(f.core("symbol", "idx", "rate", "signal"), 0.01)
+
+
+@query("carry_interval", Sql().add(rate="CASE WHEN idx % 17 <> 3 THEN (c - 40) / 1000 END").add(sgn=full("avg(coalesce(rate, 0))", "c", 3, 1)).loop("pos", "0", "CASE WHEN n.rate IS NULL THEN p.pos WHEN p.pos = 0 AND n.sgn >= 0.01 THEN -1 WHEN p.pos = 0 AND n.sgn <= -0.01 THEN 1 WHEN p.pos = -1 AND n.sgn <= 0 THEN 0 WHEN p.pos = 1 AND n.sgn >= 0 THEN 0 ELSE p.pos END").add(pp=f"coalesce({lag('pos')}, 0)").add(
+    r="CASE WHEN rate IS NULL THEN 0 ELSE -pos * rate - CASE WHEN pos <> pp THEN 0.001 ELSE 0 END END").add(s=f"sum(r) OVER {ORD}").text(
+    f"""SELECT book, n::BIGINT AS n, {sr('any_value(tot) / any_value(n) * 36500', 4)} AS annual, {sr('quantile_cont(m, 0.025) * 36500', 4)} AS lo, {sr('quantile_cont(m, 0.975) * 36500', 4)} AS hi FROM (
+ SELECT p.symbol AS book, rep, n, any_value(tot) AS tot, sum(z.s - coalesce(y.s, 0)) / any_value(n) AS m FROM (SELECT *, a + least(30, n - j * 30) AS e FROM (SELECT symbol, n, tot, rep, j, ({hash_sql('7', 'rep', 'j')} % (n - 30 + 1)) AS a FROM (SELECT symbol, max(idx) + 1 AS n, arg_max(s, idx) AS tot FROM $ GROUP BY 1) q, (SELECT unnest(range(0, 200))::BIGINT AS rep) w, (SELECT unnest(range(0, 2000))::BIGINT AS j) v WHERE j < ceil(n / 30.0))) p
+ LEFT JOIN $ y ON y.symbol = p.symbol AND y.idx = a - 1 JOIN $ z ON z.symbol = p.symbol AND z.idx = e - 1 GROUP BY 1, 2, 3) GROUP BY 1, 2"""))
+def carry_interval(spark, d):
+    s = _two_sided(spark, d).select(c("symbol").alias("book"), "idx", "r")
+    return rounded(IN.annual_interval(s, 30, 200), ["book", "n"], ["annual", "lo", "hi"], 4)
 
 
 @query("random_fills")

@@ -9,6 +9,7 @@ from ..functions import rolling as R
 from ..functions.volatility import atr, research_atr
 from ..operators.frames import DAY_MS, HOUR_MS, Frame, number_bars
 from ..plans import outcomes as O
+from ..plans import inference as IN
 from ..plans import portfolio as P
 from ..plans import rulebook as RB
 from ..plans import signals as G
@@ -347,6 +348,25 @@ def paired_bootstrap(spark, d):
     return rounded(P.paired_bootstrap(pairs, 50), ["book", "n"], ["diff", "lo", "hi", "p_le0"])
 
 
+@query("nw_z", _LAGS + f", m AS (SELECT count(*) AS n, avg(r) AS mean, stddev_pop(r) AS sd FROM st) SELECT n, {sr('mean / (sd / sqrt(n / greatest(1, 1 + 2 * (SELECT sum(rho) FROM rho))))')} AS z FROM m")
+def nw_z(spark, d):
+    return rounded(IN.nw_z(stream(spark, d), 40), ["n"], ["z"])
+
+
+@query("nw_covariance_sharpe", "WITH " + STREAM + f""", m AS (SELECT count(*) AS n, avg(r) AS mean, var_pop(r) AS v0 FROM st), cv AS (SELECT k, sum((a.r - mean) * (z.r - mean)) / any_value(n) AS cov FROM (SELECT unnest(range(1, 200)) AS k) q JOIN st a ON true JOIN st z ON z.idx = a.idx + k, m WHERE k < least(200, n - 1) GROUP BY k),
+en AS (SELECT coalesce(min(k), 1000) AS e FROM cv, m WHERE abs(cov) < 0.01 * v0), us AS (SELECT coalesce(sum(cov), 0) AS s, count(*) AS used FROM cv, en WHERE k < e) SELECT n, used, {sr('mean * 8760 / sqrt(greatest(v0 + 2 * s, 1e-18) * 8760)')} AS sharpe_nw FROM m, us""")
+def nw_covariance_sharpe(spark, d):
+    return rounded(IN.nw_covariance_sharpe(stream(spark, d), 200, 8760), ["n", "used"], ["sharpe_nw"])
+
+
+@query("poisson_bootstrap", "WITH " + BOOK + f""", w AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY idx) - 1 AS idx, net - (gross - net) AS d FROM bk), u AS (SELECT symbol, rep, d, {hash_sql('7', 'rep', 'w.idx')} AS u FROM w, (SELECT unnest(range(0, 50))::BIGINT AS rep) q),
+k AS (SELECT symbol, rep, d, {' + '.join(f'(u >= {t})::INT' for t in IN.POISSON)} AS k FROM u), m AS (SELECT symbol, rep, sum(k * d) / nullif(sum(k), 0) AS m FROM k GROUP BY 1, 2), n AS (SELECT symbol, count(*) AS n, avg(d) AS diff FROM w GROUP BY 1)
+SELECT symbol AS book, any_value(n) AS n, {sr('any_value(diff)')} AS diff, {sr('quantile_cont(m, 0.025)')} AS lo, {sr('quantile_cont(m, 0.975)')} AS hi, {sr('avg((m <= 0)::INT)')} AS p_le0 FROM m JOIN n USING (symbol) GROUP BY 1""")
+def poisson_bootstrap(spark, d):
+    t = number_bars(book(spark, d).drop("idx", "book").withColumnRenamed("symbol", "book"), HOUR_MS, key="book", ts="ts")
+    return rounded(IN.poisson_bootstrap(t.select("book", "idx", c("net").alias("a"), c("fee").alias("b")), 50), ["book", "n"], ["diff", "lo", "hi", "p_le0"])
+
+
 @query("effective_bets", "WITH " + BOOK + f""", x AS (SELECT symbol, i.idx, sum(net / (greatest(e1 - e0, 1) + 1)) AS r FROM bk JOIN (SELECT unnest(range(0, 2000)) AS idx) i ON i.idx BETWEEN e0 AND e1 GROUP BY 1, 2), act AS (SELECT idx FROM x GROUP BY idx HAVING sum(r) <> 0),
 gg AS (SELECT a.idx, q.symbol, coalesce(x.r, 0) AS r FROM act a CROSS JOIN (SELECT DISTINCT symbol FROM x) q LEFT JOIN x ON x.idx = a.idx AND x.symbol = q.symbol), rho AS (SELECT a.symbol AS a, z.symbol AS z, corr(a.r, z.r) AS rho FROM gg a JOIN gg z USING (idx) GROUP BY 1, 2)
 SELECT (SELECT count(*) FROM act) AS n_active, {sr('count(DISTINCT a) * count(DISTINCT a) / sum(rho * rho)')} AS enb FROM rho""")
