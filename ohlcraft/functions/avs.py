@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.frames import Frame
+from ..operators.frames import SIZE, Frame
 from ..operators.recursion import Chain, recur, recur_varying
 from ..operators.running import running, two_state
 from ..sources.store import settled
@@ -136,12 +136,19 @@ def scrsi(f: Frame, cycle: int = 20, vibration: int = 10) -> Frame:
 
 
 def scrsi_bands(rows: DataFrame, cycle: int = 20, leveling: float = 10.0) -> DataFrame:
-    """Percentile bands of the first ``2*cycle`` smoothed values of each symbol."""
-    head = rows.filter((c("idx") < 4 * cycle) & c("crsi").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("symbol").orderBy("idx"))
-    head = head.withColumn("_r", rank).filter(c("_r") <= 2 * cycle)
+    """Percentile bands of the first ``2*cycle`` smoothed values of each symbol, wherever they start.
+
+    Counts per chunk tell which chunks hold these values; only the rows of such chunks are numbered.
+    """
+    some = rows.filter(c("crsi").isNotNull()).withColumn("_chunk", F.floor(c("idx") / SIZE))
+    counts = some.groupBy("symbol", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("symbol").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("symbol", "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).filter(c("_before") < 2 * cycle)
+    rank = F.row_number().over(Window.partitionBy("symbol", "_chunk").orderBy("idx"))
+    head = some.join(first, ["symbol", "_chunk"]).withColumn("_r", rank + c("_before")).filter(c("_r") <= 2 * cycle)
     enough = F.count(F.lit(1)) >= 2 * cycle
-    return head.groupBy("symbol").agg(
+    bands = head.groupBy("symbol").agg(
         F.when(enough, F.percentile("crsi", leveling / 100)).otherwise(-100.0).alias("lower"),
         F.when(enough, F.percentile("crsi", 1 - leveling / 100)).otherwise(100.0).alias("upper"),
     )
+    return bands

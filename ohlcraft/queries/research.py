@@ -283,12 +283,15 @@ def regime_stats(spark, d):
     return g.select("regime", "n", r6("ev", 5).alias("ev"), r6("win_rate").alias("win_rate"))
 
 
-@query("rule_table")
+_RG = _PN + f", rg AS (SELECT oc.*, CASE WHEN is_long THEN 'long' ELSE 'short' END AS side, CASE WHEN z IS NULL THEN 'unknown' WHEN z > 0.5 THEN 'up' WHEN z < -0.5 THEN 'down' ELSE 'range' END AS regime FROM oc JOIN (SELECT symbol, idx, CASE WHEN atr > 0 AND count(c) OVER {win(50)} = 50 THEN (c - avg(c) OVER {win(50)}) / atr END AS z FROM rw) q USING (symbol, idx) WHERE goal = 2 AND execution = 'market' AND r_net IS NOT NULL), rs AS (SELECT regime, side, rule, count(*) AS n, avg(r_net) AS ev FROM rg GROUP BY ALL), tb AS (SELECT regime, side, CASE WHEN max(ev) > 0 AND arg_max(n, (ev, rule)) >= 30 THEN arg_max(rule, (ev, rule)) ELSE 'zone:1.0' END AS rule FROM rs GROUP BY 1, 2)"
+
+
+@query("rule_table", _RG + " SELECT regime, side, rule FROM tb")
 def rule_table(spark, d):
     return X.pick_rules(panel(spark, d).filter("target_r = 2.0 and execution = 'market'"), 30)
 
 
-@query("rule_table_applied")
+@query("rule_table_applied", _RG + f" SELECT regime, side, count(r_net) AS n, {sr('avg(r_net)', 5)} AS ev FROM rg SEMI JOIN tb USING (regime, side, rule) GROUP BY 1, 2")
 def rule_table_applied(spark, d):
     p = panel(spark, d).filter("target_r = 2.0 and execution = 'market'")
     a = X.apply_rules(p, X.pick_rules(p, 30))
@@ -647,7 +650,22 @@ def nearest_strike(spark, d):
     return FA.nearest_strike(want, chain)
 
 
-@query("option_values")
+def _phi_sql(x: str) -> str:
+    def polynomial(factors):
+        out = f"{factors[0]!r}::DOUBLE"
+        for f in factors[1:]:
+            out = f"({out} * abs({x}) + {f!r}::DOUBLE)"
+        return out
+
+    far = f"(abs({x}) + 0.65::DOUBLE)"
+    for k in (4, 3, 2, 1):
+        far = f"(abs({x}) + {k}::DOUBLE / {far})"
+    tail = f"exp(-abs({x}) * abs({x}) / 2) * CASE WHEN abs({x}) < {FA.PHI_FAR}::DOUBLE THEN {polynomial(FA.PHI_TOP)} / {polynomial(FA.PHI_BOTTOM)} ELSE 1 / ({far} * {FA.PHI_ROOT}::DOUBLE) END"
+    return f"CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+@query("option_values", f"""WITH {B}, v AS (SELECT symbol, idx, c AS s, 0.9::DOUBLE * c AS k, 0.6::DOUBLE * sqrt(30::DOUBLE / 365) AS sd FROM b), w AS (SELECT *, CASE WHEN s > 0 THEN ln(s / k) / sd + sd / 2 END AS d1 FROM v), x AS (SELECT *, sd - d1 AS p, -d1 AS q FROM w)
+SELECT symbol, idx, {sr(f"CASE WHEN s <= 0 THEN greatest(k - s, 0) ELSE k * ({_phi_sql('p')}) - s * ({_phi_sql('q')}) END")} AS put FROM x""")
 def option_values(spark, d):
     return T.bars(spark, d).select("symbol", "idx", r6(FA.put_value(c("close"), 0.9 * c("close"), F.lit(30 / 365), F.lit(0.6))).alias("put"))
 
