@@ -4,7 +4,8 @@ Base spans of four kinds come from patterns over whole texts. They are the seeds
 patterns (two words before it; one before and one after). Looser, identifier-like strings that no base pattern takes are
 instances still open. Patterns and instances form a graph that is scored in rounds: a pattern is as sure as the share of
 its instances that are (a seed counts 1, an open instance its score), an open instance as sure as its patterns together. An
-open instance beyond the threshold, in a pattern with enough different seeds, is added as a span of the pattern's kind.
+open instance beyond the threshold, in a pattern with enough different seeds, is added as a span of the pattern's kind and
+is a seed from then on: its other contexts make patterns too, until no instance is added.
 
 Offsets are code points: ``split`` gives what stands between the matches of ``regexp_extract_all``, and running lengths give
 the places. Patterns use possessive quantifiers, so no text makes them backtrack beyond a run.
@@ -144,23 +145,38 @@ def contexts(spans: DataFrame) -> DataFrame:
     return spans.withColumn("pattern", F.explode(F.array_compact(F.array(two, around))))
 
 
+def _fits(shape: str, kind: str) -> Column:
+    """Written-out mail addresses can be e-mails, everything else the other kinds."""
+    return (F.col(shape) == "mail") == (F.col(kind) == "email")
+
+
 def bootstrap(seeds: DataFrame, loose: DataFrame, min_seeds: int = MIN_SEEDS, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
     """kind, pattern and value of the open instances that the scored graph accepts.
 
-    Edges are distinct before anything is joined, patterns without enough different seeds go first, and the seeds of a
-    pattern are one number, so the rounds run over the open edges alone.
+    What is accepted joins the seeds: its other contexts may make new patterns, and the graph is scored again until nothing
+    is added. Edges are distinct before anything is joined, patterns without enough different seeds go first, and the seeds
+    of a pattern are one number, so the rounds run over the open edges alone.
     """
-    seed_edges = seeds.select("kind", "pattern", F.xxhash64("value").alias("instance")).distinct()
-    known = seed_edges.groupBy("kind", "pattern").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= min_seeds)
-    edges = loose.select(F.col("kind").alias("shape"), "pattern", "value").distinct().join(known, "pattern")
-    edges = edges.filter((F.col("shape") == "mail") == (F.col("kind") == "email")).drop("shape")
-    state = staged(edges.withColumn("score", F.lit(0.0)), "pii-graph")
-    for _ in range(rounds):
-        sureness = state.groupBy("kind", "pattern").agg(((F.max("seeds") + F.sum("score")) / (F.max("seeds") + F.count("*") + 1)).alias("sureness"))
-        weighed = state.drop("score", "sureness").join(sureness, ["kind", "pattern"])
-        scores = weighed.groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log1p(-F.least("sureness", F.lit(0.999999)))))).alias("score"))
-        state = staged(weighed.join(scores, ["kind", "value"]), "pii-graph")
-    return state.filter(F.col("score") >= sure).select("kind", "pattern", "value") if rounds else state.select("kind", "pattern", "value").limit(0)
+    seed_edges = staged(seeds.select("kind", "pattern", F.xxhash64("value").alias("instance")).distinct(), "pii-seeds")
+    open_edges = staged(loose.select(F.col("kind").alias("shape"), "pattern", "value").distinct(), "pii-open")
+    accepted = None
+    while True:
+        known = seed_edges.groupBy("kind", "pattern").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= min_seeds)
+        edges = open_edges.join(known, "pattern").filter(_fits("shape", "kind")).drop("shape")
+        if accepted is not None:
+            edges = edges.join(accepted, ["kind", "value"], "left_anti")
+        state = staged(edges.withColumn("score", F.lit(0.0)), "pii-graph")
+        for _ in range(rounds):
+            sureness = state.groupBy("kind", "pattern").agg(((F.max("seeds") + F.sum("score")) / (F.max("seeds") + F.count("*") + 1)).alias("sureness"))
+            weighed = state.drop("score", "sureness").join(sureness, ["kind", "pattern"])
+            scores = weighed.groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log1p(-F.least("sureness", F.lit(0.999999)))))).alias("score"))
+            state = staged(weighed.join(scores, ["kind", "value"]), "pii-graph")
+        new = staged(state.filter(F.col("score") >= sure).select("kind", "value").distinct(), "pii-accepted")
+        accepted = new if accepted is None else accepted.unionByName(new)
+        if new.isEmpty():
+            return open_edges.join(known, "pattern").filter(_fits("shape", "kind")).join(accepted, ["kind", "value"]).select("kind", "pattern", "value")
+        grown = open_edges.join(new, "value").filter(_fits("shape", "kind"))
+        seed_edges = staged(seed_edges.unionByName(grown.select("kind", "pattern", F.xxhash64("value").alias("instance"))).distinct(), "pii-seeds")
 
 
 def find(docs: DataFrame, min_seeds: int = MIN_SEEDS, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:

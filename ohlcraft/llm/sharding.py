@@ -98,9 +98,16 @@ class SlotMap:
         moved = [(self.version + 1, s, now[s]) for s in range(self.slots) if now[s] != before[s]]
         return SlotMap(self.slots, shards, self.edits + moved)
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """Append the versions that the stored map lacks."""
-        spark.createDataFrame(self.edits, "version int, slot int, shard int").coalesce(1).write.mode("append").parquet(path)
+    def save(self, spark: SparkSession, path: str, since: int = -1) -> None:
+        """Append the versions behind ``since`` to the stored map."""
+        new = [e for e in self.edits if e[0] > since]
+        if new:
+            spark.createDataFrame(new, "version int, slot int, shard int").coalesce(1).write.mode("append").parquet(path)
+
+    @staticmethod
+    def is_stored(spark: SparkSession, path: str) -> bool:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, slots: int, shards: int) -> SlotMap:
@@ -111,15 +118,17 @@ class SlotMap:
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """Every record with its virtual slot, its shard, and its gapless position in the shard.
 
-    Only totals per slot reach the driver. Positions come from a row number within each slot plus the number of rows in
+    A map stored at ``path`` is loaded, rebalanced for these records (and for another number of shards), and what moved is
+    appended as one version; without one, slots start evenly. Only totals per slot reach the driver. Positions come from a row number within each slot plus the number of rows in
     the shard's earlier slots, so no task sorts a whole shard.
     """
     spark = docs.sparkSession
     records = sized(docs, slots)
     totals = slot_totals(records).collect()
     path = path or stage_path(spark, "slot-map")
-    SlotMap.even(slots, shards).rebalanced({r.virtual_slot: r.bytes for r in totals}).save(spark, path)
-    slot_map = SlotMap.load(spark, path, slots, shards)
+    stored = SlotMap.load(spark, path, slots, shards) if SlotMap.is_stored(spark, path) else None
+    slot_map = (stored or SlotMap.even(slots, shards)).rebalanced({r.virtual_slot: r.bytes for r in totals}, shards)
+    slot_map.save(spark, path, stored.version if stored else -1)
     counts = {r.virtual_slot: r.rows for r in totals}
     before, base = [0] * shards, []
     for slot, to in enumerate(slot_map.at()):

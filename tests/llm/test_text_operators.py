@@ -331,3 +331,36 @@ def test_words_of_more_than_65536_bytes_that_swap_letters_stay_apart(spark):
     df = spark.createDataFrame([(1, f"{rest} {b}"), (2, f"{rest} {c}"), (3, f"{rest} {b}")], "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_removed) for r in repeats.deduplicated(df).collect()}
     assert got == {1: (50, 0), 2: (50, 0), 3: (50, 50)}
+
+
+def test_identifiers_found_through_discovered_ones(spark):
+    """Pattern 2 has no base seed: it is known only by numbers that pattern 1 discovers."""
+    rows = [(i, f"some words, call me at +1 (555) 555-{i:04d} soon", None) for i in range(30)]
+    rows += [(100 + i, f"do call me at 555-123-{i:04d} soon", None) for i in range(8)]
+    rows += [(200 + i, f"then fax it to 555-123-{i:04d} today", None) for i in range(8)]
+    rows += [(300, "then fax it to 777-999-1234 today", None), (301, "it cost 777-999-1235 in all", None)]
+    out = {r.doc_id: r for r in pii.report(table(spark, rows)).collect()}
+    assert all(out[100 + i].n_added == 1 for i in range(8)) and all(out[200 + i].n_added == 1 for i in range(8))
+    assert out[300].spans == "phone:15:27" and out[301].spans == ""
+
+
+def test_a_stored_slot_map_is_continued(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rows = [(i, "x" * (i * 37 % 500), None) for i in range(3000)]
+    law = lambda out, shards: [sum(r.size for r in out if r.shard == s) for s in range(shards)]
+    first = sharding.shard(table(spark, rows), shards=8, slots=256, path=path).collect()
+    biggest = max(r["bytes"] for r in sharding.slot_totals(sharding.sized(table(spark, rows), 256)).collect())
+    assert max(law(first, 8)) - min(law(first, 8)) <= biggest
+    before = sorted(map(tuple, spark.read.parquet(path).collect()))
+    again = sharding.shard(table(spark, rows), shards=8, slots=256, path=path).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, first)) and sorted(map(tuple, spark.read.parquet(path).collect())) == before
+    more = rows + [(5000 + i, "y" * (i * 91 % 4000), None) for i in range(300)]
+    grown = sharding.shard(table(spark, more), shards=9, slots=256, path=path).collect()
+    after = sorted(map(tuple, spark.read.parquet(path).collect()))
+    versions = {v for v, _, _ in after}
+    assert len(versions) == len({v for v, _, _ in before}) + 1 and set(before) <= set(after)  # one more version, nothing rewritten
+    assert len({(v, s) for v, s, _ in after}) == len(after)
+    biggest = max(r["bytes"] for r in sharding.slot_totals(sharding.sized(table(spark, more), 256)).collect())
+    assert max(law(grown, 9)) - min(law(grown, 9)) <= biggest
+    now = {s: k for v, s, k in after}
+    assert all(r.shard == now[r.virtual_slot] for r in grown)
