@@ -9,7 +9,8 @@ The benchmark is measured first. Windows of up to ``AUTOMATON_CHARS`` characters
 a larger benchmark is cut by hash into several of that size, scanned one after the other in the same pass over a row.
 
 Nulls: a null text has no words, so it is neither hit nor hits; an item with a null id still hits words but isn't listed.
-Texts without words, repeated items and empty tables need no special case: they give no windows or no hits.
+Texts without words, repeated items and empty tables need no special case: they give no windows or no hits. A very long text is
+scanned whole by one task. Other columns may have any name; ``clean`` returns them as they are.
 """
 
 from __future__ import annotations

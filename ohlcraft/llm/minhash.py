@@ -15,7 +15,8 @@ no link is lost for speed. Pairs are never written out, only who is connected to
 
 Equal texts are one text from the start. Nulls: a null text is an empty one; texts without words equal each other and
 nothing else. A row with a null id gets its group's class like any other; a group of null ids alone has a number made of its
-text's hash. Repeated rows are copies. An empty table gives an empty result.
+text's hash. Repeated rows are copies. An empty table gives an empty result. A very long text is read whole; its shingles are
+drawn in pieces. Other columns may have any name; ``first_of_each`` returns them as they are.
 """
 
 from __future__ import annotations

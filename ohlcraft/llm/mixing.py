@@ -10,7 +10,7 @@ Draws are hashes of (seed, key, step), and the order within a chunk is that of a
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order. A document of size 0 has nothing to
 trade: its fraction is drawn alone and its words are 0 either way. Repeated rows are separate documents. An empty table
-gives an empty result.
+gives an empty result. Of a very long text only the number of its words moves. Other columns may have any name.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ is a seed from then on: its other contexts make patterns too, until no instance
 Offsets are code points: ``split`` gives what stands between the matches of ``regexp_extract_all``, and running lengths give
 the places. Patterns use possessive quantifiers, so no text makes them backtrack beyond a run.
 
-Nulls: a null text is empty. Empty texts and tables give no spans; repeated rows keep their own row each.
+Nulls: a null text is empty. Empty texts and tables give no spans; repeated rows keep their own row each. A very long text is
+searched whole, its matches placed in blocks. Other columns may have any name: only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ A window is ``WINDOW`` consecutive words; a word goes if a window that covers it
 5. Blocks mark the words of the windows found and write the rest.
 
 Documents without a recurring phrase are done in step 3. Nulls: a null text has no words; a null id counts as larger than
-all others. Repeated rows have equal ids, so neither removes words of the other. Empty texts and tables need no special case.
+all others. Repeated rows have equal ids, so neither removes words of the other. Empty texts and tables need no special case. Very
+long texts are hashed and searched whole; a word beyond 65,536 bytes has a hash of its own kind. Other columns may have any name.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ slot. Moving data between shards means editing the map: slots move, records keep
 slot, so its size is a parameter and not a function of the data; it may be collected and broadcast.
 
 Nulls: a null text counts no bytes and has checksum 0. A null id is hashed by the checksum of its text. Repeated rows
-share a slot. An empty table gives an empty result and a map that spreads the slots evenly.
+share a slot. An empty table gives an empty result and a map that spreads the slots evenly. Very long texts count their bytes like
+any other. Other columns may have any name: only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ still belong to it (``head``), the tokens emitted after that, and what it leaves
 composition is associative, so a text's chunks are combined pairwise in a logarithmic number of rounds.
 
 Nulls: a null text is empty. Empty texts have no tokens; repeated rows are counted alike; an empty table gives an empty result.
+The chunks of a very long text are composed in its own task. Other columns may have any name: only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations

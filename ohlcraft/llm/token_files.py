@@ -5,7 +5,8 @@ the word at which each block starts. ``part`` orders the files, ``seq`` the rows
 the rows before it in its file, so a reader needs only one total per file to place any document in the whole stream.
 
 Nulls: a null text is an empty one, which gives its end id alone; null ids sort first. Ties and repeated rows are ordered
-by a hash of the text. An empty table gives no files' rows and an empty result.
+by a hash of the text. An empty table gives no files' rows and an empty result. A very long text is a row of a file by itself or the
+last of one. Other columns may have any name: only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations

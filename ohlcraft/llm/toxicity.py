@@ -11,7 +11,8 @@ texts, none of them held out. Scoring reads every whole text in one pass without
 
 Nulls: a null text scores like an empty one, which gets the score of the intercept; null ids are never held out; null
 labels aren't learned from. Repeated rows count as often as they occur. Without labelled rows of both classes the score is
-the smoothed share of label 1. An empty table gives an empty result.
+the smoothed share of label 1. An empty table gives an empty result. A very long text is scored whole. Other columns may have any
+name; ``clean`` returns them as they are.
 """
 
 from __future__ import annotations

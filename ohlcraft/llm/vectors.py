@@ -12,7 +12,8 @@ every pair of blocks is a piece of work of its own. A pair is counted at its fir
 
 Equal vectors are one vector with a number of copies. Vectors of unequal length never link. Null, empty or zero vectors, and
 those with null or non-finite components, link with nothing; neither do rows with a null id, whose component is null.
-Repeated rows are vectors of their own. An empty table gives an empty result.
+Repeated rows are vectors of their own. An empty table gives an empty result. Other columns may have any name: only ``vec_id`` and
+``embedding`` are read.
 """
 
 from __future__ import annotations
