@@ -213,6 +213,15 @@ def first_weights(panel: DataFrame, by: str, asset: str, x: str) -> DataFrame:
     return out.select(F.col("asset").cast("string").alias("asset"), (F.col("v0") * (-1.0 if total < 0 else 1.0)).alias("w"))
 
 
+def factor_closeness(panel: DataFrame, by: str, asset: str, x: str) -> DataFrame:
+    """Absolute correlation of each asset with the first factor's return, the weighted sum of all assets: 1 is pure factor."""
+    cells, _, _ = varying(panel, by, asset, x, None)
+    weights = first_weights(panel, by, asset, x).withColumnRenamed("asset", "_name")
+    weighed = cells.join(weights, F.col("asset").cast("string") == F.col("_name"))
+    score = weighed.groupBy("t").agg(F.sum(F.col("w") * F.col("x")).alias("score"))
+    return cells.join(score, "t").groupBy(F.col("asset").cast("string").alias("asset")).agg(F.abs(F.corr("x", "score")).alias("closeness"))
+
+
 # -- factors of trailing windows ----------------------------------------------
 CHUNK = 1024
 

@@ -153,7 +153,8 @@ def features_with_labels(spark, d):
 
 
 # -- portfolio ----------------------------------------------------------------
-@query("correlation_clusters")
+@query("correlation_clusters", _RET.replace("WITH ", "WITH RECURSIVE ", 1) + """, cm AS (SELECT a.symbol AS a, z.symbol AS z, corr(a.r, z.r) AS rho FROM r a JOIN r z USING (ts) GROUP BY 1, 2), e AS (SELECT a, z FROM cm WHERE rho > 0.05 OR a = z), rc AS (SELECT a, z FROM e UNION SELECT rc.a, e.z FROM rc JOIN e ON rc.z = e.a),
+lb AS (SELECT a AS asset, min(z) AS cluster FROM rc GROUP BY 1), n AS (SELECT cluster, count(*) AS members FROM lb GROUP BY 1) SELECT asset, cluster, members, least(members, 2) AS cap FROM lb JOIN n USING (cluster)""")
 def correlation_clusters(spark, d):
     return P.correlation_clusters(returns(spark, d), 0.05, by="ts")
 

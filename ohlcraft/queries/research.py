@@ -454,6 +454,11 @@ def first_factor_weights(spark, d):
     return rounded(SP.first_weights(returns(spark, d), "ts", "symbol", "r"), ["asset"], ["w"], 4)
 
 
+@query("factor_closeness", _CM + f", sc AS (SELECT ts, sum(w * r) AS s FROM r JOIN pw ON pw.i = r.symbol GROUP BY 1) SELECT symbol AS asset, {sr('abs(corr(r, s))', 5)} AS closeness FROM r JOIN sc USING (ts) GROUP BY 1")
+def factor_closeness(spark, d):
+    return rounded(SP.factor_closeness(returns(spark, d), "ts", "symbol", "r"), ["asset"], ["closeness"], 5)
+
+
 def _numbered_returns(spark, d):
     """Weekly returns of brands on the numbered weeks on which all have one."""
     r = returns(spark, d)
