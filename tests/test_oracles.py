@@ -13,7 +13,7 @@ QUERIES, ORACLES = load()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUICK = ["average_cross_report", "bars_brands", "resample_1w", "asof_higher_timeframe", "ema", "rsi", "adx", "avsl", "ott", "supertrend",
          "cdl_all_counts", "barrier_outcome", "reverse_exit", "accrual_stream", "nw_sharpe", "max_drawdown", "zigzag_pivots",
-         "entry_candidates", "block_features", "conditions", "top_bottom_book", "text_chunks", "stream_ema", "spearman_streams"]
+         "entry_candidates", "block_features", "conditions", "top_bottom_book", "text_chunks", "stream_ema", "spearman_streams", "block_distances", "factor_spectrum", "factor_residual_book", "two_sided_carry", "nested_folds", "poisson_bootstrap"]
 NAMES = sorted(ORACLES) if os.environ.get("OHLCRAFT_ALL") else QUICK
 
 
