@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -77,6 +78,16 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers live on beside later stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with a per-task set-up: ``make()`` runs once in each task and returns the function of a batch."""
 
@@ -87,6 +98,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
                 out = step(batch)
                 if out is not None:
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+                out = None
+        batch = None
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COUNTS, map_rows, packed_counts, runs_of, smallest_linked, staged, summed_counts, text_of, whole_runs
+from .common import COUNTS, map_rows, packed_counts, release, runs_of, smallest_linked, staged, summed_counts, text_of, whole_runs
 from .graph import components
 
 SHINGLE = 5
@@ -127,6 +127,8 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
             total[IDF_BUCKETS] += batch.num_rows
         if total[IDF_BUCKETS]:
             yield packed_counts(total, segment)
+        batch = None
+        release()
 
     held = summed_counts(rows.mapInArrow(count, COUNTS), IDF_BUCKETS + 1, segment, rows.rdd.getNumPartitions())
     return (1 + np.log((1 + held[-1]) / (1 + held[:-1]))).astype(np.float32)
@@ -174,6 +176,8 @@ def linked(pieces: DataFrame, texts: DataFrame, idf, similarity: float) -> DataF
                     out.append((own[root != own], root[root != own]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in (0, 1)], names=["node", "root"])
+        t = None
+        release()
 
     return rows.select(*keys, "node", "text").mapInArrow(run, "node long, root long")
 

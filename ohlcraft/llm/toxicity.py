@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import COUNTS, map_rows, packed_counts, staged, summed_counts, text_of
+from .common import COUNTS, map_rows, packed_counts, release, staged, summed_counts, text_of
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -100,6 +100,8 @@ def _class_counts(rows: DataFrame) -> np.ndarray:
                 total[2 * BUCKETS + label] += 1
         if total.any():
             yield packed_counts(total, _SEGMENT)
+        batch = None
+        release()
 
     rows = rows.select("text", "label")
     total = summed_counts(rows.mapInArrow(count, COUNTS), 2 * BUCKETS + 2, _SEGMENT, rows.rdd.getNumPartitions())
