@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import KEY
+from .ladder import first_crossing  # noqa: F401  (the search without a horizon is imported from here too)
 
 
 def bars_between(events: DataFrame, bars: DataFrame, lo: Column, hi: Column, size: int, cols: list[str],
