@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,12 +73,24 @@ def falling(f: Frame, x: str, n: int) -> tuple[Frame, Column]:
     return _monotone(f, x, n, False)
 
 
+# averages of equal bars differ in their last bits only, by the order of summing
+SAME = 1e-12
+
+
+def side_of(x: Column, line: Column) -> Column:
+    """1 above the line, -1 below, 0 on it but for rounding; NULL if one is missing."""
+    gap = F.abs(x - line)
+    on = (x == line) | ((gap < math.inf) & (gap < SAME * (F.abs(x) + F.abs(line))))
+    return F.when(x.isNotNull() & line.isNotNull(), F.when(on, 0).when(x > line, 1).otherwise(-1))
+
+
 def crosses(f: Frame, x: str, line: str, strict: bool = True) -> Frame:
     """``cross_up`` / ``cross_down``; with ``strict`` the previous bar must lie strictly on the other side."""
-    was_x, was_l = f.lag(c(x)), f.lag(c(line))
-    below = was_x < was_l if strict else was_x <= was_l
-    above = was_x > was_l if strict else was_x >= was_l
-    return f.add(cross_up=true((c(x) > c(line)) & below), cross_down=true((c(x) < c(line)) & above))
+    f = f.add(_side=side_of(c(x), c(line)))
+    now, was = c("_side"), f.lag(c("_side"))
+    below = was < 0 if strict else was <= 0
+    above = was > 0 if strict else was >= 0
+    return replace(f, df=f.add(cross_up=true((now > 0) & below), cross_down=true((now < 0) & above)).df.drop("_side"))
 
 
 def donchian(f: Frame, n: int = 20) -> Frame:
