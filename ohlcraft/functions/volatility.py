@@ -29,7 +29,9 @@ def true_range(f: Frame, drift: int = 1) -> Frame:
 def atr(f: Frame, out: str = "atr", n: int = 14, mode: str = "rma", drift: int = 1, percent: bool = False) -> Frame:
     f = f.add(_tr=true_range_col(f, drift))
     f = ma(f, mode, out, "_tr", n, first=drift, warm=drift)
-    return f.add(**{out: 100.0 * c(out) / c("close")}) if percent else f
+    # a close of zero gives what a division of doubles gives, not an error
+    beyond = F.when(c(out) > 0, F.lit(math.inf)).when(c(out) == 0, F.lit(math.nan))
+    return f.add(**{out: F.when(c("close") == 0, beyond).otherwise(100.0 * c(out) / F.nullif("close", F.lit(0.0)))}) if percent else f
 
 
 def research_atr(f: Frame, out: str = "atr", n: int = 14) -> Frame:
